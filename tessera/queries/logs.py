@@ -1,2 +1,14 @@
-QUERIES = {}
+"""Queries over logs."""
+
+from __future__ import annotations
+
+from tessera.operators import log_entries
+from tessera.sources.tables import table
+
+
+def p5_found(spark, sf_dir):
+    return log_entries.parse_entries(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "logs"))
+
+
+QUERIES = {"p5_found": p5_found}
 ORACLES = {}
