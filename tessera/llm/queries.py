@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import tokenizer
+from tessera.llm import languages, tokenizer
 from tessera.sources.tables import table
 
 
@@ -14,5 +14,18 @@ def p6_roundtrip(spark, sf_dir):
     return tokenizer.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+def p8_found(spark, sf_dir):
+    return languages.unlabelled(table(spark, sf_dir, "documents"))
+
+
+def p8_segments(spark, sf_dir):
+    return languages.identify(table(spark, sf_dir, "documents")).drop("labelled")
+
+
+QUERIES = {
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
+    "p6_ids": p6_ids,
+    "p6_roundtrip": p6_roundtrip,
+}
 ORACLES = {}
