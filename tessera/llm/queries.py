@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import languages, tokenizer
+from tessera.llm import languages, leaks, tokenizer
 from tessera.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def p6_roundtrip(spark, sf_dir):
     return tokenizer.round_trip(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark, sf_dir):
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def p8_found(spark, sf_dir):
     return languages.unlabelled(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def p8_segments(spark, sf_dir):
 
 
 QUERIES = {
+    "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
     "p6_ids": p6_ids,
