@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import languages, leaks, tokenizer
+from tessera.llm import chunks, languages, leaks, tokenizer
 from tessera.sources.tables import table
 
 
+def p4_found(spark, sf_dir):
+    return chunks.oversized(*(table(spark, sf_dir, t) for t in ("read_requests", "md_docs", "heading_ranges")))
+
+
+def p4_pieces(spark, sf_dir):
+    return chunks.split_requests(*(table(spark, sf_dir, t) for t in ("read_requests", "md_docs", "heading_ranges")))
+
+
 def p6_ids(spark, sf_dir):
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,8 @@ def p8_segments(spark, sf_dir):
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
