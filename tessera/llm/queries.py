@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from tessera.llm import chunks, languages, leaks, tokenizer
+from tessera.llm import chunks, languages, leaks, provenance, syntax, tokenizer
 from tessera.sources.tables import table
 
 
+def p1_found(spark, sf_dir):
+    return syntax.unparsable(table(spark, sf_dir, "source_files"))
+
+
+def p1_rates(spark, sf_dir):
+    return syntax.failure_rates(table(spark, sf_dir, "source_files"))
+
+
+def p2_found(spark, sf_dir):
+    return provenance.not_handwritten(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "ignore_profiles"))
+
+
+def p2_validation(spark, sf_dir):
+    return provenance.validation(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "ignore_profiles"))
+
+
 def p4_found(spark, sf_dir):
     return chunks.oversized(*(table(spark, sf_dir, t) for t in ("read_requests", "md_docs", "heading_ranges")))
 
@@ -35,6 +51,10 @@ def p8_segments(spark, sf_dir):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_rates": p1_rates,
+    "p2_found": p2_found,
+    "p2_validation": p2_validation,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
