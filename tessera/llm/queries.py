@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chunks, languages, leaks, provenance, syntax, tokenizer
+from tessera.llm import chunks, languages, leaks, markup, provenance, syntax, tokenizer
 from tessera.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def p2_validation(spark, sf_dir):
     return provenance.validation(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "ignore_profiles"))
 
 
+def p3_found(spark, sf_dir):
+    return markup.extract_elements(table(spark, sf_dir, "md_docs"))
+
+
 def p4_found(spark, sf_dir):
     return chunks.oversized(*(table(spark, sf_dir, t) for t in ("read_requests", "md_docs", "heading_ranges")))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "p1_rates": p1_rates,
     "p2_found": p2_found,
     "p2_validation": p2_validation,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p7_found": p7_found,
