@@ -1,9 +1,10 @@
 """The registered queries: name -> callable(spark, sf_dir), and the SQL that states the same result."""
 
-from tessera.queries import logs
+from tessera.queries import logs, text
 
-QUERIES = logs.QUERIES
-ORACLES = logs.ORACLES
+MODULES = (text, logs)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 
 
 def flagship(spark, sf_dir):
