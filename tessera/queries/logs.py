@@ -2,13 +2,117 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessera.operators import log_entries
+from tessera.operators import log_lines as L
 from tessera.sources.tables import table
 
 
+def lines(spark, d):
+    return L.clean_lines(table(spark, d, "log_lines"))
+
+
 def p5_found(spark, sf_dir):
     return log_entries.parse_entries(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "logs"))
 
 
-QUERIES = {"p5_found": p5_found}
-ORACLES = {}
+def p5_templates(spark, sf_dir):
+    """The mined layouts with their counts and the patterns of those that open entries."""
+    rows = log_entries.mine_templates(table(spark, sf_dir, "log_lines"))
+    return spark.createDataFrame([(" ".join(t), n, log_entries.classify(t)) for t, n in rows], "template string, n_lines long, pattern string")
+
+
+def strip_ansi(spark, d):
+    return lines(spark, d).select("log_id", "line_no", "text")
+
+
+def fold_repeats(spark, d):
+    return L.fold_repeats(lines(spark, d))
+
+
+def fold_progress(spark, d):
+    return L.fold_runs(lines(spark, d), L.PROGRESS)
+
+
+def fold_global_repeats(spark, d):
+    return L.global_repeats(lines(spark, d))
+
+
+def collapse_blanks(spark, d):
+    return L.collapse_blanks(lines(spark, d)).groupBy("log_id").agg(F.count("*").alias("n_lines"), F.sum((F.col("text") == "").cast("long")).alias("n_blank"))
+
+
+def drop_debug(spark, d):
+    return L.drop_matching(lines(spark, d), L.DEBUG)
+
+
+def drop_health(spark, d):
+    return L.drop_matching(lines(spark, d), L.HEALTH)
+
+
+def strip_user_agents(spark, d):
+    return lines(spark, d).select("log_id", "line_no", F.regexp_replace("text", L.AGENT, '"<ua>"').alias("text"))
+
+
+def json_histogram(spark, d):
+    return L.json_levels(lines(spark, d))
+
+
+def startup_fold(spark, d):
+    banner = F.col("text").rlike(L.BANNER).cast("long")
+    return lines(spark, d).groupBy("log_id").agg(F.count("*").alias("n_lines"), F.sum(banner).alias("n_banner")).withColumn("folded", (F.col("n_lines") >= 10) & (F.col("n_banner") > 3))
+
+
+def timestamp_vote(spark, d):
+    return L.timestamp_vote(lines(spark, d))
+
+
+def test_elision(spark, d):
+    passed, failed = F.col("text").rlike(r"(?i)\b(ok|done|passed)$").cast("long"), F.col("text").rlike(r"(?i)\b(failed|exceeded|not found)\b").cast("long")
+    return lines(spark, d).groupBy("log_id").agg(F.sum(passed).alias("n_pass"), F.sum(failed).alias("n_fail")).withColumn("elided", ~((F.col("n_pass") < 5) & (F.col("n_fail") == 0)))
+
+
+def diagnostics_fold(spark, d):
+    found = lines(spark, d).select("log_id", "line_no", F.regexp_extract("text", r"\((src/[a-z]+\.ts):[0-9]+:[0-9]+\)", 1).alias("file")).where("file <> ''")
+    return found.groupBy("log_id", "file").agg(F.count("*").alias("n_errors"), F.least(F.count("*"), F.lit(3)).alias("n_kept"), F.min("line_no").alias("first_line"))
+
+
+def prune_logs(spark, d):
+    return L.prune_logs(table(spark, d, "log_lines"), table(spark, d, "logs"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p5_found, p5_templates, strip_ansi, fold_repeats, fold_progress, fold_global_repeats, collapse_blanks, drop_debug, drop_health, strip_user_agents, json_histogram, startup_fold, timestamp_vote, test_elision, diagnostics_fold, prune_logs)
+}
+
+LINES = f"""l AS (SELECT log_id, line_no, regexp_replace(regexp_replace(coalesce(any_value(text), ''), '{L.COLOUR}', '', 'g'), '[ \\t]+$', '') AS text FROM log_lines GROUP BY log_id, line_no)"""
+NORM = "trim(regexp_replace(regexp_replace(regexp_replace(text, '\\b[0-9]+\\b', '#', 'g'), '\\b[0-9a-f]{7,40}\\b', '<hash>', 'g'), '0x[0-9a-fA-F]+', '0x#', 'g'))"
+_DEBUG = "\\b(DEBUG|debug)\\b"
+
+
+def _drop(pattern: str) -> str:
+    return f"WITH {LINES} SELECT log_id, sum(regexp_matches(text, '{pattern}')::BIGINT)::BIGINT AS n_dropped, sum((NOT regexp_matches(text, '{pattern}'))::BIGINT)::BIGINT AS n_kept FROM l GROUP BY 1"
+
+
+ORACLES = {
+    "strip_ansi": f"WITH {LINES} SELECT * FROM l",
+    "fold_repeats": f"""WITH {LINES}, a AS (SELECT *, {NORM} AS norm FROM l), b AS (SELECT *, (norm IS DISTINCT FROM lag(norm) OVER (PARTITION BY log_id ORDER BY line_no))::INT AS s FROM a),
+        c AS (SELECT *, sum(s) OVER (PARTITION BY log_id ORDER BY line_no) AS run FROM b) SELECT log_id, min(line_no) AS line_no, arg_min(text, line_no) AS text, count(*) - 1 AS repeats FROM c GROUP BY log_id, run""",
+    "fold_progress": f"""WITH {LINES}, a AS (SELECT *, regexp_matches(text, '{L.PROGRESS}') AS hit FROM l), b AS (SELECT *, line_no - row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS run FROM a WHERE hit)
+        SELECT log_id, max(line_no) AS line_no, arg_max(text, line_no) AS text, count(*) AS n_lines FROM b GROUP BY log_id, run""",
+    "fold_global_repeats": f"WITH {LINES}, a AS (SELECT *, {NORM} AS norm FROM l) SELECT log_id, norm, min(line_no) AS first_line, count(*) AS n_lines FROM a WHERE length(norm) >= 12 GROUP BY 1, 2 HAVING count(*) >= 3",
+    "collapse_blanks": f"WITH {LINES}, a AS (SELECT *, lag(text) OVER (PARTITION BY log_id ORDER BY line_no) AS p FROM l) SELECT log_id, count(*) AS n_lines, sum((text = '')::BIGINT)::BIGINT AS n_blank FROM a WHERE NOT (text = '' AND coalesce(p, 'x') = '') GROUP BY 1",
+    "drop_debug": _drop(_DEBUG),
+    "drop_health": _drop(L.HEALTH),
+    "strip_user_agents": f"WITH {LINES} SELECT log_id, line_no, regexp_replace(text, '{L.AGENT}', '\"<ua>\"', 'g') AS text FROM l",
+    "json_histogram": f"""WITH {LINES}, j AS (SELECT log_id, lower(coalesce(json_extract_string(text, '$.level'), json_extract_string(text, '$.severity'), '')) AS v FROM l WHERE regexp_matches(text, '^\\{{.*\\}}$') AND json_valid(text)),
+        k AS (SELECT log_id, CASE WHEN v LIKE '%error%' THEN 'error' WHEN v LIKE '%warn%' THEN 'warn' WHEN v LIKE '%info%' THEN 'info' WHEN v LIKE '%debug%' THEN 'debug' ELSE 'other' END AS k FROM j)
+        SELECT log_id, {", ".join(f"count(*) FILTER (k = '{x}') AS {x}" for x in ("error", "warn", "info", "debug", "other"))} FROM k GROUP BY 1 HAVING count(*) >= 6""",
+    "startup_fold": f"WITH {LINES}, a AS (SELECT log_id, count(*) AS n_lines, count(*) FILTER (regexp_matches(text, '{L.BANNER}')) AS n_banner FROM l GROUP BY 1) SELECT *, n_lines >= 10 AND n_banner > 3 AS folded FROM a",
+    "timestamp_vote": f"""WITH {LINES}, a AS (SELECT log_id, count(*) AS n_lines, {", ".join(f"count(*) FILTER (regexp_matches(text, '{p}')) AS {k}" for k, p in L.STAMPS.items())} FROM l GROUP BY 1)
+        SELECT *, CASE {" ".join(f"WHEN {k} = greatest(iso, syslog, epoch) AND {k} >= 0.8 * n_lines THEN '{k}'" for k in L.STAMPS)} END AS chosen FROM a""",
+    "test_elision": f"WITH {LINES}, a AS (SELECT log_id, count(*) FILTER (regexp_matches(text, '(?i)\\b(ok|done|passed)$')) AS n_pass, count(*) FILTER (regexp_matches(text, '(?i)\\b(failed|exceeded|not found)\\b')) AS n_fail FROM l GROUP BY 1) SELECT *, NOT (n_pass < 5 AND n_fail = 0) AS elided FROM a",
+    "diagnostics_fold": f"WITH {LINES}, a AS (SELECT log_id, line_no, regexp_extract(text, '\\((src/[a-z]+\\.ts):[0-9]+:[0-9]+\\)', 1) AS file FROM l) SELECT log_id, file, count(*) AS n_errors, least(count(*), 3) AS n_kept, min(line_no) AS first_line FROM a WHERE file <> '' GROUP BY 1, 2",
+}
