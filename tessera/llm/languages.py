@@ -57,7 +57,7 @@ SEEDS = {
 }
 
 FENCE = re.compile(r"^[ \t>]*(`{3,}|~{3,})[^\n]*\n(?:.*?\n)??[ \t>]*\1[`~]*[ \t]*$|^[ \t>]*(?:`{3,}|~{3,})[^\n]*\n.*\Z", re.S | re.M)
-SPANS = re.compile(r"`[^`\n]*`|<[^<>\s]+>|\[([^\]\n]*)\]\([^)\n]*\)|[\"“«„][^\"“”«»„\n]{0,80}[\"”»“]", re.A)
+SPANS = re.compile(r"`[^`\n]*`|<[^<>\s]+>|\[([^\]\n]*)\]\([^)\n]*\)|\(?[\"“«„][^\"“”«»„\n]{0,80}[\"”»“]\)?", re.A)
 MARKED = re.compile(r"[`<\[\"“«„]")
 ADDRESS = re.compile(r"https?://\S+", re.A)
 ITEM = re.compile(r"(?:[-*+•·]|\d+[.)])\s+")

@@ -165,7 +165,7 @@ class Walker:
             self.offsets.append(self.offsets[-1] + len(line) + 1)
         self.latex = "\\begin{" in self.text or "\\section" in self.text
         fenced = bool(re.search(r"^(?:```|~~~)", self.text, re.M))
-        self.wiki_only = bool(re.search(r"^==.*==\s*$|'''|\[\[|<nowiki>|^\{\{", self.text, re.M)) and not fenced and not re.search(r"^#{2,6} .*\S|^[-*+] \[[ x]\]|\]\((?:\.|http|/)|^---$|\*\*\S|`\S", self.text, re.M)
+        self.wiki_only = bool(re.search(r"^==.*==\s*$|'''|\[\[|<nowiki>|^\{\{", self.text, re.M)) and not fenced and not re.search(r"^#{2,6} .*\S|^[-*+] \[[ x]\]|^[-+] \S|^\d+[.)] \S|\]\((?:\.|http|/)|^---$|\*\*\S|`\S", self.text, re.M)
 
     def add(self, kind: str, plain: str) -> int:
         self.rows.append((kind, plain))

@@ -248,13 +248,13 @@ def lex_braces(text: str, language: str) -> tuple[str, list]:
                 i = k + 1
                 out.append("/")
         else:  # <
-            i = k + 1
             if language != "typescript" and re.compile(r"</?[A-Za-z>]").match(text, k) and JSX_BEFORE.search(before()) and not re.compile(r"<[A-Za-z]\w*(?:\s+extends\b[^<>]*|\s*,[^<>]*)>\s*\(").match(text, k):
                 i = tag(k)
                 if stack and stack[-1][0] == "<":
                     i = in_element(i)
                 out.append("JSX" if language != "javascript" else "0")
             else:
+                i = k + 1
                 out.append("<")
         last = i
     out.append(text[last:])
