@@ -484,6 +484,9 @@ BLOCK_HEAD = re.compile(r"^([ \t]*)(?:(?:async[ \t]+)?(?:def|for|with)|class|if|
 IDENT_PAIR = re.compile(r"(?<![\w.\"])([A-Za-z_]\w*)[ \t]+([A-Za-z_]\w*)")
 
 
+BARE = frozenset("and as assert async await class def del elif except for from global if import in is lambda nonlocal not or while with".split())
+
+
 def python_statements(code: str) -> str | None:
     """What is wrong with the statements of bracket-balanced Python code: blocks without a body, names side by side, a header cut off."""
     lines: list[tuple[int, str]] = []
@@ -527,6 +530,13 @@ def python_statements(code: str) -> str | None:
             return "premature end"
         if INCOMPLETE.search(line) and not line.endswith(("...", ":", "*")) or re.match(r"(?!else\b).*\belse$", line):
             return "premature end"
+        if line in BARE or (line.endswith(":") and not header and first not in ("match", "case")):
+            return "premature end"
+        flat = line
+        while (inner := re.sub(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", " _ ", flat)) != flat:
+            flat = inner
+        if not header and first not in ("case", "assert") and len(re.findall(r"\bif\b", flat)) > len(re.findall(r"\belse\b", flat)):
+            return "premature end"
         for a, b in IDENT_PAIR.findall(line):
             if a not in KEYWORDS["python"] and b not in KEYWORDS["python"]:
                 return "foreign construct"
