@@ -234,20 +234,30 @@ def fit(rows: list[tuple[str, str]]) -> dict[str, dict[str, int]]:
     """Word counts a language from (label, text) rows: first by label, then by label where the first fit agrees."""
     lists: list[list[str]] = []
     labels: list[str] = []
-    for label, text in rows:
+    owner: list[int] = []
+    n_docs: Counter = Counter()
+    for number, (label, text) in enumerate(rows):
         code = label_code(label)
         if code and text:
+            n_docs[code] += 1
             for s in sentences(text):
                 if len(w := words_of(s)) >= MIN_WORDS:
                     lists.append(w)
                     labels.append(code)
+                    owner.append(number)
     keep = [True] * len(lists)
     counts: dict[str, Counter] = {}
     for step in range(3):
         counts = {lang: Counter() for lang in LANGS}
-        for words, label, ok in zip(lists, labels, keep):
+        seen: dict[str, set] = {lang: set() for lang in LANGS}
+        for words, label, ok, number in zip(lists, labels, keep, owner):
             if ok:
                 counts[label].update(words)
+                seen[label].update((w, number) for w in words)
+        for lang in LANGS:  # what only a document or two of many hold is mostly a passage in another language
+            least = 3 if n_docs[lang] >= 60 else 2 if n_docs[lang] >= 20 else 1
+            in_docs = Counter(w for w, _ in seen[lang])
+            counts[lang] = Counter({w: n for w, n in counts[lang].items() if in_docs[w] >= least})
         if not lists or step == 2:
             break
         best = Scorer(own_words(counts)).score(lists).argmin(axis=1)
