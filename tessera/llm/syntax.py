@@ -472,7 +472,7 @@ FOREIGN = {
     "java": [PY_FRAME, RB_FRAME, r"^package +\w+[ \t]*$|^func\b|:=|^import +(?:\"\"|\()", r"\bfn +\w+|\blet +|^[ \t]*use +\w+::|println!|\bimpl\b", r"^[ \t]*# *(?:include|define|ifdef|ifndef|endif|pragma)\b|->\w+ *[;=)]|^[ \t]*struct\b|\bunsigned\b|\bsize_t\b|^(?:static +|const +)*(?:int|void|char|long|double) +\*?\w+\s*\([^\n]*\)\s*\{?[ \t]*$", r"\bfunction\b|^[ \t]*(?:const|let) +\w|===|\?\?|\brequire\(|^import +[\w{*\"][^\n;]*from|^export\b|=> *[{(]", TS_ONLY.replace(r"interface +\w+[^\n(]*\{|", "").replace(r"|enum +\w+ *\{", "")],
     "c": [PY_FRAME, RB_FRAME, GO_FRAME, r"\bfn +\w+|\blet +\w|^[ \t]*use +\w+::|\w!\(|\bimpl\b|\w::\w", r"^package\b|^import\b|^[ \t]*(?:public|private|protected)\b|@Override|\bnew +\w+\(", JS_FRAME.replace("const|let", "let"), TS_ONLY.replace(r"|\) *: *[A-Za-z][\w<>\[\], |]*(?: *=>| *\{)", "").replace(r"enum +\w+ *\{|", ""), r"===|\?\?|^[ \t]*(?:class|interface)\b"],
     "javascript": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import +\(|^type\b", r"\bfn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\w!\(|^[ \t]*(?:impl|pub|struct|enum|trait|mod)\b|\w::\w|#\[", r"^import +[\w.]+;|^[ \t]*(?:public|private|protected)\b|@Override|\b(?:int|String|void|char|final) +\w+ *[=({;]|^[ \t]*(?:int|char|double|long)\[\]", C_FRAME.replace("->\\w|", ""), TS_ONLY],
-    "typescript": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import +\(", r"\bfn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\w!\(\"\"|^[ \t]*(?:impl|pub|struct|trait|mod)\b|\w::\w|#\[", r"^import +[\w.]+;|^package\b|@Override *$|^(?:public|private|protected)\b|^[ \t]*(?:public|private|protected) +(?:static +)?(?:final +)?(?:class|int|String|void|<\w+>)\b|\b(?:int|String|char|final) +\w+ *[=({;]", C_FRAME.replace("->\\w|", ""), r"\bJSX\b"],
+    "typescript": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import +\(", r"\bfn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\w!\(\"\"|^[ \t]*(?:impl|pub|struct|trait|mod)\b|\w::\w|#\[", r"^import +[\w.]+;|^package\b|@Override *$|^(?:public|private|protected)\b|^[ \t]*(?:public|private|protected) +(?:static +)?(?:final +)?(?:class|int|String|void|<\w+>)\b|\b(?:int|String|char|final) +\w+ *[=({;]", C_FRAME.replace("->\\w|", ""), r"</[A-Za-z][\w.]*>|<[A-Za-z]\w*[^<>\n]*/>"],
 }
 FOREIGN["tsx"] = FOREIGN["typescript"][:-1]
 FOREIGN = {k: [re.compile(p, M) for p in v] for k, v in FOREIGN.items()}

@@ -22,7 +22,7 @@ GOOD = {
 BAD = {
     "a.py": ["x = (1,\n", "x = 'abc\n", "def f():\n", "def f():\n<<<<<<< HEAD\n    pass\n", "x = 1 +\n", "if (x := 1) is not None\n", "<!DOCTYPE html>\n<html></html>\n", "func f() {\n}\n"],
     "a.js": ["function f() {\n", "let s = `a ${b\n", "/* x\n", "import type { A } from './a';\n", "def f(x):\n    return x\n", "{\n  \"a\": 1\n}\n"],
-    "a.ts": ["f(]\n", "=======\nconst x = 1;\n>>>>>>> b\n", "def f(x):\n    pass\n", "package a\nfunc f() int {\n}\n"],
+    "a.ts": ["function C() {\n  return (\n    <b className=\"x\">\n      <i>text</i>\n    </b>\n  );\n}\n", "f(]\n", "=======\nconst x = 1;\n>>>>>>> b\n", "def f(x):\n    pass\n", "package a\nfunc f() int {\n}\n"],
     "a.go": ["package a\nfunc f() {\n", "use a::b;\nfn f() { }\n", "package a.b;\npublic class C { }\n"],
     "a.rs": ["fn f() { let s = r#\"abc\n", "package a\nfunc f() {\n}\n", "#include <a.h>\nint f(void) { return 1; }\n"],
     "A.java": ["public class A {\n", "fn f() { let mut x = 1; }\n", "public class\n"],
