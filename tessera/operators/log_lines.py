@@ -8,7 +8,7 @@ small table of blocks is ever ordered per log.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,40 +26,51 @@ BANNER = r"^(={4,}|\|.*\||\$ |> |Booting )"
 STAMPS = {"iso": r"^[\[]?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.,]+", "syslog": r"^[A-Z][a-z]{2} [ 0-9][0-9] [0-9:]{8}", "epoch": r"^[0-9]{10,13}([^0-9]|$)"}
 
 
-def clean_lines(lines: DataFrame) -> DataFrame:
-    """Each line once, without colours and trailing white space; null is blank; with its block."""
-    once = lines.select("log_id", "line_no", "text").dropDuplicates(["log_id", "line_no"])
+def clean_lines(lines: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each line once, without colours and trailing white space; null is blank; with its block and, if asked for, a `key` of its text. All
+    expressions on text run before the one shuffle by block: taking repeated lines as one, the windows and the sums over blocks
+    use its partitioning, and branches of a plan read the same exchange again."""
+    block = F.floor(F.col("line_no") / BLOCK).cast("int").alias("block")
     text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), COLOUR, ""), r"[ \t]+$", "")
-    return once.select("log_id", "line_no", text.alias("text"), F.floor(F.col("line_no") / BLOCK).cast("int").alias("block"))
-
-
-def carried(lines: DataFrame, mark: Column, out: str, before: bool = False) -> DataFrame:
-    """Adds the last non-null value of `mark` up to each line (before: up to the line in front of it), over blocks."""
-    inside = Window.partitionBy("log_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    marked = lines.withColumn("_mark", mark)
-    own = marked.withColumn("_own", F.last("_mark", ignorenulls=True).over(inside))
-    blocks = marked.groupBy("log_id", "block").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("line_no"))).alias("_last"))
-    earlier = Window.partitionBy("log_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("log_id", "block", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    return own.join(blocks, ["log_id", "block"]).withColumn(out, F.coalesce("_own", "_carry")).drop("_mark", "_own", "_carry")
+    made = lines.select("log_id", block, "line_no", text.alias("text"))
+    if key is not None:
+        made = made.withColumn("key", key(F.col("text")))
+    columns = [c for c in ("text", "key") if c in made.columns]
+    return made.repartition("log_id", "block").groupBy("log_id", "block", "line_no").agg(*[F.min(c).alias(c) for c in columns])
+
+
+def runs_in_order(lines: DataFrame) -> DataFrame:
+    """(log_id, key, first_line, last_line, n_lines, first_text, last_text): runs of neighbouring lines with equal keys, over blocks. Runs are found
+    in each block; one row a block says which of them go on from the block before."""
+    own = Window.partitionBy("log_id", "block").orderBy("line_no")
+    started = lines.withColumn("_s", F.when(F.lag("key").over(own) == F.col("key"), 0).otherwise(1))
+    parts = (
+        started.withColumn("_r", F.sum("_s").over(own))
+        .groupBy("log_id", "block", "_r")
+        .agg(F.min("key").alias("key"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines"), F.min_by("text", "line_no").alias("first_text"), F.max_by("text", "line_no").alias("last_text"))
+    )
+    edges = started.groupBy("log_id", "block").agg(F.min_by("key", "line_no").alias("_head"), F.max_by("key", "line_no").alias("_tail"), F.sum("_s").alias("_last"))
+    order = Window.partitionBy("log_id").orderBy("block")
+    edges = edges.withColumn("_goes_on", F.coalesce(F.lag("_tail").over(order) == F.col("_head"), F.lit(False)))
+    # the run that the next block's first may continue: this block's last, or what that itself continues
+    owner = F.when(~(F.col("_goes_on") & (F.col("_last") == 1)), F.struct("block", "_last"))
+    edges = edges.withColumn("_owner", F.last(owner, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    joined = parts.join(edges.select("log_id", "block", "_goes_on", "_owner"), ["log_id", "block"], "left")
+    moves = F.col("_goes_on") & (F.col("_r") == 1)
+    keyed = joined.withColumns({"_b": F.when(moves, F.col("_owner.block")).otherwise(F.col("block")), "_k": F.when(moves, F.col("_owner._last")).otherwise(F.col("_r"))})
+    return keyed.groupBy("log_id", "_b", "_k").agg(F.min("key").alias("key"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("n_lines").alias("n_lines"), F.min_by("first_text", "first_line").alias("first_text"), F.max_by("last_text", "last_line").alias("last_text")).drop("_b", "_k")
 
 
 def fold_repeats(lines: DataFrame) -> DataFrame:
-    """(log_id, line_no, text, repeats): the first line of each run of lines that are equal but for numbers."""
-    kept = lines.withColumn("norm", T.normalize_log_line(F.col("text")))
-    kept = carried(kept, F.col("norm"), "prev", before=True)
-    kept = kept.withColumn("start", F.when(F.col("prev").isNull() | (F.col("prev") != F.col("norm")), F.col("line_no")))
-    runs = carried(kept, F.col("start"), "run")
-    return runs.groupBy("log_id", F.col("run").alias("line_no")).agg(F.min_by("text", "line_no").alias("text"), (F.count("*") - 1).alias("repeats"))
+    """(log_id, line_no, text, repeats): the first line of each run of lines that are equal but for numbers. `lines` as in the table."""
+    runs = runs_in_order(clean_lines(lines, T.normalize_log_line))
+    return runs.select("log_id", F.col("first_line").alias("line_no"), F.col("first_text").alias("text"), (F.col("n_lines") - 1).alias("repeats"))
 
 
 def fold_runs(lines: DataFrame, pattern: str) -> DataFrame:
-    """(log_id, line_no, text, n_lines): the last line of each run of matching lines."""
-    hit = lines.withColumn("hit", F.col("text").rlike(pattern))
-    hit = carried(hit, F.col("hit").cast("int"), "prev", before=True)
-    hit = hit.withColumn("start", F.when(F.col("hit") & (F.coalesce("prev", F.lit(0)) == 0), F.col("line_no")))
-    runs = carried(hit, F.col("start"), "run").where("hit")
-    return runs.groupBy("log_id", "run").agg(F.max("line_no").alias("line_no"), F.max_by("text", "line_no").alias("text"), F.count("*").alias("n_lines")).drop("run")
+    """(log_id, line_no, text, n_lines): the last line of each run of matching lines. `lines` as in the table."""
+    runs = runs_in_order(clean_lines(lines, lambda text: text.rlike(pattern).cast("int"))).where("key = 1")
+    return runs.select("log_id", F.col("last_line").alias("line_no"), F.col("last_text").alias("text"), "n_lines")
 
 
 def global_repeats(lines: DataFrame, least: int = 3, length: int = 12) -> DataFrame:
@@ -69,9 +80,10 @@ def global_repeats(lines: DataFrame, least: int = 3, length: int = 12) -> DataFr
 
 
 def collapse_blanks(lines: DataFrame) -> DataFrame:
-    """Lines without blank lines that follow a blank line."""
-    blank = lines.withColumn("blank", (F.col("text") == "").cast("int"))
-    return carried(blank, F.col("blank"), "prev", before=True).where("blank = 0 or coalesce(prev, 0) = 0").select("log_id", "line_no", "text")
+    """(log_id, n_lines, n_blank): lines that are left when a run of blank lines becomes one. `lines` as in the table."""
+    runs = runs_in_order(clean_lines(lines, lambda text: (text == "").cast("int")))
+    kept = F.when(F.col("key") == 1, 1).otherwise(F.col("n_lines"))
+    return runs.groupBy("log_id").agg(F.sum(kept).alias("n_lines"), F.sum(F.col("key").cast("long")).alias("n_blank"))
 
 
 def drop_matching(lines: DataFrame, pattern: str) -> DataFrame:

@@ -28,11 +28,11 @@ def strip_ansi(spark, d):
 
 
 def fold_repeats(spark, d):
-    return L.fold_repeats(lines(spark, d))
+    return L.fold_repeats(table(spark, d, "log_lines"))
 
 
 def fold_progress(spark, d):
-    return L.fold_runs(lines(spark, d), L.PROGRESS)
+    return L.fold_runs(table(spark, d, "log_lines"), L.PROGRESS)
 
 
 def fold_global_repeats(spark, d):
@@ -40,7 +40,7 @@ def fold_global_repeats(spark, d):
 
 
 def collapse_blanks(spark, d):
-    return L.collapse_blanks(lines(spark, d)).groupBy("log_id").agg(F.count("*").alias("n_lines"), F.sum((F.col("text") == "").cast("long")).alias("n_blank"))
+    return L.collapse_blanks(table(spark, d, "log_lines"))
 
 
 def drop_debug(spark, d):
