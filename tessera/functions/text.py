@@ -70,9 +70,20 @@ def occurrences(text: Column, needle: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
-def word_occurrences(text: Column, term: str) -> Column:
-    """Whole-word occurrences in ASCII boundaries, whatever the case."""
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![A-Za-z0-9_]){term.lower()}(?![A-Za-z0-9_])"))
+def word_pattern(term: str) -> str:
+    """A whole word in ASCII boundaries; the word is looked for before what is around it."""
+    return rf"{term.lower()}(?<![A-Za-z0-9_]{term.lower()})(?![A-Za-z0-9_])"
+
+
+def word_occurrences(text: Column, term: str, lowered: bool = False) -> Column:
+    """Whole-word occurrences whatever the case; the plain test in front spares most texts the pattern. lowered: text is in lower case."""
+    low = text if lowered else F.lower(text)
+    return F.when(low.contains(term.lower()), F.regexp_count(low, F.lit(word_pattern(term)))).otherwise(0)
+
+
+def has_word(low: Column, term: str) -> Column:
+    """Whether a text in lower case has the word."""
+    return low.contains(term.lower()) & low.rlike(word_pattern(term))
 
 
 def split_camel(text: Column) -> Column:

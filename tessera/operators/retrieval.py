@@ -23,22 +23,22 @@ LEAST = 10
 
 def term_stats(corpus: DataFrame, terms: Sequence[str], text: str = "text") -> DataFrame:
     """(term, df, idf, n_docs, avgdl): document frequency by whole words; idf with add-half smoothing."""
-    c = F.col(text)
-    totals = corpus.agg(F.count("*").alias("n"), F.avg(T.token_count(c)).alias("avgdl"), *[F.coalesce(F.sum((T.word_occurrences(c, t) > 0).cast("int")), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
+    c = F.col("_low")
+    totals = corpus.select(F.lower(text).alias("_low")).agg(F.count("*").alias("n"), F.avg(T.token_count(c)).alias("avgdl"), *[F.coalesce(F.sum(T.has_word(c, t).cast("int")), F.lit(0)).alias(f"df_{i}") for i, t in enumerate(terms)])
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"df_{i}").alias("df")) for i, t in enumerate(terms)]))
     idf = F.log((F.col("n") - F.col("r.df") + 0.5) / (F.col("r.df") + 0.5) + 1)
     return totals.select("n", "avgdl", rows.alias("r")).select("r.term", "r.df", idf.alias("idf"), F.col("n").alias("n_docs"), F.coalesce("avgdl", F.lit(1.0)).alias("avgdl"))
 
 
-def bm25(text: Column, stats: Sequence, length: Column | None = None) -> Column:
+def bm25(text: Column, stats: Sequence, length: Column | None = None, lowered: bool = False) -> Column:
     """Score of a text for the terms of `stats` (rows of term_stats)."""
     length = T.token_count(text) if length is None else length
-    score = F.lit(0.0)
-    for row in stats:
-        tf = T.word_occurrences(text, row["term"]).cast("double")
-        idf = row["idf"] if row["idf"] is not None else math.log(1.5)
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(row["avgdl"])))
-    return F.when(F.length(text) == 0, 0.0).otherwise(score)
+    # as elements of one array, so that each frequency and the length are worked out once a text
+    parts = F.array(*[F.struct(F.lit(row["idf"] if row["idf"] is not None else math.log(1.5)).alias("idf"), T.word_occurrences(text, row["term"], lowered).cast("double").alias("tf"), F.lit(row["avgdl"]).alias("avgdl")) for row in stats])
+    if not stats:
+        return F.lit(0.0)
+    sized = F.transform(F.array(length), lambda n: F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.when(x["tf"] > 0, x["idf"] * x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * n / x["avgdl"]))).otherwise(0.0)))
+    return F.when(F.length(text) == 0, 0.0).otherwise(F.element_at(sized, 1))
 
 
 def metadata_score(terms: Sequence[str], path: Column, names: Column, heads: Column) -> Column:
@@ -58,8 +58,10 @@ def metadata_score(terms: Sequence[str], path: Column, names: Column, heads: Col
 def rank_documents(corpus: DataFrame, terms: Sequence[str], k: int | None = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The k best documents with a score above 0; ties by key. k None: all of them."""
     stats = term_stats(corpus, terms, text).collect()  # a row a term
-    scored = corpus.select(key, F.round(bm25(F.col(text), stats), 6).alias("score")).where("score > 0")
-    return scored.orderBy(F.desc("score"), key).limit(k) if k else scored
+    # lower case is its own projection: the optimizer keeps apart what is dear and used more than once
+    scored = corpus.select(key, F.lower(text).alias("_low")).select(key, F.round(bm25(F.col("_low"), stats, lowered=True), 6).alias("score"))
+    # the filter comes after the top-k: in front of it the whole score would be worked out twice
+    return (scored.orderBy(F.desc("score"), key).limit(k) if k else scored).where("score > 0")
 
 
 def matched_terms(text: Column, terms: Sequence[str] = RISK_TERMS) -> Column:
