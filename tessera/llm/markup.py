@@ -628,7 +628,7 @@ class Walker:
         return self
 
     def wiki_numbered(self, i: int) -> bool:
-        """Whether the line is a wiki list line: `#` next to another such line or in a wiki document, or `**`."""
+        """Whether the line is a wiki list line: `#` next to another such line or with wiki markup in it, or `**`; a lone `#` is a heading."""
         line = self.lines[i]
         if not re.match(r"[*#:;]*[*#][ \t]*\S", line):
             return False
@@ -644,7 +644,7 @@ class Walker:
         if not re.match(r"#+[*#:]* ", line):
             return False
         near = [self.lines[j] for j in (i - 1, i + 1) if 0 <= j < len(self.lines)]
-        return any(re.match(r"#+[*#:]* \S", x) for x in near) or self.wiki_only or bool(re.search(r"'''|''\w|\[\[|<nowiki>|\[https?:\S+ ", CODE_SPAN.sub("", line)))
+        return any(re.match(r"#+[*#:]* \S", x) for x in near) or bool(re.search(r"'''|''\w|\[\[|<nowiki>|\[https?:\S+ ", CODE_SPAN.sub("", line)))
 
     def rest(self, offset: int) -> int:
         """The next line to look at after an offset; what is left of the offset's own line is put in front of it."""

@@ -62,8 +62,8 @@ def test_html():
 
 
 def test_wiki():
-    text = "== '''A''' [[P|b]] ==\n\n* one [http://x y]\n** <nowiki>''z''</nowiki>\n# num {{c|d}}\n\n{|\n| no\n|}\n\n{{Box|a=1}}\n\nt <math>a_1</math><ref>no</ref>\n\n<source lang=\"x\">\n== no ==\n</source>\n"
-    assert of(text, "heading") == ["A b"] and of(text, "list_item") == ["one y", "''z''", "num"]
+    text = "== '''A''' [[P|b]] ==\n\n* one [http://x y]\n** <nowiki>''z''</nowiki>\n# num {{c|d}}\n# two\n\n{|\n| no\n|}\n\n{{Box|a=1}}\n\nt <math>a_1</math><ref>no</ref>\n\n<source lang=\"x\">\n== no ==\n</source>\n"
+    assert of(text, "heading") == ["A b"] and of(text, "list_item") == ["one y", "''z''", "num", "two"]
     assert of(text, "formula") == ["a_1"] and of(text, "code") == ["== no =="]
 
 
