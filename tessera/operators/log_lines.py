@@ -7,8 +7,13 @@ small table of blocks is ever ordered per log.
 
 from __future__ import annotations
 
+import marshal
+import os
 import re
-from collections.abc import Callable, Iterator
+import tempfile
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 BLOCK = 8192
+HELD = 50_000
 COLOUR = r"\x1B\[[0-9;?]*[A-Za-z]|\x1B\][^\x07]*\x07|\r"
 PROGRESS = r"(?i)[0-9]{1,3}%|worker [0-9]+ joined"
 HEALTH = r"(?i)/(health|healthz|readyz|livez)([^A-Za-z0-9_]|$)|health check"
@@ -122,128 +128,249 @@ def normal(line: str) -> str:
     return line.strip()
 
 
-def runs_of(items: list, key) -> Iterator[tuple]:
-    """(key, members) of runs of neighbours with equal keys."""
-    held, last = [], object()
-    for item in items:
-        k = key(item)
-        if held and k != last:
-            yield last, held
-            held = []
-        held.append(item)
-        last = k
-    if held:
-        yield last, held
+class Lines:
+    """Lines in order, to be read any number of times; HELD of them stay in memory, the rest goes to a temporary file."""
+
+    def __init__(self, lines: Iterable[str] = ()) -> None:
+        self.held: list[str] = []
+        self.places: list[tuple[int, int]] = []
+        self.file, self.n, self.end = None, 0, 0
+        for x in lines:
+            self.append(x)
+
+    def append(self, line: str) -> None:
+        self.held.append(line)
+        self.n += 1
+        if len(self.held) >= HELD:
+            self.file = self.file or tempfile.TemporaryFile(buffering=0)
+            data = marshal.dumps(self.held)
+            self.file.seek(self.end)
+            rest = memoryview(data)
+            while rest:
+                rest = rest[self.file.write(rest) :]
+            self.places.append((self.end, len(data)))
+            self.end += len(data)
+            self.held = []
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[str]:
+        for at, size in self.places:
+            yield from marshal.loads(os.pread(self.file.fileno(), size, at))
+        yield from self.held
+
+
+def size(lines: Iterable[str]) -> int:
+    return sum(len(x.split()) for x in lines)
+
+
+def clean(line: str) -> str:
+    return COMPILED["colour"].sub("", line).rstrip()
+
+
+def fold_hits(lines: Lines, pattern: re.Pattern, label: str) -> Iterator[str]:
+    n = 0
+    for x in lines:
+        if pattern.search(x):
+            n += 1
+            continue
+        if n:
+            yield f"[{label}: {n} lines]"
+            n = 0
+        yield x
+    if n:
+        yield f"[{label}: {n} lines]"
+
+
+def fold_blocks(lines: Lines, start: re.Pattern, end: re.Pattern, label: str) -> Iterator[str]:
+    inside = 0
+    for x in lines:
+        if inside:
+            inside += 1
+            if end.search(x):
+                yield f"[{label}: {inside} lines]"
+                inside = 0
+        elif start.search(x):
+            inside = 1
+        else:
+            yield x
+    if inside:
+        yield f"[{label}: {inside} lines]"
+
+
+def fold_progress(lines: Lines) -> Iterator[str]:
+    n, last = 0, ""
+
+    def folded() -> list[str]:
+        return [last] * (n > 0) + [f"[progress: {n - 1} lines collapsed]"] * (n > 1)
+
+    for x in lines:
+        if COMPILED["progress"].search(x):
+            n, last = n + 1, x
+            continue
+        yield from folded()
+        n = 0
+        yield x
+    yield from folded()
+
+
+def fold_stacks(lines: Lines) -> Iterator[str]:
+    def blocks() -> Iterator[tuple[bool, list[str]]]:
+        block: list[str] = []
+        stack = False
+        for x in lines:
+            if stack and x and FRAME.match(x):
+                block.append(x)
+                continue
+            if block:
+                yield stack, block
+            block, stack = [x], bool(STACK.match(x))
+        if block:
+            yield stack, block
+
+    last, n = None, 0
+    for stack, block in blocks():
+        key = tuple(map(normal, block)) if stack else None
+        if stack and key == last:
+            n += 1
+            continue
+        if n > 1:
+            yield f"[stack repeated {n}x]"
+        yield from block
+        last, n = key, 1
+    if n > 1:
+        yield f"[stack repeated {n}x]"
+
+
+def fold_equal(lines: Lines, keys: Lines) -> Iterator[str]:
+    """Runs of equal lines folded; `keys` gets the normal form of each line that is given back."""
+    last, n = None, 0
+
+    def folded() -> Iterator[str]:
+        if n > 1 and last:
+            keys.append(normal(line := f"[repeated {n - 1}x]"))
+            yield line
+
+    for x in lines:
+        key = normal(x)
+        if key == last:
+            n += 1
+            continue
+        yield from folded()
+        keys.append(key)
+        yield x
+        last, n = key, 1
+    yield from folded()
+
+
+def fold_often(lines: Lines, keys: Lines) -> Iterator[str]:
+    counts = Counter(k for k in keys if len(k) >= 12)
+    first = {k: True for k, n in counts.items() if n >= 3}
+    del counts
+    gone = 0
+    for x, k in zip(lines, keys):
+        fresh = first.get(k)
+        if fresh is False:
+            gone += 1
+            continue
+        if fresh:
+            first[k] = False
+        yield x
+    if gone:
+        yield f"[{gone} repeated lines folded]"
 
 
-def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None) -> tuple[list[str], list[str]]:
-    """Folds one piece of a log: (lines, names of the rules that changed it). Never longer in tokens than what it was given."""
+def one_blank(lines: Lines) -> Iterator[str]:
+    before = "x"
+    for x in lines:
+        if x or before:
+            yield x
+        before = x
+
+
+def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None) -> tuple[Lines, list[str]]:
+    """Folds one whole log of clean lines: (lines, names of the rules that changed it). Never longer in tokens than what it was given. Each rule reads all
+    lines in order; in memory are the distinct lines' normal forms, one stack, and HELD lines of each step."""
     options = {"debug": True, "health": True, "stacks": True} | PROFILES.get((profile or "").lower(), {})
-    original = [COMPILED["colour"].sub("", x).rstrip() for x in lines]
-    out, applied = list(original), []
+    out, applied = original, []
 
-    def note(name: str, new: list[str]) -> None:
+    def note(name: str, made: Iterable[str]) -> None:
         nonlocal out
-        if new != out:
+        new, old, same = Lines(), iter(out), True
+        for x in made:
+            new.append(x)
+            same = same and next(old, None) == x
+        if not same or next(old, None) is not None:
             out = new
             applied.append(name)
 
     for rule in rules or ():
         if rule["type"] == "strip":
-            note("custom-strip", [x for x in out if not re.search(rule["pattern"], x)])
+            pattern = re.compile(rule["pattern"])
+            note("custom-strip", (x for x in out if not pattern.search(x)))
         elif rule["type"] == "fold":
-            folded: list[str] = []
-            for hit, run in runs_of(out, lambda x, p=rule["pattern"]: bool(re.search(p, x))):
-                folded += [f"[{rule.get('label', 'folded')}: {len(run)} lines]"] if hit else run
-            note("custom-fold", folded)
+            note("custom-fold", fold_hits(out, re.compile(rule["pattern"]), rule.get("label", "folded")))
         elif rule["type"] == "block":
-            folded, inside = [], 0
-            for x in out:
-                if inside:
-                    inside += 1
-                    if re.search(rule["end"], x):
-                        folded.append(f"[{rule.get('label', 'block')}: {inside} lines]")
-                        inside = 0
-                elif re.search(rule["start"], x):
-                    inside = 1
-                else:
-                    folded.append(x)
-            note("custom-block", folded + ([f"[{rule.get('label', 'block')}: {inside} lines]"] if inside else []))
-    folded = []
-    for hit, run in runs_of(out, lambda x: bool(COMPILED["progress"].search(x))):
-        folded += [run[-1]] + ([f"[progress: {len(run) - 1} lines collapsed]"] if len(run) > 1 else []) if hit else run
-    note("progress-fold", folded)
+            note("custom-block", fold_blocks(out, re.compile(rule["start"]), re.compile(rule["end"]), rule.get("label", "block")))
+    note("progress-fold", fold_progress(out))
     for name in ("debug", "health"):
         if options[name]:
-            kept = [x for x in out if not COMPILED[name].search(x)]
-            note(f"{name}-drop", kept if len(kept) == len(out) else [f"[{name}: {len(out) - len(kept)} lines dropped]", *kept])
-    banners = sum(bool(COMPILED["banner"].search(x)) for x in out)
+            search = COMPILED[name].search
+            kept = Lines(x for x in out if not search(x))
+            if gone := len(out) - len(kept):
+                note(f"{name}-drop", chain([f"[{name}: {gone} lines dropped]"], kept))
+    banner = COMPILED["banner"].search
+    banners = sum(bool(banner(x)) for x in out)
     if len(out) >= 10 and banners > 3:
-        note("startup-fold", [f"[startup: {banners} lines]", *[x for x in out if not COMPILED["banner"].search(x)]])
-    note("agent-strip", [COMPILED["agent"].sub('"<ua>"', x) for x in out])
+        note("startup-fold", chain([f"[startup: {banners} lines]"], (x for x in out if not banner(x))))
+    agent = COMPILED["agent"].sub
+    note("agent-strip", (agent('"<ua>"', x) for x in out))
     if options["stacks"] and dedupe_stacks:
-        blocks: list[list[str]] = []
-        for x in out:
-            if blocks and STACK.match(blocks[-1][0]) and FRAME.match(x) and x:
-                blocks[-1].append(x)
-            else:
-                blocks.append([x])
-        folded = []
-        for key, run in runs_of(blocks, lambda b: tuple(map(normal, b)) if STACK.match(b[0]) else id(b)):
-            folded += run[0] + ([f"[stack repeated {len(run)}x]"] if len(run) > 1 else [])
-        note("stack-dedup", folded)
-    folded = []
-    for key, run in runs_of(out, normal):
-        folded += [run[0]] + ([f"[repeated {len(run) - 1}x]"] if len(run) > 1 and key else [])
-    note("repeat-fold", folded)
-    counts: dict[str, int] = {}
-    for x in out:
-        k = normal(x)
-        if len(k) >= 12:
-            counts[k] = counts.get(k, 0) + 1
-    seen: set[str] = set()
-    folded, gone = [], 0
-    for x in out:
-        k = normal(x)
-        if counts.get(k, 0) >= 3 and k in seen:
-            gone += 1
-        else:
-            folded.append(x)
-            seen.add(k)
-    note("global-repeat-fold", folded + ([f"[{gone} repeated lines folded]"] if gone else []))
-    note("blank-collapse", [x for i, x in enumerate(out) if x or not i or out[i - 1]])
-    size = lambda xs: sum(len(x.split()) for x in xs)
+        note("stack-dedup", fold_stacks(out))
+    keys = Lines()
+    note("repeat-fold", fold_equal(out, keys))
+    note("global-repeat-fold", fold_often(out, keys))
+    note("blank-collapse", one_blank(out))
     return (original, []) if size(out) > size(original) else (out, applied)
 
 
+def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None) -> tuple[list[str], list[str]]:
+    """`prune_lines` on a list of lines as they stand in a log."""
+    out, applied = prune_lines(Lines(map(clean, lines)), profile, dedupe_stacks, rules)
+    return list(out), applied
+
+
 def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000) -> DataFrame:
-    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text): logs folded in pieces of `piece` consecutive lines, so that no log is
-    ever one task; the options come from the log's own row."""
+    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text): each log folded as a whole, in one task that keeps its lines on disk; the options
+    come from the log's own row. The text comes in pieces of `piece` kept lines, numbered from 0; all other columns are of the whole log."""
     options = logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
-    once = lines.select("log_id", "line_no", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("line_no") / piece).cast("int").alias("piece"))
-    spread = once.join(options, "log_id", "left").select("log_id", "piece", "line_no", "text", "profile", "stacks").repartition("log_id", "piece").sortWithinPartitions("log_id", "piece", "line_no")
+    once = lines.select("log_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
+    whole = once.join(options, "log_id", "left").select("log_id", "line_no", "text", "profile", "stacks").repartition("log_id").sortWithinPartitions("log_id", "line_no")
     names = ["log_id", "piece", "n_lines", "n_kept", "tokens", "tokens_kept", "rules", "text"]
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, last, opts = None, [], None, (None, True)
+        key, held, last, tokens, opts = None, Lines(), None, 0, (None, True)
 
-        def done() -> pa.RecordBatch:
-            kept, rules = prune(held, opts[0], opts[1] is not False)
-            count = lambda xs: sum(len(x.split()) for x in xs)
-            row = [key[0], key[1], len(held), len(kept), count(held), count(kept), rules, "\n".join(kept)]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+        def done() -> Iterator[pa.RecordBatch]:
+            kept, rules = prune_lines(held, opts[0], opts[1] is not False)
+            tokens_kept, rest = size(kept), iter(kept)
+            for k in range(max(1, -(-len(kept) // piece))):
+                row = [key, k, len(held), len(kept), tokens, tokens_kept, rules, "\n".join(islice(rest, piece))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for log_id, part, number, text, profile, stacks in zip(*(c.to_pylist() for c in batch.columns)):
-                if (log_id, part) != key:
-                    if held:
-                        yield done()
-                    key, held, last, opts = (log_id, part), [], None, (profile, stacks)
+            for log_id, number, text, profile, stacks in zip(*(c.to_pylist() for c in batch.columns)):
+                if log_id != key:
+                    if len(held):
+                        yield from done()
+                    key, held, last, tokens, opts = log_id, Lines(), None, 0, (profile, stacks)
                 if number != last:
-                    held.append(text)
+                    held.append(clean(text))
+                    tokens += len(text.split())
                     last = number
-        if held:
-            yield done()
+        if len(held):
+            yield from done()
 
-    return spread.mapInArrow(run, "log_id string, piece int, n_lines int, n_kept int, tokens int, tokens_kept int, rules array<string>, text string")
+    return whole.mapInArrow(run, "log_id string, piece int, n_lines bigint, n_kept bigint, tokens bigint, tokens_kept bigint, rules array<string>, text string")

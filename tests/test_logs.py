@@ -117,3 +117,22 @@ def test_islands_cross_blocks(spark, monkeypatch):
     df = spark.createDataFrame([("l", i, t) for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
     got = sorted((r.line_no, r.repeats) for r in L.fold_repeats(df).collect())
     assert got == [(1, 2), (4, 0), (5, 5), (11, 0)]
+
+
+def test_prune_takes_a_log_as_a_whole(spark):
+    lines = [t for k in range(12) for t in (f"once in a piece of the log {k}", f"a {'x' * (k + 1)} other", "step 5%", "step 6%")]
+    df = spark.createDataFrame([("l", i, t) for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
+    logs = spark.createDataFrame([("l", None, None, None)], "log_id string, profile string, strip_timestamps string, dedupe_stack_traces boolean")
+    want, rules = L.prune(lines)
+    assert want[-1] == "[22 repeated lines folded]" and "global-repeat-fold" in rules
+    for piece in (4, 5_000):
+        got = sorted(L.prune_logs(df, logs, piece).collect(), key=lambda r: r.piece)
+        assert "\n".join(r.text for r in got).split("\n") == want
+        assert {(r.n_lines, r.n_kept, tuple(r.rules)) for r in got} == {(48, len(want), tuple(rules))}
+
+
+def test_prune_is_the_same_from_disk(monkeypatch):
+    lines = [x or "" for x in LOG * 5]
+    want = L.prune(lines)
+    monkeypatch.setattr(L, "HELD", 3)
+    assert L.prune(lines) == want
