@@ -7,6 +7,7 @@ small table of blocks is ever ordered per log.
 
 from __future__ import annotations
 
+import json
 import marshal
 import os
 import re
@@ -119,7 +120,38 @@ STACK = re.compile(r"^(?:\w*Error\b|Caused by\b|\w*Exception\b|[\w.]+Exception\b
 FRAME = re.compile(r"^(?:\s+at |\s+File |\t|\s{2,}|main\.|Caused by|\.\.\. )")
 NUMBERS = [(re.compile(r"\b\d+\b"), "#"), (re.compile(r"\b[0-9a-f]{7,40}\b"), "<hash>"), (re.compile(r"0x[0-9a-fA-F]+"), "0x#")]
 COMPILED = {k: re.compile(v) for k, v in {"colour": COLOUR, "progress": PROGRESS, "health": HEALTH, "debug": DEBUG, "banner": BANNER, "agent": AGENT} .items()}
-PROFILES = {"test": {"health": False}, "ci": {}, "lint": {"stacks": False}, "runtime": {"debug": True}}
+JSON_LINE = re.compile(r"^\s*\{.*\}\s*$")
+PASSED = re.compile(r"^(?:\(pass\)|\s*(?:✓|✔|PASS\b|--- PASS:|test .* \.\.\. ok\b|PASSED\b))")
+FAILED = re.compile(r"^(?:\(fail\)|\s*(?:✗|✘|FAIL\b|FAILED\b|--- FAIL:|test .* \.\.\. FAILED\b|not ok\b))")
+SUMMARY = re.compile(r"^(?:Test Suites:|Tests:|Ran [0-9]+ tests|[0-9]+ (?:passing|failing|passed|failed))", re.I)
+LINTED = re.compile(r"^\./.*\s(?:format|lint|organizeImports)\s")
+TYPED = (re.compile(r"^(.+)\([0-9]+,[0-9]+\):\s+error\s+TS[0-9]+:"), re.compile(r"^(.+):[0-9]+:\s+error:"))
+TIMES = {
+    "iso": re.compile(r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?\]?\s*"),
+    "syslog": re.compile(r"^[A-Z][a-z]{2}\s+[0-9]+\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\s+"),
+    "epoch": re.compile(r"^[0-9]{10,13}\s+"),
+}
+PROFILES = {
+    "test": {"progress": False, "startup": False, "rules": [{"type": "fold", "pattern": r"^\(pass\)", "label": "passes"}]},
+    "ci": {
+        "rules": [
+            {"type": "strip", "pattern": r"^npm warn deprecated\b"},
+            {"type": "strip", "pattern": r"^[0-9]+ packages are looking for funding"},
+            {"type": "strip", "pattern": r"^\s+run `npm fund`"},
+            {"type": "fold", "pattern": r"^Run actions/", "label": "ci-setup"},
+        ]
+    },
+    "lint": {
+        "startup": False,
+        "json": False,
+        "rules": [
+            {"type": "block", "start": r"^\./", "end": r"^\s*$", "label": "diagnostic"},
+            {"type": "strip", "pattern": r"^\s*[0-9]+\s+[0-9]+\s+│"},
+            {"type": "strip", "pattern": r"^\s*[0-9]+\s+│"},
+        ],
+    },
+    "runtime": {"stamps": "strip"},
+}
 
 
 def normal(line: str) -> str:
@@ -215,6 +247,69 @@ def fold_progress(lines: Lines) -> Iterator[str]:
     yield from folded()
 
 
+def json_level(line: str) -> str:
+    def refuse(name: str) -> None:
+        raise ValueError(name)
+
+    def said(value: object) -> str:
+        return ",".join(map(said, value)) if isinstance(value, list) else "" if value is None or isinstance(value, dict) else str(value).lower()
+
+    try:
+        made = json.loads(line, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return "other"
+    level = said(made.get("severity") if made.get("level") is None else made["level"])
+    return next((k for k in ("error", "warn", "info", "debug") if k in level), "other")
+
+
+def fold_tests(lines: Lines, passed: int, failed: int, summaries: int) -> Iterator[str]:
+    yield f"[tests: {passed} passing stripped, {failed} failing kept]"
+    for x in lines:
+        if not (PASSED.search(x) or (not failed and x.startswith("tests/") and not SUMMARY.search(x))):
+            yield x
+    if not summaries and not failed:
+        yield "[all tests passed]"
+
+
+def fold_linted(lines: Lines) -> Iterator[str]:
+    n, inside, told = 0, False, False
+    for x in lines:
+        if LINTED.search(x):
+            n, inside, told = n + 1, True, False
+            yield f"[diagnostic block {n}] {x}"
+        elif inside and x:
+            if not told and "×" in x:
+                told = True
+                yield x
+        else:
+            inside = False
+            yield x
+
+
+def typed_file(line: str) -> str | None:
+    m = ("error" in line) and (TYPED[0].match(line) or TYPED[1].match(line))
+    return m[1] if m else None
+
+
+def fold_typed(lines: Lines) -> Iterator[str]:
+    """The lines without type errors, then the first three errors of each file."""
+    found: dict[str, list] = {}
+    for x in lines:
+        file = typed_file(x)
+        if file is None:
+            yield x
+            continue
+        group = found.setdefault(file, [0])
+        group[0] += 1
+        if len(group) <= 3:
+            group.append(x)
+    for file, (n, *first) in found.items():
+        yield f"[typecheck] {file}: {n} errors"
+        yield from first
+        if n > 3:
+            yield f"[typecheck] {n - 3} more errors folded"
+
+
 def fold_stacks(lines: Lines) -> Iterator[str]:
     def blocks() -> Iterator[tuple[bool, list[str]]]:
         block: list[str] = []
@@ -289,10 +384,11 @@ def one_blank(lines: Lines) -> Iterator[str]:
         before = x
 
 
-def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None) -> tuple[Lines, list[str]]:
+def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None, stamps: str | None = None) -> tuple[Lines, list[str]]:
     """Folds one whole log of clean lines: (lines, names of the rules that changed it). Never longer in tokens than what it was given. Each rule reads all
     lines in order; in memory are the distinct lines' normal forms, one stack, and HELD lines of each step."""
-    options = {"debug": True, "health": True, "stacks": True} | PROFILES.get((profile or "").lower(), {})
+    options = {"progress": True, "startup": True, "json": True, "stamps": "auto", "rules": []} | PROFILES.get((profile or "").strip().lower(), {})
+    mode = stamps.strip().lower() if stamps is not None else options["stamps"]
     out, applied = original, []
 
     def note(name: str, made: Iterable[str]) -> None:
@@ -305,7 +401,7 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
             out = new
             applied.append(name)
 
-    for rule in rules or ():
+    for rule in [*options["rules"], *(rules or ())]:
         if rule["type"] == "strip":
             pattern = re.compile(rule["pattern"])
             note("custom-strip", (x for x in out if not pattern.search(x)))
@@ -313,20 +409,36 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
             note("custom-fold", fold_hits(out, re.compile(rule["pattern"]), rule.get("label", "folded")))
         elif rule["type"] == "block":
             note("custom-block", fold_blocks(out, re.compile(rule["start"]), re.compile(rule["end"]), rule.get("label", "block")))
-    note("progress-fold", fold_progress(out))
+    if options["progress"]:
+        note("progress-fold", fold_progress(out))
     for name in ("debug", "health"):
-        if options[name]:
-            search = COMPILED[name].search
-            kept = Lines(x for x in out if not search(x))
-            if gone := len(out) - len(kept):
-                note(f"{name}-drop", chain([f"[{name}: {gone} lines dropped]"], kept))
+        search = COMPILED[name].search
+        kept = Lines(x for x in out if not search(x))
+        if gone := len(out) - len(kept):
+            note(f"{name}-drop", chain([f"[{name}: {gone} lines dropped]"], kept))
+    if options["json"]:
+        levels = Counter(json_level(x) for x in out if JSON_LINE.match(x))
+        if (n := levels.total()) >= 6:
+            told = ", ".join(f"{k}:{levels[k]}" for k in ("error", "warn", "info", "debug", "other"))
+            note("json-line-fold", chain([f"[json lines folded: {n} ({told})]"], (x for x in out if not JSON_LINE.match(x))))
     banner = COMPILED["banner"].search
-    banners = sum(bool(banner(x)) for x in out)
+    banners = sum(bool(banner(x)) for x in out) if options["startup"] else 0
     if len(out) >= 10 and banners > 3:
         note("startup-fold", chain([f"[startup: {banners} lines]"], (x for x in out if not banner(x))))
     agent = COMPILED["agent"].sub
     note("agent-strip", (agent('"<ua>"', x) for x in out))
-    if options["stacks"] and dedupe_stacks:
+    passed, failed, summaries = (sum(bool(p.search(x)) for x in out) for p in (PASSED, FAILED, SUMMARY))
+    if passed >= 5 or failed:
+        note("test-runner-elision", fold_tests(out, passed, failed, summaries))
+    if any(LINTED.search(x) for x in out):
+        note("linter-fold", fold_linted(out))
+    note("typecheck-fold", fold_typed(out))
+    if mode != "keep" and len(out):
+        votes = {k: sum(bool(p.match(x)) for x in out) for k, p in TIMES.items()}
+        form = max(votes, key=votes.get)
+        if votes[form] and (mode == "strip" or votes[form] / len(out) >= 0.8):
+            note(f"timestamp-strip:{form}", chain([f"[timestamps stripped: {form}]"], (TIMES[form].sub("", x) for x in out)))
+    if dedupe_stacks:
         note("stack-dedup", fold_stacks(out))
     keys = Lines()
     note("repeat-fold", fold_equal(out, keys))
@@ -335,37 +447,37 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
     return (original, []) if size(out) > size(original) else (out, applied)
 
 
-def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None) -> tuple[list[str], list[str]]:
+def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None, stamps: str | None = None) -> tuple[list[str], list[str]]:
     """`prune_lines` on a list of lines as they stand in a log."""
-    out, applied = prune_lines(Lines(map(clean, lines)), profile, dedupe_stacks, rules)
+    out, applied = prune_lines(Lines(map(clean, lines)), profile, dedupe_stacks, rules, stamps)
     return list(out), applied
 
 
 def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000) -> DataFrame:
     """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text): each log folded as a whole, in one task that keeps its lines on disk; the options
     come from the log's own row. The text comes in pieces of `piece` kept lines, numbered from 0; all other columns are of the whole log."""
-    options = logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
+    options = logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.max("strip_timestamps").alias("stamps"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
     once = lines.select("log_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
-    whole = once.join(options, "log_id", "left").select("log_id", "line_no", "text", "profile", "stacks").repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    whole = once.join(options, "log_id", "left").select("log_id", "line_no", "text", "profile", "stamps", "stacks").repartition("log_id").sortWithinPartitions("log_id", "line_no")
     names = ["log_id", "piece", "n_lines", "n_kept", "tokens", "tokens_kept", "rules", "text"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, last, tokens, opts = None, Lines(), None, 0, (None, True)
+        key, held, last, tokens, opts = None, Lines(), None, 0, (None, None, True)
 
         def done() -> Iterator[pa.RecordBatch]:
-            kept, rules = prune_lines(held, opts[0], opts[1] is not False)
+            kept, rules = prune_lines(held, opts[0], opts[2] is not False, stamps=opts[1])
             tokens_kept, rest = size(kept), iter(kept)
             for k in range(max(1, -(-len(kept) // piece))):
                 row = [key, k, len(held), len(kept), tokens, tokens_kept, rules, "\n".join(islice(rest, piece))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
         for batch in batches:
-            for log_id, number, text, profile, stacks in zip(*(c.to_pylist() for c in batch.columns)):
+            for log_id, number, text, profile, stamps, stacks in zip(*(c.to_pylist() for c in batch.columns)):
                 if log_id != key:
                     if len(held):
                         yield from done()
-                    key, held, last, tokens, opts = log_id, Lines(), None, 0, (profile, stacks)
+                    key, held, last, tokens, opts = log_id, Lines(), None, 0, (profile, stamps, stacks)
                 if number != last:
                     held.append(clean(text))
                     tokens += len(text.split())

@@ -136,3 +136,32 @@ def test_prune_is_the_same_from_disk(monkeypatch):
     want = L.prune(lines)
     monkeypatch.setattr(L, "HELD", 3)
     assert L.prune(lines) == want
+
+
+def test_prune_json_tests_lint_and_types(spark):
+    made = ['{"level":"error", "m": 1}', '{"severity":"WARN"}', '{"level":null, "severity": "info"}', '{"level": 30}', "{not json}", '{"level":"trace"}']
+    assert L.prune(made) == (["[json lines folded: 6 (error:1, warn:1, info:1, debug:0, other:3)]"], ["json-line-fold"])
+    assert L.prune(made, "lint")[0] == made and L.prune(made[1:])[0] == made[1:]
+    tests = [*[f"✓ case {chr(97 + k)} does it" for k in range(6)], "tests/a.test.ts:", "not a test line"]
+    assert L.prune(tests) == (["[tests: 6 passing stripped, 0 failing kept]", "not a test line", "[all tests passed]"], ["test-runner-elision"])
+    out, _ = L.prune([*tests, "✗ case z breaks"])
+    assert out == ["[tests: 6 passing stripped, 1 failing kept]", "tests/a.test.ts:", "not a test line", "✗ case z breaks"]
+    lint = ["./src/a.ts lint ━━", "", "  × one", "./src/b.ts format ━━", "  × two of it", "  × three", "  some more text here", "", "end"]
+    assert L.prune(lint) == (["[diagnostic block 1] ./src/a.ts lint ━━", "", "  × one", "[diagnostic block 2] ./src/b.ts format ━━", "  × two of it", "", "end"], ["linter-fold"])
+    types = [f"src/deep/er/a.tsx({k},{k}): error TS2322: Type {c * 3} is not what was asked for here" for k, c in enumerate("abcdefg", 1)]
+    out, rules = L.prune([types[0], "between", *types[1:], "lib/m.py:3: error: bad"])
+    assert rules == ["typecheck-fold"] and out == ["between", "[typecheck] src/deep/er/a.tsx: 7 errors", *types[:3], "[typecheck] 4 more errors folded", "[typecheck] lib/m.py: 1 errors", "lib/m.py:3: error: bad"]
+
+
+def test_prune_strips_timestamps(spark):
+    lines = [f"2025-03-01T10:00:0{k}.5Z {w} and so on and on" for k, w in enumerate(("one", "two", "two", "six"))]
+    tail = ["plain", "lines"]
+    bare = ["[timestamps stripped: iso]", "one and so on and on", "two and so on and on", "[repeated 1x]", "six and so on and on"]
+    assert L.prune(lines) == (bare, ["timestamp-strip:iso", "repeat-fold"])
+    assert L.prune(lines + tail, stamps="auto")[0][0] == lines[0]
+    assert L.prune(lines + tail, stamps="auto", profile="runtime")[0][0] == lines[0]
+    assert L.prune(lines + tail, profile="runtime")[0] == bare + tail
+    df = spark.createDataFrame([(log, i, t) for log in ("keep", "auto") for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
+    logs = spark.createDataFrame([("keep", "RUNTIME", "Keep", None), ("auto", None, None, None)], "log_id string, profile string, strip_timestamps string, dedupe_stack_traces boolean")
+    got = {r.log_id: r.text.split("\n") for r in L.prune_logs(df, logs).collect()}
+    assert got["auto"] == bare and got["keep"][0] == lines[0]
