@@ -37,6 +37,13 @@ def expand_graph(spark, d):
     return G.expand(edges, seeds, 2)
 
 
+def expand_imports(spark, d):
+    """From the first file of each repository over all resolved imports."""
+    f = files(spark, d)
+    edges = G.resolve(G.import_edges(f), f).where("resolved is not null").select(F.col("file_id").alias("src"), F.col("resolved").alias("dst")).distinct()
+    return G.expand(edges, f.groupBy("repo").agg(F.min("file_id").alias("node")).select("node", F.lit(100).cast("long").alias("score")), 2)
+
+
 def tree_rollup(spark, d):
     return G.tree_rollup(files(spark, d))
 
@@ -88,7 +95,7 @@ def outline_symbols(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, rename_refs, insert_dry_run, outline_symbols)
+    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, rename_refs, insert_dry_run, outline_symbols)
 }
 
 
