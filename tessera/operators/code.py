@@ -9,7 +9,7 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -155,7 +155,7 @@ def outline(text: str, language: str) -> list[tuple[str, str, int, int, int]]:
     ]
 
 
-def outlines(files: DataFrame) -> DataFrame:
+def outlines(files: DataFrame, length: int = 4) -> DataFrame:
     """(file_id, ordinal, kind, name, level, start_line, end_line, hash)"""
     names = ["file_id", "ordinal", "kind", "name", "level", "start_line", "end_line", "hash"]
 
@@ -165,10 +165,23 @@ def outlines(files: DataFrame) -> DataFrame:
             for file_id, language, text in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = text.split("\n")
                 for k, (kind, name, level, a, b) in enumerate(outline(text, language or "")):
-                    rows.append((file_id, k, kind, name, level, a, b, hashlib.sha256("\n".join(lines[a - 1 : b]).strip().encode()).hexdigest()[:4]))
+                    rows.append((file_id, k, kind, name, level, a, b, hashlib.sha256("\n".join(lines[a - 1 : b]).strip().encode()).hexdigest()[:length]))
             columns = list(zip(*rows)) or [()] * 8
             kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     schema = f"file_id {files.schema['file_id'].dataType.simpleString()}, ordinal int, kind string, name string, level int, start_line int, end_line int, hash string"
     return files.select("file_id", T.language_of(F.col("path")).alias("language"), "content").mapInArrow(run, schema)
+
+
+def changed_outlines(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file_id, name, nth, change): symbols whose text differs between two versions of the same files; `nth` counts the symbols of one name in a
+    file, from 1."""
+
+    def hashed(files: DataFrame, out: str) -> DataFrame:
+        order = Window.partitionBy("file_id", "name").orderBy("ordinal")
+        return outlines(files, 32).select("file_id", "name", F.row_number().over(order).alias("nth"), F.col("hash").alias(out))
+
+    both = hashed(before, "old").join(hashed(after, "new"), ["file_id", "name", "nth"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("file_id", "name", "nth", change.alias("change"))

@@ -81,6 +81,11 @@ def changed_symbols(spark, d):
     return C.changed_symbols(f, f.withColumn("content", F.replace("content", F.lit(OLD), F.lit(NEW))))
 
 
+def changed_outlines(spark, d):
+    f = files(spark, d)
+    return C.changed_outlines(f, f.withColumn("content", F.replace("content", F.lit(OLD), F.lit(NEW))))
+
+
 def rename_refs(spark, d):
     return C.rename(files(spark, d), OLD, NEW)
 
@@ -95,7 +100,7 @@ def outline_symbols(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, rename_refs, insert_dry_run, outline_symbols)
+    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, rename_refs, insert_dry_run, outline_symbols)
 }
 
 
