@@ -185,3 +185,15 @@ def changed_outlines(before: DataFrame, after: DataFrame) -> DataFrame:
     both = hashed(before, "old").join(hashed(after, "new"), ["file_id", "name", "nth"], "full")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("file_id", "name", "nth", change.alias("change"))
+
+
+def callers(files: DataFrame) -> DataFrame:
+    """(file_id, ordinal, name, n_lines, n_files): for each symbol the lines of its repository that mention it, without those from its first to its
+    last line in its own file."""
+    symbols = outlines(files).join(files.select("file_id", "repo"), "file_id").select("file_id", "repo", "ordinal", "name", "start_line", "end_line")
+    words = word_lines(files).groupBy("repo", "name", "file_id").agg(F.collect_list("line_no").alias("lines"))
+    total = words.groupBy(F.col("repo").alias("_repo"), F.col("name").alias("_name")).agg(F.sum(F.size("lines")).alias("_lines"), F.count("*").alias("_files"))
+    own = words.select("file_id", "name", "lines")
+    met = symbols.join(own, ["file_id", "name"], "left").join(total, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("name") == F.col("_name")), "left")
+    inside = F.coalesce(F.size(F.filter("lines", lambda n: n.between(F.col("start_line"), F.col("end_line")))), F.lit(0))
+    return met.select("file_id", "ordinal", "name", (F.coalesce("_lines", F.lit(0)) - inside).alias("n_lines"), (F.coalesce("_files", F.lit(0)) - F.when(inside == F.size("lines"), 1).otherwise(0)).alias("n_files"))

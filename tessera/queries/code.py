@@ -86,6 +86,10 @@ def changed_outlines(spark, d):
     return C.changed_outlines(f, f.withColumn("content", F.replace("content", F.lit(OLD), F.lit(NEW))))
 
 
+def symbol_callers(spark, d):
+    return C.callers(files(spark, d))
+
+
 def rename_refs(spark, d):
     return C.rename(files(spark, d), OLD, NEW)
 
@@ -100,7 +104,7 @@ def outline_symbols(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, rename_refs, insert_dry_run, outline_symbols)
+    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, symbol_callers, rename_refs, insert_dry_run, outline_symbols)
 }
 
 

@@ -51,3 +51,8 @@ def source(spark, *texts):
 def test_changed_bodies(spark):
     got = C.changed_outlines(source(spark, CODE, OTHER), source(spark, CODE.replace("budget", "allowance") + "\n\ndef new():\n    pass\n", OTHER)).collect()
     assert sorted(map(tuple, got)) == [(1, "B", 1, "changed"), (1, "new", 1, "added"), (1, "run", 2, "changed"), (1, "walk", 1, "changed")]
+
+
+def test_callers_leave_out_the_body(spark):
+    got = {(r.file_id, r.name, r.ordinal): (r.n_lines, r.n_files) for r in C.callers(source(spark, CODE, OTHER)).collect()}
+    assert got == {(1, "walk", 0): (3, 1), (1, "A", 1): (0, 0), (1, "run", 2): (1, 1), (1, "B", 3): (0, 0), (1, "run", 4): (1, 1)}
