@@ -205,7 +205,7 @@ def search_texts(texts: list[str | None], index: ItemIndex) -> list[list[int]]:
     at, item, offset = index.candidates(words, first)
     if len(at):
         # equal candidates of several tables once
-        _, one = np.unique((item * len(words) + at) * (1 << 12) + np.minimum(offset, (1 << 12) - 1), return_index=True)
+        _, one = np.unique((item * len(words) + at) * (int(offset.max()) + 1) + offset, return_index=True)
         one = one[index.plausible(words, at[one], item[one], offset[one])]
         doc_no = np.searchsorted(starts, at[one], side="right") - 1
         p = at[one] - np.array(starts)[doc_no]

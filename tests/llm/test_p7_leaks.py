@@ -69,3 +69,13 @@ def test_tables(spark):
     assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == [(10, 1)]
     assert [tuple(r) for r in L.find_leaks(docs, items, block=1).collect()] == [(10, 1)]
     assert L.find_leaks(docs, items.limit(0)).count() == 0 == L.find_leaks(docs.limit(0), items).count()
+
+
+def test_long_item_keeps_every_offset():
+    """Behind word 4,096 of an item, chance hits at one place of a document don't hide the passage."""
+    filler = iter(range(10**6))
+    passage = [f"p{k}" for k in range(L.PASSAGE)]
+    decoys = [x for cut in [L.PASSAGE - 1] * 40 for x in [*passage[:cut], *[f"d{next(filler)}" for _ in range(30)]]]
+    item = " ".join([*[f"f{next(filler)}" for _ in range(5_000)], *decoys, *passage, *[f"f{next(filler)}" for _ in range(30)]])
+    document = " ".join(["before"] * 5 + passage + ["after"] * 5)
+    assert L.search_texts([document], L.ItemIndex([(7, item)])) == [[0]]
