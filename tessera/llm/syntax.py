@@ -3,8 +3,9 @@
 Method: a lexer a language with a pushdown stack. The lexer knows the language's comments, literals (raw, multi-line, nested, with
 embedded expressions, here-documents) and delimiters; the stack holds what is open: brackets, embedded expressions, JSX elements
 and, in Ruby, blocks that words open and close. It reports the first of: an unterminated literal or comment, a delimiter that
-closes nothing or the wrong thing, an end of file with something open or a statement begun, a merge-conflict marker where code
-stands, and constructs that no program of the language can hold (a wrong extension, a page, a note, a patch, settings).
+closes nothing or the wrong thing, an end of file with something open, and a merge-conflict marker where code stands. What it lets
+through goes as tokens to `grammar`, which reduces it with a stack to statements and rejects those the language hasn't: a
+statement begun but not ended, or another language, a page, a note, a patch or settings under the wrong extension.
 
 Defined results: null, empty, blank and comment-only contents parse; paths without one of the known extensions are not judged;
 byte order marks and any line ends are fine; the recorded language is not used; repeated rows count once; very long files are
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import grammar
+
 LANGUAGE_OF = {
     "ts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python",
     "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "rb": "ruby",
@@ -27,17 +30,6 @@ LANGUAGE_OF = {
 CLOSES = {")": "(", "]": "[", "}": "{"}
 CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7})(?:[ \t][^\n]*)?$|={7}[ \t]*$", re.M)
 
-WORDS = {
-    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type print",
-    "javascript": "async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static super switch this throw try typeof var void while with yield as",
-    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while union macro_rules",
-    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while record sealed permits non var yield",
-    "c": "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while include define ifdef ifndef endif pragma undef elif defined",
-    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
-    "ruby": "BEGIN END alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield puts raise require require_relative include extend attr_reader attr_accessor print p",
-}
-KEYWORDS = {k: frozenset(v.split()) for k, v in WORDS.items()}
-KEYWORDS["typescript"] = KEYWORDS["tsx"] = KEYWORDS["javascript"] | frozenset("type interface enum declare namespace module abstract readonly keyof infer is asserts unique public private protected override implements satisfies never unknown any string number boolean".split())
 REGEX_BEFORE = re.compile(r"(?:^|[=(\[{},;:!&|?+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else|yield|await|=>))\s*$")
 RUBY_REGEX_BEFORE = re.compile(r"(?:^|[=(\[{},;:!&|?+\-*%<>~^]|\b(?:if|unless|while|until|when|and|or|not|return|puts|in))\s*$")
 JSX_BEFORE = re.compile(r"(?:^|[=(\[{},;:?&|>]|\b(?:return|default|yield|case))\s*$")
@@ -67,7 +59,7 @@ BRACE_TOKEN = {
     "java": re.compile(r"//|/\*|\"\"\"|\"|'|[()\[\]{}]|^(?=[<>|=]{7})", re.M),
     "go": re.compile(r"//|/\*|\"|'|`|[()\[\]{}]|^(?=[<>|=]{7})", re.M),
     "rust": re.compile(r"//|/\*|\b(?:b|c)?r\#*\"|\"|'|[()\[\]{}]|^(?=[<>|=]{7})", re.M),
-    "javascript": re.compile(r"//|/\*|\"|'|`|[()\[\]{}]|/|<|^(?=[<>|=]{7})", re.M),
+    "javascript": re.compile(r"^(?=[<>|=]{7})|//|/\*|\"|'|`|[()\[\]{}]|/|<", re.M),
 }
 BRACE_TOKEN["typescript"] = BRACE_TOKEN["tsx"] = BRACE_TOKEN["javascript"]
 NESTED = re.compile(r"/\*|\*/")
@@ -211,8 +203,12 @@ def lex_braces(text: str, language: str) -> tuple[str, list]:
                     raise Failure("unterminated literal", k)
                 i = e + 1
             else:
+                open_before = len(stack)
                 i = in_template(k + 1, k)
-            out.append('""')
+                out.append("``+(" if len(stack) > open_before else "``")
+                last = i
+                continue
+            out.append("``")
         elif what[-1] == '"' and "r" in what[:3]:
             close = '"' + "#" * what.count("#")
             e = text.find(close, m.end())
@@ -229,12 +225,10 @@ def lex_braces(text: str, language: str) -> tuple[str, list]:
             if not stack:
                 raise Failure("unbalanced delimiter", k)
             top = stack.pop()[0]
-            if what == "}" and top == "${":
-                i = in_template(k + 1, k)
-                out.append("+0")
-            elif what == "}" and top == "{jsx":
-                out.append("+0")
-                i = in_element(k + 1)
+            if what == "}" and top in ("${", "{jsx"):
+                open_before = len(stack)
+                i = in_template(k + 1, k) if top == "${" else in_element(k + 1)
+                out.append(")+(" if stack and stack[-1][0] in ("${", "{jsx") and stack[-1][1] > k else ")")
             elif top != CLOSES[what]:
                 raise Failure("unbalanced delimiter", k)
             else:
@@ -249,10 +243,11 @@ def lex_braces(text: str, language: str) -> tuple[str, list]:
                 out.append("/")
         else:  # <
             if language != "typescript" and re.compile(r"</?[A-Za-z>]").match(text, k) and JSX_BEFORE.search(before()) and not re.compile(r"<[A-Za-z]\w*(?:\s+extends\b[^<>]*|\s*,[^<>]*)>\s*\(").match(text, k):
+                open_before = len(stack)
                 i = tag(k)
-                if stack and stack[-1][0] == "<":
+                if len(stack) > open_before:
                     i = in_element(i)
-                out.append("JSX" if language != "javascript" else "0")
+                out.append("JSX+(" if stack and stack[-1][0] == "{jsx" and stack[-1][1] > k else "JSX")
             else:
                 i = k + 1
                 out.append("<")
@@ -452,97 +447,8 @@ def lex_ruby(text: str) -> tuple[str, list]:
 
 LEXERS = {k: (lambda text, k=k: lex_braces(text, k)) for k in BRACE_TOKEN} | {"python": lex_python, "ruby": lex_ruby}
 
-# What no program of the language can hold, on code whose comments are gone and whose literals are blank.
-M = re.M
-PAGE = re.compile(r"\A\s*(?:<!DOCTYPE\b|<html\b|<\?xml\b|diff --git |Index: |--- a/|version https?://\S+|\{\s*\"\"\s*:|---\s*$)", re.I | M)
-RAW_PAGE = re.compile(r"\A\s*(?:<!DOCTYPE\b|<html\b|<\?xml\b|diff --git |--- a/|version https?://\S+/spec/)", re.I | M)
-PY_FRAME = r"^[ \t]*(?:async +)?def +\w+\([^\n]*\)(?: *->[^\n:]*)?:[ \t]*$|^[ \t]*(?:if|elif|while|for|with|class|try|except)\b[^\n{]*:[ \t]*$|^from +[\w.]+ +import +\w|^[ \t]*(?:elif|except)\b"
-RB_FRAME = r"^[ \t]*def +(?:self\.)?\w+[?!]?(?:\([^\n{]*\))?[ \t]*$|^[ \t]*end[ \t]*$|^[ \t]*require(?:_relative)?[ \t]+\"\"|^[ \t]*puts[ \t]+\"\"|\bdo +\|\w+\||^[ \t]*(?:elsif|unless)\b"
-GO_FRAME = r"^package +\w+[ \t]*$|^func +(?:\(\w+ +\*?\w+\) +)?\w+(?:\[[^\]\n]*\])?\(|:=|^import +(?:\"\"|\()|\bdefer +func\b"
-RUST_FRAME = r"^[ \t]*(?:pub(?:\([a-z]+\))? +)?fn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\bmatch +[^\n{]*\{|\w!\(|^[ \t]*(?:pub +)?(?:struct|enum|impl|trait|mod)\b[^\n;(]*\{[ \t]*$|#\[derive|\w::\w"
-JAVA_FRAME = r"^package +[\w.]+;|^import +(?:static +)?[\w.]+(?:\.\*)?;|^[ \t]*(?:public|private|protected)\b[^\n;=]*[({][ \t]*$|^[ \t]*(?:public|private|protected)? *(?:static +)?(?:final +)?(?:class|interface|enum) +\w+[^\n]*\{|^[ \t]*@Override\b|\bSystem\.out\."
-C_FRAME = r"^[ \t]*# *(?:include|define|ifdef|ifndef|endif|pragma)\b|^(?:static +|const +|unsigned +|extern +|inline +)*(?:int|void|char|size_t|unsigned|long|double|struct +\w+)\s+\*?\w+\s*\([^\n]*\)\s*\{?[ \t]*$|^[ \t]*struct +\w+ *\{|->\w|^[ \t]*(?:const +char|unsigned|size_t) +\*?\w+(?:\[\d*\])? *="
-JS_FRAME = r"^[ \t]*(?:export +)?(?:default +)?(?:async +)?function\b *\*? *\w*\(|^[ \t]*(?:const|let|var) +[\w{\[][^\n]*=|=>|\brequire\(\"\"\)|^import +[\w{*\"][^\n]*(?:from +)?\"\"|^export +"
-TS_ONLY = r"^[ \t]*(?:export +)?(?:declare +)?(?:interface +\w+[^\n(]*\{|type +\w+(?:<[^\n]*>)? *=|enum +\w+ *\{|namespace +\w)|^import +type\b|^export +type\b|\bas +(?:const|unknown|string|number|any)\b|^[ \t]*(?:export +)?(?:const|let|var) +\w+ *: *[A-Za-z{(\[\"]|\bfunction\b *\*? *\w*(?:<[^>\n]*>)? *\([^()\n]*\w\?? *: *[A-Za-z]|\) *: *[A-Za-z][\w<>\[\], |]*(?: *=>| *\{)|(?:^|[(,]) *(?:readonly +)?\w+\?? *: *(?:string|number|boolean|void|unknown|any|never)\b[^\n]*\) *(?::|=>|\{)|\w!\.\w"
-FOREIGN = {
-    "python": [GO_FRAME.replace("|:=", ""), RUST_FRAME.replace(r"|\bmatch +[^\n{]*\{", "").replace(r"|^[ \t]*(?:pub +)?(?:struct|enum|impl|trait|mod)\b[^\n;(]*\{[ \t]*$", ""), JAVA_FRAME, C_FRAME.replace(r"->\w|", ""), r"^[ \t]*(?:export +)?(?:async +)?function\b|^[ \t]*(?:const|let|var) +\w|=>|^import +[{*]|^import +\w+ +from|^export\b|^[ \t]*\}[ \t]*(?:else|catch)|\{[ \t]*$\n[ \t]+[\w.]+[^\n,:]*[;)][ \t]*$", r"^[ \t]*end[ \t]*$|^module +\w|^require|\bdo +\|", r"^[ \t]*\w+ +\w+[ \t]*\{[ \t]*$"],
-    "ruby": [PY_FRAME, r"^package +\w+|^func +\w|^import +\"\"", r"\bfn +\w+|\blet +mut\b|^use +\w+::|println!", JAVA_FRAME, r"^[ \t]*(?:int|void|char|unsigned|static|struct) +\*?\w+[^\n]*[;{(]|->\w+[;)]", r"\bfunction\b *\*? *\w*\(|^[ \t]*(?:const|let|var) +\w|^import\b|^export\b|=> *\{", r"\{[ \t]*$\n[^\n]*;[ \t]*$", r"^[ \t]*\} *(?:else|catch)\b"],
-    "go": [PY_FRAME.replace("for|", "").replace("if|", ""), RB_FRAME, RUST_FRAME.replace(r"|\bmatch +[^\n{]*\{", "").replace("struct|enum|", "enum|"), JAVA_FRAME, C_FRAME.replace(r"|->\w", r"|->"), JS_FRAME.replace(r"|^[ \t]*(?:const|let|var) +[\w{\[][^\n]*=", r"|^[ \t]*(?:let) +[\w{\[]|^[ \t]*const *[{\[]"), r"^[ \t]*while\b|\?\?|===|;[ \t]*$\n[^\n]*;[ \t]*$", TS_ONLY.replace(r"^[ \t]*(?:export +)?(?:declare +)?(?:interface +\w+[^\n(]*\{|type +\w+(?:<[^\n]*>)? *=|enum +\w+ *\{|namespace +\w)|", "")],
-    "rust": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import\b", JAVA_FRAME.replace(r"|^[ \t]*(?:public|private|protected)? *(?:static +)?(?:final +)?(?:class|interface|enum) +\w+[^\n]*\{", r"|\b(?:class|interface) +\w+"), C_FRAME.replace("->\\w|", "").replace(r"|^[ \t]*struct +\w+ *\{", "").replace(r"^[ \t]*# *(?:include|define|ifdef|ifndef|endif|pragma)\b", r"^[ \t]*# *(?:include|define|ifdef|ifndef|endif|pragma)\b"), r"\bfunction\b|^[ \t]*var +\w|\brequire\(|^import\b|^export\b|===|\?\?|^[ \t]*const +\w+ *=", r"^interface\b|\bas +unknown\b|^[ \t]*(?:try|switch|throw)\b"],
-    "java": [PY_FRAME, RB_FRAME, r"^package +\w+[ \t]*$|^func\b|:=|^import +(?:\"\"|\()", r"\bfn +\w+|\blet +|^[ \t]*use +\w+::|println!|\bimpl\b", r"^[ \t]*# *(?:include|define|ifdef|ifndef|endif|pragma)\b|->\w+ *[;=)]|^[ \t]*struct\b|\bunsigned\b|\bsize_t\b|^(?:static +|const +)*(?:int|void|char|long|double) +\*?\w+\s*\([^\n]*\)\s*\{?[ \t]*$", r"\bfunction\b|^[ \t]*(?:const|let) +\w|===|\?\?|\brequire\(|^import +[\w{*\"][^\n;]*from|^export\b|=> *[{(]", TS_ONLY.replace(r"interface +\w+[^\n(]*\{|", "").replace(r"|enum +\w+ *\{", "")],
-    "c": [PY_FRAME, RB_FRAME, GO_FRAME, r"\bfn +\w+|\blet +\w|^[ \t]*use +\w+::|\w!\(|\bimpl\b|\w::\w", r"^package\b|^import\b|^[ \t]*(?:public|private|protected)\b|@Override|\bnew +\w+\(", JS_FRAME.replace("const|let", "let"), TS_ONLY.replace(r"|\) *: *[A-Za-z][\w<>\[\], |]*(?: *=>| *\{)", "").replace(r"enum +\w+ *\{|", ""), r"===|\?\?|^[ \t]*(?:class|interface)\b"],
-    "javascript": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import +\(|^type\b", r"\bfn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\w!\(|^[ \t]*(?:impl|pub|struct|enum|trait|mod)\b|\w::\w|#\[", r"^import +[\w.]+;|^[ \t]*(?:public|private|protected)\b|@Override|\b(?:int|String|void|char|final) +\w+ *[=({;]|^[ \t]*(?:int|char|double|long)\[\]", C_FRAME.replace("->\\w|", ""), TS_ONLY],
-    "typescript": [PY_FRAME, RB_FRAME, r"^package\b|^func\b|:=|^import +\(", r"\bfn +\w+|\blet +mut\b|^[ \t]*use +\w+::|\w!\(\"\"|^[ \t]*(?:impl|pub|struct|trait|mod)\b|\w::\w|#\[", r"^import +[\w.]+;|^package\b|@Override *$|^(?:public|private|protected)\b|^[ \t]*(?:public|private|protected) +(?:static +)?(?:final +)?(?:class|int|String|void|<\w+>)\b|\b(?:int|String|char|final) +\w+ *[=({;]", C_FRAME.replace("->\\w|", ""), r"</[A-Za-z][\w.]*>|<[A-Za-z]\w*[^<>\n]*/>"],
-}
-FOREIGN["tsx"] = FOREIGN["typescript"][:-1]
-FOREIGN = {k: [re.compile(p, M) for p in v] for k, v in FOREIGN.items()}
-PROSE = re.compile(r"(?<![\w.\"@#$/:-])[A-Za-z]{2,}(?:[ \t]+[A-Za-z]{2,}){3,}(?![\w(])")
-SETTING = re.compile(r"^[ \t]*[\w-]+: +[^\n{;(,]+$\n^[ \t]*[\w-]+:(?: |$)", M)
-INCOMPLETE = re.compile(r"(?:[=+\-*/%&|^<,.:?!@~]|\b(?:and|or|not|in|is|new|return\s+not|import|from|def|class|func|fn|function|let|const|var|package|use|extends|implements|struct|enum|async|await|pub|static|typeof|else|lambda(?:[ \t]+\w+)?))\s*$")
-STATEMENT_END = {"c": re.compile(r"[;}]\s*$|^[ \t]*#[^\n]*$\s*\Z|\)\s*$", M), "java": re.compile(r"[;}]\s*$"), "rust": re.compile(r"[;}\])]\s*$")}
-BLOCK_HEAD = re.compile(r"^([ \t]*)(?:(?:async[ \t]+)?(?:def|for|with)|class|if|elif|else|while|try|except|finally|match|case)\b[^\n]*:[ \t]*$", M)
-IDENT_PAIR = re.compile(r"(?<![\w.\"])([A-Za-z_]\w*)[ \t]+([A-Za-z_]\w*)")
-
-
-BARE = frozenset("and as assert async await class def del elif except for from global if import in is lambda nonlocal not or while with".split())
-
-
-def python_statements(code: str) -> str | None:
-    """What is wrong with the statements of bracket-balanced Python code: blocks without a body, names side by side, a header cut off."""
-    lines: list[tuple[int, str]] = []
-    depth, held, indent = 0, "", 0
-    for raw in code.split("\n"):
-        raw = raw.rstrip()
-        if not held and not raw.strip():
-            continue
-        if not held:
-            indent = len(raw.expandtabs(8)) - len(raw.expandtabs(8).lstrip())
-        held = held + " " + raw.strip() if held else raw.strip()
-        depth += sum(raw.count(c) for c in "([{") - sum(raw.count(c) for c in ")]}")
-        if held.endswith("\\"):
-            held = held[:-1]
-            continue
-        if depth <= 0:
-            lines.append((indent, held))
-            held, depth = "", 0
-    if held:
-        lines.append((indent, held))
-    levels = [0]
-    expect = False
-    for indent, line in lines:
-        if expect:
-            if indent <= levels[-1]:
-                return "premature end"
-            levels.append(indent)
-        elif indent > levels[-1]:
-            return "foreign construct"
-        else:
-            while indent < levels[-1]:
-                levels.pop()
-            if indent != levels[-1]:
-                return "foreign construct"
-        first = re.match(r"(?:async\s+)?(\w+)?", line)[1]
-        header = first in ("def", "class", "if", "elif", "else", "for", "while", "try", "except", "finally", "with")
-        if first in ("def", "class") and not re.match(r"(?:async\s+)?(?:def\s+\w+\s*(?:\[.*\])?\(|class\s+\w+\s*[\[(:])", line):
-            return "premature end"
-        expect = header and line.endswith(":")
-        if header and not expect and not re.search(r":(?!=)\s*\S", line):
-            return "premature end"
-        if INCOMPLETE.search(line) and not line.endswith(("...", ":", "*")) or re.match(r"(?!else\b).*\belse$", line):
-            return "premature end"
-        if line in BARE or (line.endswith(":") and not header and first not in ("match", "case")):
-            return "premature end"
-        flat = line
-        while (inner := re.sub(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", " _ ", flat)) != flat:
-            flat = inner
-        if not header and first not in ("case", "assert") and len(re.findall(r"\bif\b", flat)) > len(re.findall(r"\belse\b", flat)):
-            return "premature end"
-        for a, b in IDENT_PAIR.findall(line):
-            if a not in KEYWORDS["python"] and b not in KEYWORDS["python"]:
-                return "foreign construct"
-        if re.search(r"[;{]$|[?]|&&|\|\||\+\+|^\}|!(?!=)|(?<![\w)\]\"'])\$", line) or re.search(r'""[ \t]*\w', re.sub(r'""\s+(?:if|for|else|in|is|and|or|not|as|async)\b', "", line)):
-            return "foreign construct"
-    return "premature end" if expect else None
+OTHERWISE = re.compile(r"^[ \t]*#[ \t]*el(?:se|if)\b.*?(?=^[ \t]*#[ \t]*endif\b)", re.M | re.S)
+SETTING = re.compile(r"^[ \t]*[\w-]+: +[^\n{;(,]+$\n^[ \t]*[\w-]+:(?: |$)", re.M)
 
 
 def judge(path: str | None, content: str | None) -> tuple[str, str | None, int]:
@@ -553,37 +459,27 @@ def judge(path: str | None, content: str | None) -> tuple[str, str | None, int]:
         return language or "", None, 0
     text = content.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
     line = lambda at: text.count("\n", 0, at) + 1
-    if m := RAW_PAGE.match(text):
-        return language, "foreign construct", line(m.end())
+    if text.startswith("#!") and language != "rust":
+        text = text[text.find("\n") if "\n" in text else len(text) :]
     try:
         code, open_ = lex(text, language)
+        if open_ and language == "c" and OTHERWISE.search(text):
+            raise Failure("premature end", open_[-1][1])
     except Failure as e:
-        return language, e.args[0], line(e.args[1])
+        if language != "c" or e.args[0] == "conflict marker" or not OTHERWISE.search(text):
+            return language, e.args[0], line(e.args[1])
+        try:  # brackets may be balanced in each branch of a conditional only: take the first
+            code, open_ = lex(OTHERWISE.sub(lambda m: "\n" * m[0].count("\n"), text), language)
+        except Failure:
+            return language, e.args[0], line(e.args[1])
     if not code.strip():
         return language, None, 0
     if open_:
         return language, "premature end", line(open_[-1][1])
-    if re.search("[…“”‘’]", code):
-        return language, "foreign construct", 1
-    if (m := PAGE.match(code)) and language != "python":
-        return language, "foreign construct", 1
-    for pattern in FOREIGN[language]:
-        if m := pattern.search(code):
-            return language, "foreign construct", code.count("\n", 0, m.start()) + 1
-    keywords = KEYWORDS[language]
-    for m in PROSE.finditer(code):
-        if not any(w in keywords for w in m[0].split()) or sum(w not in keywords for w in m[0].split()) >= 5:
-            return language, "foreign construct", code.count("\n", 0, m.start()) + 1
-    if language != "python" and (m := SETTING.search(code)) and not re.search(r"[;{}()]", code):
+    if language != "python" and not re.search(r"[;{}()]", code) and (m := SETTING.search(code)):
         return language, "foreign construct", code.count("\n", 0, m.start()) + 1
-    if language == "python":
-        kind = python_statements(code)
-    elif language in STATEMENT_END:
-        kind = None if STATEMENT_END[language].search(code.rstrip()) else "premature end"
-    else:
-        tail = code.rstrip().rsplit("\n", 1)[-1]
-        kind = "premature end" if INCOMPLETE.search(tail) and not tail.endswith(("++", "--")) else None
-    return language, kind, text.count("\n") + 1 if kind else 0
+    kind = grammar.failure(code, language)
+    return language, kind, text.count("\n") + 1 if kind == "premature end" else 1 if kind else 0
 
 
 def judge_files(files: DataFrame) -> DataFrame:

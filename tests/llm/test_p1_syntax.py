@@ -19,9 +19,23 @@ GOOD = {
     "only.ts": "// nothing here {\n/* ( */\n",
     "bom.py": "\ufeffx = 1\r\ny = (2,\r\n     3)\r\n",
 }
+VALID = [
+    ("a.py", "def f(x):\n    match x:\n        case 1:\n            return 2\n        case [a, *_] if a:\n            return 3\n        case _:\n            pass\n"),
+    ("a.py", "x = 1;\n"),
+    ("a.py", "import os; os.getcwd()\n"),
+    ("a.py", "a, = b[::-1] if c not in d else .5\nfrom .. import e as f\nif (g := 1): h = lambda *i, j=2: {**i}\n"),
+    ("a.ts", "const a = {\n  start,\n  end\n};\n"),
+    ("a.ts", "const o = {\n  private: true,\n  except: [1],\n  default: 2,\n};\nexport const enum E { A = 1 }\n"),
+    ("a.ts", "export abstract class A<T extends B> implements C {\n  private readonly x?: string;\n  abstract do(): void;\n  get y(): number { return this.x!.length }\n}\ndeclare module 'm' { export type Q = keyof T }\n"),
+    ("a.js", "#!/usr/bin/env node\nimport a, { b as c } from 'd'\nexport default async () => { for await (const x of a) { yield_(`${x} ${`n${c}`}`) } }\nclass K extends L { #p = 1; static m() { return K.#p } }\n"),
+    ("a.go", "package a\n\nfunc run(\n\tname string,\n\tfn func() error,\n) error {\n\tx := <-c\n\treturn nil\n}\n"),
+    ("A.java", "class A { void f() { list.map(x->x); int y = (int) z; } }\n"),
+    ("a.rs", "fn f() { let function = 1; let y = function + 1; }\n#[derive(Debug)]\npub struct S<'a> { x: &'a str }\nmacro_rules! m { ($x:expr) => { $x y z }; }\n"),
+    ("a.c", "void f(struct impl *x, char **y) { x->y = 1; }\n#if A\nint g(void) {\n#else\nint h(void) {\n#endif\n  return 1; }\n"),
+]
 BAD = {
-    "a.py": ["x = (1,\n", "x = 'abc\n", "def f():\n", "def f():\n<<<<<<< HEAD\n    pass\n", "x = 1 +\n", "if (x := 1) is not None\n", "<!DOCTYPE html>\n<html></html>\n", "func f() {\n}\n"],
-    "a.js": ["function f() {\n", "let s = `a ${b\n", "/* x\n", "import type { A } from './a';\n", "def f(x):\n    return x\n", "{\n  \"a\": 1\n}\n"],
+    "a.py": ["x = (1,\n", "x = 'abc\n", "def f():\n", "def f():\n<<<<<<< HEAD\n    pass\n", "x = 1 +\n", "if (x := 1) is not None\n", "<!DOCTYPE html>\n<html></html>\n", "func f() {\n}\n", "x = lambda k\n", "x = y z\n", "for x in y\n    pass\n"],
+    "a.js": ["<<<<<<< HEAD\nlet x = 1;\n", "export const x\n", "import { a }\n", "class A extends B\n", "let x = 5 5\n", "This text says what the module does and why.\n", "function f() {\n", "let s = `a ${b\n", "/* x\n", "import type { A } from './a';\n", "def f(x):\n    return x\n", "{\n  \"a\": 1\n}\n"],
     "a.ts": ["function C() {\n  return (\n    <b className=\"x\">\n      <i>text</i>\n    </b>\n  );\n}\n", "f(]\n", "=======\nconst x = 1;\n>>>>>>> b\n", "def f(x):\n    pass\n", "package a\nfunc f() int {\n}\n"],
     "a.go": ["package a\nfunc f() {\n", "use a::b;\nfn f() { }\n", "package a.b;\npublic class C { }\n"],
     "a.rs": ["fn f() { let s = r#\"abc\n", "package a\nfunc f() {\n}\n", "#include <a.h>\nint f(void) { return 1; }\n"],
@@ -43,6 +57,29 @@ def test_invalid(path, text):
     assert S.judge(path, text)[1] is not None
 
 
+@pytest.mark.parametrize("path,text", VALID)
+def test_valid_statements(path, text):
+    assert S.judge(path, text)[1] is None
+
+
+def test_agrees_with_the_grammar_on_python_files_and_their_cuts():
+    import json.decoder
+    import textwrap
+
+    for module in (json.decoder, textwrap, S):
+        text = open(module.__file__, encoding="utf-8").read()
+        assert S.judge("a.py", text)[1] is None
+        lines = text.split("\n")
+        for n in range(1, len(lines), 7):
+            piece = "\n".join(lines[:n]) + "\n"
+            try:
+                ast.parse(piece)
+                fine = True
+            except SyntaxError:
+                fine = False
+            assert (S.judge("a.py", piece)[1] is None) == fine, lines[n - 1]
+
+
 def test_no_cases():
     for content in (None, "", "  \n\t", "# only a comment\n"):
         assert S.judge("a.py", content)[1] is None
