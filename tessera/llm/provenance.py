@@ -1,11 +1,11 @@
 """Problem 2: files that are generated, minified, vendored or data stored as code.
 
-Method: a linear support-vector classifier on hashed features: character n-grams of the content, path components and the parts of
-file names, which ignore hints of the file's repository match, and what the file's layout measures (lengths of lines, shares of
-literals, runs of numbered names). Giveaway header comments (generator notices, upstream banners) are masked out of the n-grams and
-stand as one feature of their own, and half of the training rows are shown without it, so that files whose header was removed are
-recognised by the rest. It is fitted on a bounded sample of the table's files, labelled by marks that prove a class (a header, a
-directory that package managers and build tools own, a layout no hand writes), and validated on repositories it was not fitted on.
+Method: a linear support-vector classifier on hashed features: character n-grams of the body, character n-grams of the leading
+comment (hashed apart, so that a string that quotes a header isn't one), path components, parts of the file name and which ignore
+hints of the repository match the path. Nothing else is a feature: what proves a class (a notice, a banner, an owned directory, a
+layout) only labels the bounded sample the classifier is fitted on. Headers are masked in a second copy of every training row that
+another mark still proves, so that files whose header was removed are recognised by their text, and headers are masked in
+validation, which splits by repository.
 
 The sample (SAMPLE_FILES) is the only bounded part; every file is scored. The model is a vector of fixed size. Files that hold no
 program in any language (pages, notes, patches, settings, pointers) are left out afterwards by an exact check of their form.
@@ -57,7 +57,9 @@ def leading_comment(text: str) -> tuple[str, int]:
     """(comment, offset after it) at the start of a file; strings elsewhere that look like headers aren't in it."""
     at, kept = 0, []
     inside = False
-    for line in text.split("\n")[:40]:
+    while at < len(text):
+        end = text.find("\n", at)
+        line = text[at : end if end >= 0 else len(text)]
         bare = line.strip().lstrip("﻿")
         if inside:
             kept.append(bare)
@@ -65,10 +67,10 @@ def leading_comment(text: str) -> tuple[str, int]:
         elif not bare:
             pass
         elif bare.startswith("/*"):
-            end = bare.find("*/")
-            kept.append(bare if end < 0 else bare[: end + 2])
-            inside = end < 0
-            if end >= 0 and bare[end + 2 :].strip():
+            close = bare.find("*/")
+            kept.append(bare if close < 0 else bare[: close + 2])
+            inside = close < 0
+            if close >= 0 and bare[close + 2 :].strip():
                 return " ".join(kept), at + line.find("*/") + 2
         elif re.match(r"(?://|\#(?!\s*(?:include|define|if|ifdef|ifndef|pragma|endif)\b|\[|!\[)|--\s)", bare):
             kept.append(bare)
@@ -78,9 +80,13 @@ def leading_comment(text: str) -> tuple[str, int]:
     return " ".join(kept), min(at, len(text))
 
 
+def giveaway(header: str) -> bool:
+    return bool(NOTICE.search(header) or BANNER.search(header) or MINIFIED_BANNER.search(header))
+
+
 def layout(text: str) -> dict[str, float]:
     """What the layout measures, from the text after the leading comment."""
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in LITERAL.sub('""', text).split("\n") if x.strip()]  # a long string makes no minified file
     size = max(1, len(text.strip()))
     long_ = sum(len(x) for x in lines if len(x) > 300)
     literals = [m[0] for m in LITERAL.finditer(text)]
@@ -155,52 +161,40 @@ def hints_of(rows: list[tuple]) -> dict[str, list[tuple[str, re.Pattern]]]:
     return {k: sorted(v.items()) for k, v in found.items()}
 
 
+DIGITS = str.maketrans("123456789", "000000000")
+
+
+def hashed_grams(text: str, salt: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of a text's character n-grams: digits alike, white space collapsed, random strings as runs of one sign."""
+    text = BLOB.sub(lambda m: "\x01" * (len(m[0]) // 8), text).translate(DIGITS)
+    codes = np.frombuffer(re.sub(r"[ \t]+", " ", re.sub(r"[ \t]*\n\s*", "\n", text)).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
+    if len(codes) < GRAM:
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
+    rolled = np.full(len(codes) - GRAM + 1, salt, dtype=np.uint64)
+    for k in range(GRAM):
+        rolled = rolled * np.uint64(0x100000001B3) + codes[k : len(codes) - GRAM + 1 + k] + np.uint64(1)
+    grams, counts = np.unique((rolled ^ (rolled >> np.uint64(29))) & np.uint64((1 << BITS) - 1), return_counts=True)
+    values = np.log1p(counts)
+    return grams.astype(np.int64), weight * values / np.sqrt((values**2).sum())
+
+
 def features(repo: str | None, path: str | None, text: str, hints: dict, masked: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a file. masked: without what its header says."""
+    """(slots, values) of a file. masked: without a giveaway header."""
     header, at = leading_comment(text)
-    body = text[at:] if NOTICE.search(header) or BANNER.search(header) or MINIFIED_BANNER.search(header) else text
     names: list[tuple[str, float]] = [("bias", 1.0)]
-    if not masked:
-        if NOTICE.search(header):
-            names.append(("header:notice", 2.0))
-        elif BANNER.search(header):
-            names.append(("header:banner", 2.0))
-    clean = (path or "").removeprefix("./")
+    clean = (path or "").removeprefix("./").lower()
     if clean:
-        parts = clean.lower().split("/")
-        for depth, part in enumerate(parts[:-1][:6]):
+        parts = clean.split("/")
+        for depth, part in enumerate(parts[:-1]):
             names += [(f"dir{min(depth, 2)}:{part}", 0.7), (f"pair:{'/'.join(parts[max(0, depth - 1) : depth + 1])}", 0.5)]
-        stem = parts[-1]
-        names += [(f"part:{x}", 0.5) for x in set(re.split(r"[._]", stem)) if x]
-        names += [("min", 1.0)] * (".min." in stem)
-        if proved := owned_by(clean):
-            names.append((f"owned:{proved}", 2.0))
-        for entry, pattern in hints.get(repo, ()):
-            if pattern.match(clean):
-                names.append((f"hint:{entry}", 0.3))
-    m = layout(body if body.strip() else text)
-    for key in ("long", "dense", "numbers", "blobs", "literals", "runs"):
-        value = m[key]
-        names += [(f"{key}>{t}", 0.6) for t in (0.2, 0.35, 0.5, 0.6, 0.75, 0.9) if value > t]
-    names += [("run", 1.5)] * bool(m["run"])
-    if m["run"] and m["runs"] > 0.35:
-        names.append(("layout:numbered", 2.0))
-    if m["dense"] > 0.6:
-        names.append(("layout:dense", 2.0))
-    if m["size"] > 300 and (m["numbers"] > 0.75 or (m["blobs"] > 0.7 and m["literals"] > 0.75) or m["numbers"] + m["literals"] > 0.93 and not m["run"]):
-        names.append(("layout:table", 2.0))
-    slots = np.array([slot(n) for n, _ in names], dtype=np.int64)
-    values = np.array([v for _, v in names])
-    codes = np.frombuffer(re.sub(r"\d", "0", re.sub(r"\s+", " ", body)).encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint64)
-    if len(codes) >= GRAM:
-        rolled = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
-        for k in range(GRAM):
-            rolled = rolled * np.uint64(0x100000001B3) + codes[k : len(codes) - GRAM + 1 + k] + np.uint64(1)
-        grams, counts = np.unique((rolled ^ (rolled >> np.uint64(29))) & np.uint64((1 << BITS) - 1), return_counts=True)
-        weights = np.log1p(counts)
-        weights = 1.5 * weights / np.sqrt((weights**2).sum())
-        slots, values = np.concatenate([slots, grams.astype(np.int64)]), np.concatenate([values, weights])
-    return slots, values
+        names += [(f"part:{x}", 0.5) for x in set(re.split(r"[._-]", parts[-1])) if x]
+        names += [(f"hint:{entry}", 0.3) for entry, pattern in hints.get(repo, ()) if pattern.match(clean)]
+    zones = [(np.array([slot(n) for n, _ in names], dtype=np.int64), np.array([v for _, v in names])), hashed_grams(text[at:] if text[at:].strip() else text, 0, 1.5)]
+    if header and not (masked and giveaway(header)):
+        zones.append(hashed_grams(header, 77, 1.5))
+    slots, values = (np.concatenate(x) for x in zip(*zones))
+    slots, where = np.unique(slots, return_inverse=True)
+    return slots, np.bincount(where, weights=values)
 
 
 def fit_svm(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> np.ndarray:
@@ -218,7 +212,7 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> np
         for k in random.permutation(len(rows)):
             slots, values, y = rows[k]
             if y * float(weight[slots] @ values) < 1:
-                np.add.at(weight, slots, rate * share[y] * y * values)
+                weight[slots] += rate * share[y] * y * values
             steps += 1
         weight *= 1 - REGULARISATION * len(rows) * rate
         if epoch >= EPOCHS // 2:
@@ -238,10 +232,12 @@ def training_set(rows: list[tuple], hints: dict) -> list[tuple[np.ndarray, np.nd
     for repo, path, text in rows:
         if not text or not text.strip() or no_program(text):
             continue
-        label = 1 if weak_label(path, normal(text)) else -1
-        made.append((*features(repo, path, normal(text), hints), label))
-        if label > 0:
-            made.append((*features(repo, path, normal(text), hints, masked=True), label))
+        text = normal(text)
+        label = 1 if weak_label(path, text) else -1
+        made.append((*features(repo, path, text, hints), label))
+        header, at = leading_comment(text)
+        if label > 0 and giveaway(header) and weak_label(path, text[at:]):
+            made.append((*features(repo, path, text, hints, masked=True), label))
     return made
 
 
