@@ -1,10 +1,12 @@
 """Problem 3: clean text of documents in HTML, Markdown, wiki or LaTeX markup, or several of them, with their structure kept.
 
-Method: consensus paths by host (a document's repository is its host). A first pass scores every HTML container of every document by the
-text and the elements it holds against the links in it; the scores are votes on its generalised tag-class path, added up by
-repository in Spark. A second pass extracts again and skips what stands under paths that lost the vote. Within what is left a
-block parser walks each document once, telling the markups apart block by block, and yields headings, list items, code blocks
-and formulas in reading order, each as a reader sees it.
+Method: consensus paths by host (a document's repository is its host). A first pass, over the documents that hold HTML containers,
+scores each container by the words in it against those of them that stand in links; the sign of a document's score is its vote on
+the container's path, the tag-class steps from the root with numbers made alike, and votes are added up by repository and path in
+Spark. A second pass extracts along the winning paths: an element counts if the innermost container it stands in won (navigation,
+link boxes and tables of contents made of lists lose by their links) or if it stands in none. Within that a block parser
+walks each document once, telling the markups apart block by block, and yields headings, list items, code blocks and formulas in
+reading order, each as a reader sees it. Documents without containers go to the block parser directly.
 
 Defined results: null, empty and blank contents yield no rows; front matter, page titles, comments, scripts, styles, tables,
 boxes, figures and quotes yield none; elements without text are left out and not counted; a block that is never closed ends with
@@ -33,6 +35,7 @@ TEXT_FORMULA = re.compile(r"<math[^>]*>(.*?)</math>|\\\((.+?)\\\)|\\\[(.+?)\\\]|
 CODE_SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 NOWIKI = re.compile(r"<nowiki>(.*?)</nowiki>", re.S)
 TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
+BRACES = re.compile(r"\{\{|\}\}")
 REFERENCE = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref>", re.S)
 ANY_TAG = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 FENCE = re.compile(r"([ \t]*)(`{3,}|~{3,})([^`\n]*)$")
@@ -41,6 +44,11 @@ WIKI_HEADING = re.compile(r"(={1,6})(?!=)\s*(.+?)\s*\1\s*(?:<!--.*?-->\s*)?$")
 ITEM = re.compile(r"([ \t]*)([-*+]|\d{1,9}[.)])(?:[ \t]+(.*))?$")
 WIKI_ITEM = re.compile(r"([*#:;]*[*#])[ \t]*(.*)$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+SOURCE = re.compile(r"\s*:*<(source|syntaxhighlight)\b[^>]*>")
+DISPLAY = re.compile(r"\s*(\$\$|\\\[)")
+UNDERLINE = re.compile(r" {0,3}(?:=+|-{2,}|-)[ \t]*")
+WIKI_LINE = re.compile(r"[*#]{1,6}[ \t]*\S")
+WIKI_NO_TEXT = re.compile(r"(?i:\[\[(?:File|Image|Category):)|__[A-Z]+__$")
 LINK_DEFINITION = re.compile(r" {0,3}\[[^\]]+\]:\s*\S+")
 CHECK_BOX = re.compile(r"\[[ xX]\][ \t]+")
 LATEX_HEADING = re.compile(r"\s*\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\s*\{")
@@ -58,6 +66,29 @@ def tidy(text: str) -> str:
     return " ".join(text.split())
 
 
+MARKED = re.compile(r"[`*_~\\\[<{&]|''")
+ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
+AUTOLINK = re.compile(r"<((?:https?://|mailto:)[^<>\s]+)>")
+BREAK = re.compile(r"<br\s*/?>", re.I)
+QUOTES = re.compile(r"'{2,5}")
+LINKS = [  # what a reader sees of each kind of link, in the order in which they are taken apart
+    (re.compile(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", re.I), ""),
+    (re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]"), r"\1"),
+    (re.compile(r"!\[[^\]]*\]\((?:[^()\s]|\([^()]*\))*(?:\s+\"[^\"]*\")?\)"), ""),
+    (re.compile(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*<?(?:[^()\s]|\([^()]*\))*>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)"), r"\1"),
+    (re.compile(r"\[(?:https?|ftp|mailto):[^\s\]]*\s+([^\]]+)\]"), r"\1"),
+    (re.compile(r"\[(?:https?|ftp)://[^\s\]]*\]"), ""),
+    (re.compile(r"\[([^\[\]]+)\]\[[^\[\]]*\]"), r"\1"),
+    (re.compile(r"\[\^[^\]\s]+\]"), ""),
+]
+EMPHASIS = [
+    ("*", re.compile(r"(?<![*\\\w])(\*{1,3})(?=[^\s*])(.+?)(?<=[^\s*])\1(?![*\w])", re.S), r"\2"),
+    ("**", re.compile(r"(\*\*)(?=\S)(.+?)(?<=\S)\1", re.S), r"\2"),
+    ("_", re.compile(r"(?<![\w_])(_{1,3})(?=[^\s_])(.+?)(?<=[^\s_])\1(?![\w_])", re.S), r"\2"),
+    ("~~", re.compile(r"~~(?=\S)(.+?)(?<=\S)~~", re.S), r"\1"),
+]
+
+
 def braces(text: str, at: int) -> int:
     """The offset after the group whose opening brace is before `at`."""
     depth = 1
@@ -115,36 +146,38 @@ def text_plain(text: str) -> str:
         kept.append(value)
         return PLACE.format(len(kept) - 1)
 
-    text = NOWIKI.sub(lambda m: keep(html.unescape(m[1])), text)
-    text = CODE_SPAN.sub(lambda m: keep(m[2].strip(" ") if m[2].strip() else m[2]), text)
-    text = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: keep(m[1]), text)
-    text = REFERENCE.sub("", text)
+    if not MARKED.search(text):
+        return tidy(text)
+    if "<nowiki>" in text:
+        text = NOWIKI.sub(lambda m: keep(html.unescape(m[1])), text)
+    if "`" in text:
+        text = CODE_SPAN.sub(lambda m: keep(m[2].strip(" ") if m[2].strip() else m[2]), text)
+    if "\\" in text:
+        text = ESCAPED.sub(lambda m: keep(m[1]), text)
+    if "<" in text:
+        text = REFERENCE.sub("", text)
     while TEMPLATE.search(text):
         text = TEMPLATE.sub("", text)
-    text = re.sub(r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "", text, flags=re.I)
-    text = re.sub(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", text)
-    text = re.sub(r"!\[[^\]]*\]\((?:[^()\s]|\([^()]*\))*(?:\s+\"[^\"]*\")?\)", "", text)
-    text = re.sub(r"\[((?:[^\[\]]|\[[^\[\]]*\])*)\]\(\s*<?(?:[^()\s]|\([^()]*\))*>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)", r"\1", text)
-    text = re.sub(r"\[(?:https?|ftp|mailto):[^\s\]]*\s+([^\]]+)\]", r"\1", text)
-    text = re.sub(r"\[(?:https?|ftp)://[^\s\]]*\]", "", text)
-    text = re.sub(r"\[([^\[\]]+)\]\[[^\[\]]*\]", r"\1", text)
-    text = re.sub(r"\[\^[^\]\s]+\]", "", text)
-    text = re.sub(r"<((?:https?://|mailto:)[^<>\s]+)>", lambda m: keep(m[1]), text)
-    text = re.sub(r"<br\s*/?>", " ", text, flags=re.I)
-    text = ANY_TAG.sub("", text)
-    text = re.sub(r"'{2,5}", "", text)
+    if "[" in text:
+        for pattern, kept_part in LINKS:
+            text = pattern.sub(kept_part, text)
+    if "<" in text:
+        text = AUTOLINK.sub(lambda m: keep(m[1]), text)
+        text = ANY_TAG.sub("", BREAK.sub(" ", text))
+    if "''" in text:
+        text = QUOTES.sub("", text)
     for _ in range(2):
-        text = re.sub(r"(?<![*\\\w])(\*{1,3})(?=[^\s*])(.+?)(?<=[^\s*])\1(?![*\w])", r"\2", text, flags=re.S)
-        text = re.sub(r"(\*\*)(?=\S)(.+?)(?<=\S)\1", r"\2", text, flags=re.S)
-        text = re.sub(r"(?<![\w_])(_{1,3})(?=[^\s_])(.+?)(?<=[^\s_])\1(?![\w_])", r"\2", text, flags=re.S)
-        text = re.sub(r"~~(?=\S)(.+?)(?<=\S)~~", r"\1", text, flags=re.S)
-    text = html.unescape(text)
-    for _ in range(3):
+        for sign, pattern, kept_part in EMPHASIS:
+            if sign in text:
+                text = pattern.sub(kept_part, text)
+    if "&" in text:
+        text = html.unescape(text)
+    for _ in range(3 if kept else 0):
         text = PLACED.sub(lambda m: kept[int(m[1])], text)
     return tidy(text)
 
 
-def container_path(tag: str, attributes: str) -> str:
+def container_step(tag: str, attributes: str) -> str:
     """A generalised path step: the tag with its class or id, numbers made equal."""
     m = ATTRIBUTE.search(attributes)
     return tag if not m else f"{tag}.{re.sub(r'[0-9]+', '#', tidy(m[2].strip(chr(34) + chr(39))).lower())}"
@@ -183,6 +216,8 @@ class Walker:
         return lo
 
     def formulas(self, text: str, pattern: re.Pattern = TEXT_FORMULA) -> None:
+        if "$" not in text and "\\" not in text and "<math" not in text:
+            return
         if pattern is TEXT_FORMULA:
             text = NOWIKI.sub("", CODE_SPAN.sub("", text))
         text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
@@ -216,7 +251,7 @@ class Walker:
                 held = []
 
         def say(piece: str) -> None:
-            if skip or not piece:
+            if not piece or hidden():
                 return
             if capture is not None:
                 capture[2].append(piece)
@@ -230,7 +265,20 @@ class Walker:
             if row is not None:
                 self.rows[row] = ("list_item", html_plain("".join(pieces)))
 
-        boxes: list[list] = []  # open containers for the vote: [path, elements, words, link words]
+        boxes: list[list] = []  # open containers: [path, lost, words, link words]
+        links = 0
+
+        def hidden() -> bool:
+            return bool(skip or (boxes and boxes[-1][1]))
+
+        def leave() -> None:
+            path, _, words, linked = boxes.pop()
+            if words:
+                self.votes[path] += words - 2 * linked
+            if boxes:  # what stands in a container stands in those around it
+                boxes[-1][2] += words
+                boxes[-1][3] += linked
+
         while True:
             m = TAG.search(text, at)
             stop = m.start() if m else len(text)
@@ -250,8 +298,10 @@ class Walker:
                     at = at + piece.index("\n")
                     break
                 say(piece)
-                for box in boxes:
-                    box[2] += len(piece.split())
+                if boxes:
+                    words = len(piece.split())
+                    boxes[-1][2] += words
+                    boxes[-1][3] += words if links else 0
             if not m:
                 at = len(text)
                 break
@@ -261,15 +311,15 @@ class Walker:
                     break
                 continue
             closing, tag, attributes = m[1] == "/", m[2].lower(), m[3] or ""
-            if tag in ("pre", "code") and not closing and tag == "pre" and not skip:
+            if tag in ("pre", "code") and not closing and tag == "pre" and not hidden():
                 end = re.compile(r"</pre\s*>", re.I).search(text, at)
                 body = text[at : end.start() if end else len(text)]
                 at = end.end() if end else len(text)
                 if plain := tidy(html.unescape(re.sub(r"</?(?:code|span)\b[^>]*>", "", body, flags=re.I))):
                     end_text()
                     self.add("code", plain)
-                    for box in boxes:
-                        box[1] += 1
+                    if boxes:
+                        boxes[-1][2] += len(plain.split())
                 if not open_:
                     break
                 continue
@@ -289,13 +339,15 @@ class Walker:
                 say(text[m.start() : end + 7 if end >= 0 else len(text)])
                 at = end + 7 if end >= 0 else len(text)
                 continue
+            if tag == "a":
+                links = 0 if closing else 1
             if closing:
                 if tag in ("ul", "ol"):
-                    if not skip and items and items[-1][0] is not None and items[-1][2] == depth:
+                    if not hidden() and items and items[-1][0] is not None and items[-1][2] == depth:
                         row = items.pop()
                         self.rows[row[0]] = ("list_item", html_plain("".join(row[1])))
                     depth = max(0, depth - 1)
-                if tag == "li" and not skip and items and items[-1][2] == depth:
+                if tag == "li" and not hidden() and items and items[-1][2] == depth:
                     row = items.pop()
                     self.rows[row[0]] = ("list_item", html_plain("".join(row[1])))
                 if capture is not None and tag == capture[0]:
@@ -307,9 +359,8 @@ class Walker:
                         gone = open_.pop()
                         if gone.startswith("-"):
                             skip -= 1
-                        if gone.lstrip("-") in CONTAINERS and boxes:
-                            path, elements, words, links = boxes.pop()
-                            self.votes[path] += 1 if elements or words - links >= 8 else -1
+                        if gone in CONTAINERS and boxes:
+                            leave()
                         if gone.lstrip("-") == tag:
                             break
                 elif f"-{tag}" in open_:
@@ -317,8 +368,8 @@ class Walker:
                         gone = open_.pop()
                         if gone.startswith("-"):
                             skip -= 1
-                        if gone.lstrip("-") in CONTAINERS and boxes:
-                            boxes.pop()
+                        if gone in CONTAINERS and boxes:
+                            leave()
                         if gone == f"-{tag}":
                             break
                 if tag in ("p", "div", "li", "ul", "ol", "blockquote", "table") and capture is None:
@@ -329,23 +380,19 @@ class Walker:
             # opening tags
             if re.fullmatch(r"h[1-6]", tag):
                 end_text()
-                if not skip:
+                if not hidden():
                     capture = [tag, self.add("heading", ""), []]
-                    for box in boxes:
-                        box[1] += 1
                 open_.append(tag)
             elif tag in ("ul", "ol"):
                 end_text()
                 depth += 1
                 open_.append(tag)
             elif tag == "li":
-                if not skip:
+                if not hidden():
                     if items and items[-1][2] == depth:
                         row = items.pop()
                         self.rows[row[0]] = ("list_item", html_plain("".join(row[1])))
                     items.append([self.add("list_item", ""), [], depth])
-                    for box in boxes:
-                        box[1] += 1
                 if depth == 0:
                     open_.append(tag)
             elif tag in SKIPPED_TAGS:
@@ -354,13 +401,9 @@ class Walker:
                 open_.append(f"-{tag}")
             elif tag in CONTAINERS:
                 end_text()
-                path = container_path(tag, attributes)
-                boxes.append([path, 0, 0, 0])
-                if path in self.lost and "." in path:
-                    skip += 1
-                    open_.append(f"-{tag}")
-                else:
-                    open_.append(tag)
+                path = (boxes[-1][0] + "/" if boxes else "") + container_step(tag, attributes)
+                boxes.append([path, path in self.lost, 0, 0])
+                open_.append(tag)
             elif tag in ("p", "html", "body", "dl", "dt", "dd", "center", "summary", "figcaption"):
                 end_text()
                 if tag == "p" and "p" in open_:
@@ -377,8 +420,8 @@ class Walker:
             self.rows[row[0]] = ("list_item", html_plain("".join(row[1])))
         if capture is not None:
             self.rows[capture[1]] = ("heading", html_plain("".join(capture[2])))
-        for path, elements, words, links in boxes:
-            self.votes[path] += 1 if elements or words - links >= 8 else -1
+        while boxes:
+            leave()
         return max(at, start + 1)
 
     # --- LaTeX lists ---
@@ -523,7 +566,7 @@ class Walker:
                 self.flush()
                 while i < len(lines) and lines[i].strip() and (lines[i].lstrip().startswith(">") or not self.interrupts(lines[i])):
                     i += 1
-            elif m := re.match(r"\s*:*<(source|syntaxhighlight)\b[^>]*>", line):
+            elif m := SOURCE.match(line):
                 self.flush()
                 begin = self.offsets[i] + m.end()
                 end = self.text.find(f"</{m[1]}>", begin)
@@ -533,7 +576,7 @@ class Walker:
             elif BLOCK_TAG.match(line):
                 self.flush()
                 i = self.rest(self.html(self.offsets[i] + len(line) - len(line.lstrip())))
-            elif m := re.match(r"\s*(\$\$|\\\[)", line):
+            elif m := DISPLAY.match(line):
                 self.flush()
                 close = "$$" if m[1] == "$$" else "\\]"
                 begin = self.offsets[i] + m.end()
@@ -551,13 +594,12 @@ class Walker:
                 i += 1
             elif bare.startswith("{{") and not self.paragraph:
                 depth = at = 0
-                whole = self.text[self.offsets[i] :]
-                for m in re.finditer(r"\{\{|\}\}", whole):
+                for m in BRACES.finditer(self.text, self.offsets[i]):
                     depth += 1 if m[0] == "{{" else -1
                     at = m.end()
                     if not depth:
                         break
-                i = self.rest(self.offsets[i] + at) if not depth else i + 1
+                i = self.rest(at) if not depth else i + 1
             elif m := LATEX_BEGIN.match(line):
                 self.flush()
                 name = m[1]
@@ -597,17 +639,17 @@ class Walker:
                 if plain := text_plain(body):
                     self.add("heading", plain)
                 i += 1
-            elif self.paragraph and re.fullmatch(r" {0,3}(?:=+|-{2,}|-)[ \t]*", line) and not (bare == "-"):
+            elif self.paragraph and UNDERLINE.fullmatch(line) and not (bare == "-"):
                 body = "\n".join(self.paragraph)
                 self.paragraph = []
                 body = re.sub(r"[ \t]*\{[#.:][^{}]*\}$", "", body)
                 if plain := text_plain(body):
                     self.add("heading", plain)
                 i += 1
-            elif RULE.match(line) or re.fullmatch(r"-{4,}", bare):
+            elif RULE.match(line) or (bare[:4] == "----" and not bare.strip("-")):
                 self.flush()
                 i += 1
-            elif re.match(r"[*#]{1,6}[ \t]*\S", line) and self.wiki_numbered(i):
+            elif line[:1] in "*#" and WIKI_LINE.match(line) and self.wiki_numbered(i):
                 self.flush()
                 i = self.line_list(i, wiki=True)
             elif (m := ITEM.match(line)) and not (self.paragraph and m[2][-1] in ".)" and m[2] not in ("1.", "1)")):
@@ -619,7 +661,7 @@ class Walker:
                 self.flush()
                 while i < len(lines) and lines[i].strip() and "|" in lines[i]:
                     i += 1
-            elif re.match(r"\[\[(?:File|Image|Category):", bare, re.I) or re.fullmatch(r"__[A-Z]+__", bare):
+            elif bare[0] in "[_" and WIKI_NO_TEXT.match(bare):
                 i += 1
             else:
                 self.paragraph.append(line)
@@ -652,11 +694,8 @@ class Walker:
         if n and self.offsets[n] > offset:
             tail = self.text[offset : self.offsets[n] - 1]
             if tail.strip():
-                self.lines[n - 1] = " " * (len(self.lines[n - 1]) - len(tail)) + tail
-                pad = self.offsets[n - 1]
                 self.lines[n - 1] = tail.strip()
-                self.text = self.text[:pad] + " " * (self.offsets[n] - 1 - pad - len(tail.strip())) + tail.strip() + self.text[self.offsets[n] - 1 :]
-                self.offsets[n - 1] = self.offsets[n] - 1 - len(tail.strip())
+                self.offsets[n - 1] = offset + len(tail) - len(tail.lstrip())
                 return n - 1
         return n
 
@@ -680,36 +719,46 @@ def elements(text: str | None, lost: frozenset[str] = frozenset()) -> list[tuple
     return out
 
 
-def losing_paths(documents: DataFrame) -> DataFrame:
-    """(repo, path): container paths that most of a repository's documents use for boxes, not for content."""
+HAS_CONTAINER = "(?i)<(" + "|".join(sorted(CONTAINERS)) + r")\b"
+
+
+def path_votes(documents: DataFrame) -> DataFrame:
+    """(md_id, repo, path, vote): 1 or -1 for each container path of each document that has containers."""
+    id_type = documents.schema["md_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes: dict[tuple, int] = defaultdict(int)
-            for repo, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if text and "<" in text:
-                    for path, score in Walker(text).walk().votes.items():
-                        votes[repo, path] += score
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["repo", "path", "score"])
+            rows = [(k, path, 1 if score >= 0 else -1) for k, text in enumerate(batch.column(2).to_pylist()) for path, score in Walker(text).walk().votes.items()]
+            at = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["md_id", "repo", "path", "vote"])
+
+    return documents.where(F.col("content").rlike(HAS_CONTAINER)).select("md_id", "repo", "content").mapInArrow(run, f"md_id {id_type}, repo string, path string, vote long")
+
 
-    voted = documents.select("repo", "content").mapInArrow(run, "repo string, path string, score long")
-    return voted.groupBy("repo", "path").agg(F.sum("score").alias("score")).where("score < 0").select("repo", "path")
+def losing_paths(votes: DataFrame) -> DataFrame:
+    """(repo, path): container paths that more of a repository's documents fill with links than with text."""
+    return votes.groupBy("repo", "path").agg(F.sum("vote").alias("score")).where("score < 0").select("repo", "path")
 
 
 def extract_elements(documents: DataFrame, max_paths: int = 200_000) -> DataFrame:
-    """(md_id, kind, seq, plain), rows of each document once. The lost paths reach the second pass by broadcast if they are few,
-    else by a join on the repository."""
+    """(md_id, kind, seq, plain), rows of each document once. Lost paths reach the second pass by broadcast if they are few, else as
+    the set of each document that has some, joined on its id."""
     id_type = documents.schema["md_id"].dataType.simpleString()
-    lost = losing_paths(documents).groupBy("repo").agg(F.collect_set("path").alias("lost"))
-    # one row a repository; its size is known before it is broadcast
-    rows = lost.limit(max_paths + 1).collect() if documents.sparkSession is not None else []
+    votes = path_votes(documents)
+    rows = losing_paths(votes).limit(max_paths + 1).collect()
     names = ["md_id", "kind", "seq", "plain"]
-    if sum(len(r["lost"]) for r in rows) <= max_paths:
-        held = documents.sparkSession.sparkContext.broadcast({r["repo"]: frozenset(r["lost"]) for r in rows})
-        source = documents.select("md_id", "repo", "content").withColumn("lost", F.lit(None).cast("array<string>"))
+    source = documents.select("md_id", "repo", "content")
+    if len(rows) <= max_paths:
+        table: dict = defaultdict(set)
+        for r in rows:
+            table[r["repo"]].add(r["path"])
+        held = documents.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in table.items()})
+        source = source.withColumn("lost", F.lit(None).cast("array<string>"))
     else:
         held = None
-        source = documents.select("md_id", "repo", "content").join(lost, documents["repo"].eqNullSafe(lost["repo"]), "left").select("md_id", documents["repo"], "content", "lost")
+        gone = losing_paths(votes).select(F.col("repo").alias("_repo"), F.col("path").alias("_path"))
+        own = votes.join(gone, F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("path") == F.col("_path")), "left_semi").groupBy(F.col("md_id").alias("_md")).agg(F.collect_set("path").alias("lost"))
+        source = source.join(own, source["md_id"].eqNullSafe(own["_md"]), "left").select("md_id", "repo", "content", "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value if held is not None else {}

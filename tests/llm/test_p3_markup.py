@@ -81,11 +81,21 @@ def test_mixtures_and_line_ends():
     assert len(of("- x\n" * 30_000, "list_item")) == 30_000
 
 
-def test_boxes_lose_the_vote(spark):
-    box = '<div class="nav1"><ul><li><a href="#">home</a></li></ul></div>'
-    assert Walker('<div class="box7"><span>x</span></div>').walk().votes == {"div.box#": -1}
-    rows = [(k, "r", '<div class="ad3"><span>x</span></div>\n\n# H', "") for k in range(5)] + [(9, "r", '<div class="ad4"><h2>gone</h2></div>\n\n# kept', ""), (9, "r", '<div class="ad4"><h2>gone</h2></div>\n\n# kept', ""), (10, None, "- a", ""), (None, "r", None, None)]
-    got = sorted((r.md_id, r.kind, r.seq, r.plain) for r in extract_elements(spark.createDataFrame(rows, "md_id long, repo string, content string, lost string")).collect())
-    assert (9, "heading", 1, "kept") in got and len([r for r in got if r[0] == 9]) == 1 and (10, "list_item", 1, "a") in got
+def test_containers_vote_by_their_links(spark):
+    """Navigation that differs from content by its class only loses its repository's vote; a container with links in a text doesn't."""
+    nav = '<div class="menu{}"><ul><li><a href="/a">home page</a></li><li><a href="/b">all news</a></li></ul></div>'
+    body = '<div class="page"><h2>Title {}</h2><ul><li>text with <a href="/c">a link</a> in it</li></ul></div>'
+    assert Walker(nav.format(7)).walk().votes == {"div.menu#": -4} and Walker('<div id="a"><section>b c</section></div>').walk().votes == {"div.a/section": 2, "div.a": 2}
+    rows = [(k, "r", f"<body>{nav.format(k)}{body.format(k)}</body>", "") for k in range(5)]
+    rows += [(7, "r", '<div class="menu9"><h2>not here</h2>some plain words</div>\n\n# H', ""), (8, "s", '<div class="menu9"><h2>here</h2>some plain words</div>', "")]
+    rows += [rows[0], (10, None, "- a", ""), (None, "r", None, None), (11, "r", '<div class="menu3"><a href="/x">x y</a><div class="page"><h3>inner</h3></div></div>', "")]
+    documents = spark.createDataFrame(rows, "md_id long, repo string, content string, lost string")
+    want = sorted([(k, *x) for k in range(5) for x in (("heading", 1, f"Title {k}"), ("list_item", 1, "text with a link in it"))] + [(7, "heading", 1, "H"), (8, "heading", 1, "here"), (10, "list_item", 1, "a"), (11, "heading", 1, "inner")])
+    for bound in (200_000, 0):  # lost paths by broadcast and by the join
+        assert sorted((r.md_id, r.kind, r.seq, r.plain) for r in extract_elements(documents, bound).collect()) == want
     assert extract_elements(spark.createDataFrame([], "md_id long, repo string, content string")).count() == 0
-    assert box
+
+
+def test_text_after_a_block_on_its_line():
+    """Blocks one after the other on one line cost no copy of the text each."""
+    assert len(of("<h2>a</h2>- b\n" * 20_000, "heading")) == 20_000
