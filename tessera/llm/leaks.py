@@ -7,8 +7,9 @@ samples make a candidate. A walk of STEPS steps never reads more than PASSAGE wo
 every table, whatever the bits; reworded passages collide in some table at one of their many starts. Candidates are then
 verified exactly: a common run of PASSAGE words, or a window of REWORDED item words of which KEPT stand in order in a document window.
 
-The items are the stated query set: they are read in blocks of at most ITEM_BLOCK and each block's index is broadcast; documents
-stay where they are, a block is one narrow pass over them. All windows of all items and whole documents take part.
+The items are the stated query set: they are read in blocks of about BLOCK_BYTES of text, of which one at a time is on the driver,
+and each block's index is broadcast; documents stay where they are, a block is one narrow pass over them (a million items of 500
+bytes make 16). All windows of all items and whole documents take part.
 
 Defined results: null or empty documents and items give no rows; items shorter than PASSAGE words can't leak; equal documents
 each give their rows; repeated rows of a document or item give one row a pair; extra columns are ignored.
@@ -16,6 +17,7 @@ each give their rows; repeated rows of a document or item give one row a pair; e
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 PASSAGE = 12
 REWORDED, KEPT, SLACK = 20, 16, 5
 STEPS, SAMPLED, TABLES = PASSAGE - 1, 6, 10
-ITEM_BLOCK = 20_000
+BLOCK_BYTES = 32 << 20
+DRIFT = SLACK + REWORDED - KEPT  # words inserted or dropped on one side of a place that both texts share
 SEED = 20_25
 
-PAD = [0] * (REWORDED + SLACK + 1)  # between texts, longer than any window looks
+PAD = [0] * (REWORDED + DRIFT + 1)  # between texts, longer than any window looks
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 COMBINING = re.compile("[̀-ͯ​-‍⁠﻿­]")
@@ -165,20 +169,20 @@ class ItemIndex:
         return tuple(np.concatenate(found, axis=1).astype(np.int64))
 
     def plausible(self, flat: np.ndarray, at: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """A necessary condition for a passage around a candidate, for all at once: KEPT of REWORDED consecutive item words stand in the
-        document at most SLACK words off the diagonal, or PASSAGE of PASSAGE on it. flat begins with PAD."""
+        """A necessary condition for a passage whose alignment passes through a candidate, for all at once: KEPT of REWORDED consecutive
+        item words stand in the document at most DRIFT words off the diagonal, or PASSAGE of PASSAGE on it. flat begins with PAD."""
         base = self.begin[item] + offset + len(PAD)
         reach = range(-REWORDED + 1, REWORDED)
         near = np.zeros((len(reach) + 1, len(at)), dtype=np.int16)  # running sums
         exact = np.zeros_like(near)
-        doc = {d: flat[at + d] for d in range(reach.start - SLACK, reach.stop + SLACK)}
+        doc = {d: flat[at + d] for d in range(reach.start - DRIFT, reach.stop + DRIFT)}
         for k, d in enumerate(reach):
             inside = (offset + d >= 0) & (base + d < len(self.flat))
             word = np.where(inside, self.flat[np.minimum(base + d, len(self.flat) - 1)], 0)
             word[word == 0] = -1
             on = doc[d] == word
             same = on.copy()
-            for shift in range(1, SLACK + 1):
+            for shift in range(1, DRIFT + 1):
                 same |= doc[d + shift] == word
                 same |= doc[d - shift] == word
             near[k + 1] = near[k] + same
@@ -215,39 +219,42 @@ def search_texts(texts: list[str | None], index: ItemIndex) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
-_INDEXES: dict[int, ItemIndex] = {}
+_INDEXES: dict[str, ItemIndex] = {}
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
+def index_of(key: str, rows: list[tuple]) -> ItemIndex:
+    """The index of a block, kept by a worker process together with the last one: tasks of two blocks may take turns."""
+    if key not in _INDEXES:
+        while len(_INDEXES) > 1:
+            _INDEXES.pop(next(iter(_INDEXES)))
+        _INDEXES[key] = ItemIndex(rows)
+    return _INDEXES[key]
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, item_id): every document and item of which it holds a passage."""
     spark = documents.sparkSession
-    id_type, item_type = documents.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"{id_col} {id_type}, {item_id} {item_type}"
+    id_type, item_type = documents.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType
+    schema = f"{id_col} {id_type}, {item_id} {item_type.simpleString()}"
     wanted = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).distinct()
-    blocks = max(1, -(-wanted.count() // block))
+    blocks = max(1, -(-(wanted.agg(F.sum(F.octet_length(item_text))).first()[0] or 0) // block_bytes))
     parts = []
     for k in range(blocks):
-        rows = [tuple(r) for r in wanted.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).collect()] if blocks > 1 else [tuple(r) for r in wanted.collect()]
-        held = spark.sparkContext.broadcast(sorted(rows))
-        parts.append(documents.select(id_col, text_col).mapInArrow(_searcher(held, id_col, item_id), schema))
+        rows = sorted(tuple(r) for r in wanted.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == k).collect())
+        key = hashlib.sha256(repr(rows).encode()).hexdigest()
+        parts.append(documents.select(id_col, text_col).mapInArrow(_searcher(spark.sparkContext.broadcast(rows), key, id_col, item_id, to_arrow_type(item_type)), schema))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def _searcher(held, id_col: str, item_id: str):
+def _searcher(held, key: str, id_col: str, item_id: str, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = held.value
-        key = hash(tuple(rows))
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = ItemIndex(rows)
-        index = _INDEXES[key]
+        index = index_of(key, held.value)
+        known = pa.array(index.ids, item_type)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = part.column(0)
                 found = search_texts(part.column(1).to_pylist(), index)
                 take = pa.array([k for k, items in enumerate(found) for _ in items], pa.int32())
-                out = [index.ids[i] for items in found for i in items]
-                yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(out, pa.int64())], names=[id_col, item_id])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), known.take(pa.array([i for items in found for i in items], pa.int32()))], names=[id_col, item_id])
 
     return run

@@ -67,7 +67,9 @@ def test_tables(spark):
     items = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, None), (3, "", None), (4, "too short", None)], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame([(10, "a " + text, 1), (10, "a " + text, 1), (11, None, 1), (12, "", 1), (13, "nothing " * 50_000, 1)], "doc_id long, text string, item_id int")
     assert [tuple(r) for r in L.find_leaks(docs, items).collect()] == [(10, 1)]
-    assert [tuple(r) for r in L.find_leaks(docs, items, block=1).collect()] == [(10, 1)]
+    assert [tuple(r) for r in L.find_leaks(docs, items, block_bytes=1).collect()] == [(10, 1)]
+    named = items.selectExpr("concat('item', item_id) AS item_id", "text")
+    assert [tuple(r) for r in L.find_leaks(docs, named).collect()] == [(10, "item1")]
     assert L.find_leaks(docs, items.limit(0)).count() == 0 == L.find_leaks(docs.limit(0), items).count()
 
 
