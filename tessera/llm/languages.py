@@ -8,7 +8,8 @@ sentence costs one sum. Labels are often wrong, so the sample's sentences are sc
 their label are left out of the second one.
 
 What counts as prose: paragraphs, quotations and list items. Code blocks, code spans, commands, log lines, diffs, addresses,
-identifiers, headings, title lines and quoted terms are left out, as are sentences of fewer than MIN_WORDS words.
+identifiers, headings, title lines and quoted terms are left out. A quotation that ends like a sentence is prose. Sentences of any
+length from two words are scored (a word alone is a term); a short one needs LEAST_BITS of evidence to stand for a language.
 
 Defined results: null, empty, blank and prose-free texts give no rows; equal texts give equal rows under each id; texts are
 read whole; a label that names no language of the nine (or none at all) names none; extra columns are ignored.
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 LANGS = ("de", "en", "es", "fr", "ja", "nl", "pl", "pt", "ru")
 ORDER = 5
 SAMPLE_DOCS = 300  # labelled documents per language that the fit may use
-MIN_WORDS = 4
+MIN_WORDS = 4  # shorter sentences don't take part in the fit
 FOREIGN = 8  # a word that another language uses so many times as often is not fitted on
 MARGIN_BITS = 6.0  # a word, by which another language must beat the document's own for a sentence to count as a passage in it
+LEAST_BITS = 24.0  # what a sentence must show at least, however short it is
 CACHE_WORDS = 300_000
 
 NAMES = {
@@ -57,7 +59,7 @@ SEEDS = {
 }
 
 FENCE = re.compile(r"^[ \t>]*(`{3,}|~{3,})[^\n]*\n(?:.*?\n)??[ \t>]*\1[`~]*[ \t]*$|^[ \t>]*(?:`{3,}|~{3,})[^\n]*\n.*\Z", re.S | re.M)
-SPANS = re.compile(r"`[^`\n]*`|<[^<>\s]+>|\[([^\]\n]*)\]\([^)\n]*\)|\(?[\"“«„][^\"“”«»„\n]{0,80}[\"”»“]\)?", re.A)
+SPANS = re.compile(r"`[^`\n]*`|<[^<>\s]+>|\[([^\]\n]*)\]\([^)\n]*\)|\(?[\"“«„](?:[^\"“”«»„\n]*[^\"“”«»„\n.!?…。！？])?[\"”»“]\)?", re.A)
 MARKED = re.compile(r"[`<\[\"“«„]")
 ADDRESS = re.compile(r"https?://\S+", re.A)
 ITEM = re.compile(r"(?:[-*+•·]|\d+[.)])\s+")
@@ -297,17 +299,18 @@ def passages(lists: list[list[str]], scores: np.ndarray) -> list[list]:
     votes = np.zeros(len(LANGS))
     best = scores.argmin(axis=1)
     sizes = np.array([len(x) for x in lists])
-    if (best == best[0]).all():
+    if (best == best[0]).all() and scores.sum(axis=0).argmin() == best[0]:
         return [[int(best[0]), len(lists), int(sizes.sum()), scores.sum(axis=0)]]
     ranked = np.partition(scores, 1, axis=1)
-    clear = ranked[:, 1] - ranked[:, 0] >= MARGIN_BITS * sizes
+    needed = np.maximum(MARGIN_BITS * sizes, LEAST_BITS)
+    clear = ranked[:, 1] - ranked[:, 0] >= needed
     np.add.at(votes, best, sizes * np.where(clear, 4, 1))
     main = int(votes.argmax())
     sure = sorted({main, *best[clear].tolist()})  # languages between which an unclear sentence may choose
     runs: list[list] = []
-    for words, row, b, plain in zip(lists, scores, best, clear):
+    for words, row, b, plain, least in zip(lists, scores, best, clear, needed):
         b = int(b) if plain else sure[int(row[sure].argmin())]
-        if b != main and row[main] - row[b] < MARGIN_BITS * len(words):
+        if b != main and row[main] - row[b] < least:
             b = main
         if runs and runs[-1][0] == b:
             runs[-1][1] += 1
@@ -349,7 +352,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
                 for k, text in enumerate(texts):
                     if text:
                         for s in sentences(text):
-                            if len(w := words_of(s)) >= MIN_WORDS:
+                            if len(w := words_of(s)) > 1:  # a word alone is a term
                                 lists.append(w)
                                 owner.append(k)
                 if not lists:

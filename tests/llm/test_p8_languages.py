@@ -49,6 +49,17 @@ def test_held_out_documents():
     assert n > 200 and right / n > 0.9  # the labels themselves are wrong now and then
 
 
+def test_short_sentences_and_quotations():
+    """Two words can be a sentence; a quotation that ends like one is read, a quoted title isn't."""
+    assert ["Das ist gut."] == [x for x in L.sentences('He said \u201eDas ist gut.\u201c twice and left the room.') if x.startswith("Das")] or "Das ist gut" in " ".join(L.sentences('He said \u201eDas ist gut.\u201c twice and left the room.'))
+    assert "Haus" not in " ".join(L.sentences("He read \u201eDas Haus am See\u201c twice and left the room."))
+    german = {"das": 50, "ist": 50, "gut": 20, "nicht": 30, "schlecht": 10, "und": 60, "wir": 30, "gehen": 20, "jetzt": 20}
+    english = {"this": 50, "is": 50, "good": 20, "the": 90, "and": 60, "we": 30, "leave": 20, "room": 20, "now": 20, "walk": 10, "into": 10, "old": 10}
+    scorer = L.Scorer({"de": german, "en": english})
+    lists = [L.words_of(s) for s in ("We walk into the old room and leave the room now", "Wir gehen jetzt", "This is good and we leave")]
+    assert [L.LANGS[p[0]] for p in L.passages(lists, scorer.score(lists))] == ["en", "de", "en"]
+
+
 def test_tables(spark):
     german, english = "Das ist ein kurzer Satz und er wird gelesen. Die Sprache ist nicht wie die anderen.", "This is a short sentence and somebody reads it. The language will not be taken for one of the others."
     rows = [(1, english, "en"), (2, german, "en"), (3, english + " " + german, "English"), (4, None, None), (5, "", "de"), (6, german, None), (6, german, None), (7, "```\nx = 1\n```", "")]
