@@ -1,19 +1,21 @@
 """Problem 5: log lines of many programs into entries with timestamp, level, component and message.
 
-1. Mining. Each unindented line is tokenised into a shape: timestamps, levels, names, numbers, quoted strings and punctuation.
-   Equal shapes are counted in Spark (combined before the shuffle); the counted shapes are clustered per partition by their
-   longest common subsequence, which leaves constant tokens and variable slots; the partitions' templates are merged on the
-   driver (their number depends on the layouts, not on the lines).
-2. Slots are classified by type into timestamp, level, component and message, and each template becomes a pattern.
+1. Mining. Each unindented line is tokenised into a shape: timestamps, levels, names, numbers, quoted strings and punctuation;
+   objects and key=value lines into the row of their keys with the type of each value. Shapes whose leads (what stands before the
+   free text) have a longest common subsequence as long as both form a cluster; the common subsequence of its members leaves
+   constant tokens and variable slots. Partitions' templates are merged, and as a template's header is what all its members
+   begin with, neither order nor partitions change it.
+2. Slots are classified by type into timestamp, level, component and message, and each template becomes a pattern. A key of
+   objects and key=value lines takes a role if its name proposes it and most of its values have the role's type.
 3. Parsing. Lines go to blocks of consecutive line numbers, so that a log of any length spreads over many tasks; a block
-   also sees the first lines of the next one, for objects printed over several lines. What an entry at a block's end
-   continues into is added up afterwards from one row per block.
+   also sees the first LOOK_AHEAD lines of the next one. An object that goes on behind them is an open entry, which a second,
+   keyed reading of just its lines completes. What an entry at a block's end continues into is added up afterwards
+   from one row a block, by blocks of blocks, so that no task holds all blocks of a log.
 
 Defined results: null and blank lines are continuation lines; repeated (log_id, line_no) count once (their contents are equal;
 if not, the smallest text is taken); lines before a log's first entry belong to none; indented lines, quoted entries, stacks
-and objects without a message never open an entry; an object printed over more than OBJECT_LINES lines is a dump and opens
-none; null log_id forms a log of its own; ts_ms is -1 without a time or if the year is missing and the log has no started_at;
-empty tables give an empty result; extra columns are ignored.
+and objects without a message never open an entry; null log_id forms a log of its own; ts_ms is -1 without a time or if the year is
+missing and the log has no started_at; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from tessera.operators.sizes import broadcast_if_small
 
 BLOCK_LINES = 8192
-OBJECT_LINES = 512
+LOOK_AHEAD = 128
+BLOCKS_TOGETHER = 4096  # blocks whose ends one task adds up
 
 MONTHS = {m: i + 1 for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
 LEVELS = {
@@ -103,31 +106,44 @@ GAP = "*"
 
 
 def common(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[str, ...]:
-    """Longest common subsequence of two templates, with a gap wherever either has something else."""
-    a, b = a[:120], b[:120]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] and a[i] != GAP else max(below[j], row[j + 1])
-    out, i, j, gap = [], 0, 0, False
-    while i < n and j < m:
-        if a[i] == b[j] and a[i] != GAP and best[i][j] == best[i + 1][j + 1] + 1:
-            if gap:
-                out.append(GAP)
-                gap = False
-            out.append(a[i])
-            i, j = i + 1, j + 1
+    """Longest common subsequence of two templates, with a gap wherever either has something else. Bit-parallel over a; an equal start is
+    taken as it is, so the head of a cluster's template is what all members begin with, in whatever order they came."""
+    if a == b:
+        return a
+    same = 0
+    for x, y in zip(a, b):
+        if x != y or x == GAP:
+            break
+        same += 1
+    start, a, b = a[:same], a[same:], b[same:]
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        if x != GAP:
+            where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    rows, v = [], full
+    for y in b:
+        u = v & where.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    i, j, kept = len(a), len(b), []
+    while i and j:  # back along the alignment
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
         else:
-            gap = True
-            if best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    if gap or i < n or j < m:
+            j -= 1
+            if not j or rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+                kept.append((i, j))
+    out, at, bt = list(start), 0, 0
+    for i, j in reversed(kept):
+        if i > at or j > bt:
+            out.append(GAP)
+        out.append(a[i])
+        at, bt = i + 1, j + 1
+    if at < len(a) or bt < len(b):
         out.append(GAP)
-    return tuple(out)
+    return tuple(x for k, x in enumerate(out) if x != GAP or not k or out[k - 1] != GAP)
 
 
 def head(template: tuple[str, ...]) -> tuple[str, ...]:
@@ -136,8 +152,8 @@ def head(template: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def opens_entry(toks: tuple[str, ...]) -> bool:
-    """A header states a time or a level within its first tokens, before any free text."""
-    for t in toks[:8]:
+    """A header states a time or a level before any free text."""
+    for t in toks:
         if t in "TKL":
             return True
         if t in "wS" or t == "'{":
@@ -151,7 +167,7 @@ SEPARATORS = (("']", "' "), ("':", "' "), ("' ", "'-", "' "), ("' ", "'|", "' ")
 def lead_of(toks: tuple[str, ...]) -> tuple[str, ...]:
     """The shortest start of a shape, up to a separator, in which a name follows or precedes what can be a time and a level: two
     shapes are compared only if these agree."""
-    level_at = next((i for i, t in enumerate(toks[:24]) if t in "LK"), None)
+    level_at = next((i for i, t in enumerate(toks) if t in "LK"), None)
     end = None
     for i in range(len(toks)):
         for sep in SEPARATORS:
@@ -182,9 +198,12 @@ def header_of(template: tuple[str, ...]) -> tuple[str, ...]:
     return ()
 
 
-def classify(template: tuple[str, ...]) -> str | None:
+def classify(template: tuple[str, ...], strict: bool = False) -> str | None:
     """A pattern with the groups ts, glog, level, component and msg for a template; None if it states neither time nor level and
-    name. Slots by type: the first timestamp, the first level, the last name of the header; what follows is the message."""
+    name. Slots by type: the first timestamp, the first level, the last name of the header; what follows is the message.
+    strict: a pattern that only lines of the same shape match."""
+    name, number = (rf"(?!(?i:{LEVEL_WORD}))" + r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?![\w-]|\.[A-Za-z_])", rf"(?!{ANY_STAMP})\d+\w*") if strict else (r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", r"\d+\w*")
+    level = f"(?i:{LEVEL_WORD})" if strict else "[A-Za-z]+"
     lead = lead_of(template)
     if len(lead) < 3 or len(head(template)) < len(lead) or not opens_entry(template):
         return None
@@ -200,14 +219,14 @@ def classify(template: tuple[str, ...]) -> str | None:
         elif t == "K":
             out.append(r"(?P<glog>[IWEFDT]\d{4} \d\d:\d\d:\d\d\.\d+)")
         elif t == "L":
-            out.append(r"(?P<level>[A-Za-z]+)" if "level" not in seen else "[A-Za-z]+")
+            out.append(f"(?P<level>{level})" if "level" not in seen else level)
             seen.add("level")
         elif t == "w":
-            out.append(r"(?P<component>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)" if i == names[-1] else r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
+            out.append(f"(?P<component>{name})" if i == names[-1] else name)
         elif t == "h":
             out.append(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*-\d+")
         elif t == "9":
-            out.append(r"\d+\w*")
+            out.append(number)
         elif t == "S":
             out.append(r'"(?:[^"\\]|\\.)*"')
         else:
@@ -216,14 +235,57 @@ def classify(template: tuple[str, ...]) -> str | None:
     return (text.removesuffix(r"[ \t]+") + r"[ \t]*" if text.endswith(r"[ \t]+") else text) + r"(?P<msg>.*)"
 
 
-SETTLED = 40
+SETTLED = 40  # shapes after which lines are first tried against a template's own pattern
 SHAPES_HELD = 50_000  # shapes a miner remembers to count repeats by; their counts are added up when it is full
 KEYED = re.compile(r"[a-z][\w.@-]*=\S")
+LOGFMT = re.compile(r'([\w.@-]+)=("(?:[^"\\]|\\.)*"|\S*)(?:\s+|$)')
+FIELD = "field"  # marks templates of objects and key=value lines
+
+
+def fields_of(line: str) -> dict | None:
+    """The named fields of an object in one line or of a key=value line."""
+    if line[:1] == "{":
+        try:
+            fields = json.loads(line)
+        except ValueError:
+            return None
+        return fields if isinstance(fields, dict) else None
+    if not KEYED.match(line):
+        return None
+    pairs = LOGFMT.findall(line)
+    if len(pairs) < 2 or not line.startswith(pairs[0][0] + "="):
+        return None
+    fields: dict = {}
+    for key, value in pairs:
+        if value[:1] == '"':
+            try:
+                value = json.loads(value)
+            except ValueError:
+                value = value[1:-1]
+        fields.setdefault(key, value)
+    return fields
+
+
+def type_of(value) -> str:
+    """T time, L level, w name, S text, 9 number, ? anything else."""
+    if value is None or isinstance(value, (dict, list, bool)):
+        return "?"
+    text = str(value)
+    if text.lower() in LEVELS:
+        return "L"
+    if parse_time(text, 2000) != -1:
+        return "T"
+    if isinstance(value, (int, float)):
+        return "9"
+    return "w" if NAME.match(text) else "S"
+
+
+NAME = re.compile(r"[A-Za-z_][\w./:-]*\Z")
 
 
 class Miner:
-    """Templates of a stream of lines. A line that fits the pattern of a settled template (SETTLED different shapes have
-    shared its header) is only counted; any other is tokenised and merged by longest common subsequence."""
+    """Templates of a stream of lines: [common subsequence, lines, shapes] by lead. A line that matches the strict pattern of a settled
+    template has its header, so that merging it could not change what is read from the template; it is only counted."""
 
     def __init__(self) -> None:
         self.shapes: dict[str, int] = defaultdict(int)
@@ -238,6 +300,11 @@ class Miner:
                 if i > 2:
                     settled.insert(0, settled.pop(i))
                 return
+        if (line[0] == "{" or KEYED.match(line)) and (fields := fields_of(line)):
+            for key, value in fields.items():
+                known = self.made.setdefault((FIELD, key, type_of(value)), [(FIELD, key, type_of(value)), 0, 0])
+                known[1] += 1
+            return
         shape = shape_of(line)
         if shape in self.shapes:
             self.shapes[shape] += 1
@@ -250,12 +317,12 @@ class Miner:
             self.merge(toks, 1, 1)
 
     def merge(self, toks: tuple[str, ...], lines: int, kinds: int) -> None:
-        lead = lead_of(toks)
+        lead = lead_of(toks)  # leads whose common subsequence is as long as both are equal
         known = self.made.setdefault(lead, [toks, 0, 0])
         known[0] = common(known[0], toks) if known[1] else toks
         known[1] += lines
         known[2] += kinds
-        if known[2] >= SETTLED and not any(known is e[1] for e in self.settled) and (pattern := classify(known[0])):
+        if known[2] >= SETTLED and not any(known is e[1] for e in self.settled) and (pattern := classify(known[0], strict=True)):
             self.settled.append([re.compile(pattern, re.S).match, known])
 
     def add_repeats(self) -> None:
@@ -271,15 +338,16 @@ class Miner:
 
 
 def mine_templates(lines: DataFrame, text_col: str = "text") -> list[tuple[tuple[str, ...], int]]:
-    """Templates of all unindented lines with the number of lines of each, most frequent first."""
-    opening = lines.where(F.col(text_col).rlike(r"^[^\s{}]")).select(text_col)
+    """Templates of all unindented lines with the number of lines of each, most frequent first; for objects and key=value lines
+    (FIELD, key, type of value) with the number of values."""
+    opening = lines.where(F.col(text_col).rlike(r"^[^\s}]")).select(text_col)
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         miner = Miner()
         for batch in batches:
             for line in batch.column(0).to_pylist():
                 line = (ANSI.sub("", line) if "\x1b" in line else line).rstrip()
-                if line and not KEYED.match(line):
+                if line and line != "{":
                     miner.add(line)
         made = miner.templates()
         yield pa.RecordBatch.from_arrays(
@@ -289,10 +357,27 @@ def mine_templates(lines: DataFrame, text_col: str = "text") -> list[tuple[tuple
 
     # equal templates of different partitions are added up in Spark; what comes to the driver grows with the layouts only
     parts = opening.mapInArrow(per_partition, "template string, n long, kinds long").groupBy("template").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
-    merged = Miner()
+    merged, fields = Miner(), []
     for r in sorted(parts, key=lambda r: (-r.n, r.template)):
-        merged.merge(tuple(r.template.split("\x02")), r.n, 0)
-    return sorted(((t, n) for t, n, _ in merged.templates()), key=lambda x: (-x[1], x[0]))
+        toks = tuple(r.template.split("\x02"))
+        if toks[0] == FIELD:
+            fields.append((toks, r.n))
+        else:
+            merged.merge(toks, r.n, 0)
+    return sorted([*((t, n) for t, n, _ in merged.templates()), *fields], key=lambda x: (-x[1], x[0]))
+
+
+TYPES = {"ts": "T9", "level": "L", "component": "wSL", "msg": "SwL9T"}
+
+
+def roles_of(templates: list[tuple[tuple[str, ...], int]]) -> dict[str, tuple[str, ...]]:
+    """The keys of each role, in the order of preference: those whose name proposes it and most of whose values have its types."""
+    values: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for t, n in templates:
+        if t[0] == FIELD:
+            values[t[1]][t[2]] += n
+    fits = lambda key, role: 2 * sum(n for kind, n in values[key].items() if kind in TYPES[role]) >= sum(n for kind, n in values[key].items() if kind != "?")
+    return {role: tuple(k for k in keys if fits(k, role)) for role, keys in KEYS.items()}
 
 
 # --- times ---------------------------------------------------------------------------------------------------------------
@@ -340,57 +425,43 @@ def parse_time(text: str, year: int | None) -> int:
 
 # --- parsing -------------------------------------------------------------------------------------------------------------
 
-LOGFMT = re.compile(r'([\w.@-]+)=("(?:[^"\\]|\\.)*"|\S*)(?:\s+|$)')
 Entry = tuple[int, str, str, str]
 
 
-def pick(fields: dict, what: str):
-    for key in KEYS[what]:
+def pick(fields: dict, keys: tuple[str, ...]):
+    for key in keys:
         if key in fields and fields[key] is not None and not isinstance(fields[key], (dict, list)):
             return fields[key]
     return None
 
 
-def from_fields(fields: dict, year: int | None) -> Entry | None:
+def from_fields(fields: dict, year: int | None, roles: dict[str, tuple[str, ...]] = KEYS) -> Entry | None:
     """An entry from named fields; without a message, or with neither time nor level, it is no entry."""
-    msg = pick(fields, "msg")
-    stamp, level = pick(fields, "ts"), pick(fields, "level")
+    msg = pick(fields, roles["msg"])
+    stamp, level = pick(fields, roles["ts"]), pick(fields, roles["level"])
     if msg is None or (stamp is None and level is None):
         return None
-    component = pick(fields, "component")
+    component = pick(fields, roles["component"])
     return (-1 if stamp is None else parse_time(str(stamp), year), LEVELS.get(str(level).lower(), "") if level is not None else "", "" if component is None else str(component), str(msg).strip())
 
 
 class EntryParser:
     """Opens entries by the mined patterns; JSON and key=value lines by the roles of their keys."""
 
-    def __init__(self, patterns: list[str]):
+    def __init__(self, patterns: list[str], roles: dict[str, tuple[str, ...]] = KEYS):
         self.patterns = [re.compile(p, re.S) for p in patterns]
-        self.by_first: dict[str, list] = defaultdict(list)
+        self.roles = roles
 
     def entry(self, line: str, year: int | None) -> Entry | None:
         first = line[:1]
         if not first or first.isspace():
             return None
-        if first == "{":
-            try:
-                fields = json.loads(line)
-            except ValueError:
+        if first == "{" or (first.islower() and "=" in line):
+            fields = fields_of(line)
+            if fields is not None and (first == "{" or fields) and (found := from_fields(fields, year, self.roles)) is not None:
+                return found
+            if first == "{":
                 return None
-            return from_fields(fields, year) if isinstance(fields, dict) else None
-        if first.islower() and "=" in line[:24]:
-            pairs = LOGFMT.findall(line)
-            if len(pairs) > 1 and line.startswith(pairs[0][0] + "="):
-                fields = {}
-                for key, value in pairs:
-                    if value[:1] == '"':
-                        try:
-                            value = json.loads(value)
-                        except ValueError:
-                            value = value[1:-1]
-                    fields.setdefault(key, value)
-                if (found := from_fields(fields, year)) is not None:
-                    return found
         for i, pattern in enumerate(self.patterns):
             m = pattern.match(line)
             if not m:
@@ -412,9 +483,13 @@ class EntryParser:
         return None
 
 
+OPEN = (None, None, None, None)  # the fields of an entry that is still to be read
+
+
 def parse_block(lines: list[tuple[int, str, int | None]], limit: int, parser: EntryParser) -> tuple[list, int]:
     """Entries that begin below line number `limit`: [line_no, n_lines within the block, ts, level, component, msg]; and the number of lines before
-    the first. `lines` are in order, each number once; those from `limit` on only complete objects."""
+    the first. `lines` are in order, each number once; those from `limit` on only complete objects. An object that isn't over with the
+    last of them is an entry with OPEN fields."""
     entries: list[list] = []
     before = k = 0
     n = len(lines)
@@ -422,18 +497,13 @@ def parse_block(lines: list[tuple[int, str, int | None]], limit: int, parser: En
         number, text, year = lines[k]
         found, span = None, 1
         if text == "{":
-            body, e = ["{"], k + 1
-            while e < n and e - k < OBJECT_LINES and lines[e][1] not in ("}", "{") and (lines[e][1][:1] in (" ", "\t") or not lines[e][1]):
-                body.append(lines[e][1])
+            e = k + 1
+            while e < n and (not lines[e][1] or lines[e][1][0] in " \t"):
                 e += 1
-            if e < n and e - k < OBJECT_LINES and lines[e][1] == "}":
-                try:
-                    fields = json.loads("\n".join(body) + "}")
-                    found = from_fields(fields, year)
-                except ValueError:
-                    found = None
-                if found is not None:
-                    span = e - k + 1
+            if e == n:
+                found = OPEN
+            elif (found := object_entry([x[1] for x in lines[k : e + 1]], year, parser.roles)) is not None:
+                span = e - k + 1
         else:
             found = parser.entry(text, year)
         inside = sum(1 for x in lines[k : k + span] if x[0] < limit) if span > 1 else 1
@@ -447,38 +517,52 @@ def parse_block(lines: list[tuple[int, str, int | None]], limit: int, parser: En
     return entries, before
 
 
+def object_entry(lines: list[str], year: int | None, roles: dict[str, tuple[str, ...]]) -> Entry | None:
+    """The entry of an object printed over lines, the last of which should close it."""
+    if lines[-1] != "}":
+        return None
+    try:
+        fields = json.loads("\n".join(lines))
+    except ValueError:
+        return None
+    return from_fields(fields, year, roles)
+
+
 OUT_SCHEMA = "log_id string, line_no int, n_lines int, ts_ms bigint, log_level string, component string, msg string"
 
 
-def parse_entries(lines: DataFrame, logs: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+def parse_entries(lines: DataFrame, logs: DataFrame, block_lines: int = BLOCK_LINES, together: int = BLOCKS_TOGETHER) -> DataFrame:
     """One row per entry of `lines`(log_id, line_no, text); `logs`(log_id, started_at) gives the year where a line has none."""
     lines = lines.select("log_id", "line_no", "text").where(F.col("line_no").isNotNull())
-    patterns = [p for t, _ in mine_templates(lines) if (p := classify(t))]
+    templates = mine_templates(lines)
+    patterns, roles = [p for t, _ in templates if t[0] != FIELD and (p := classify(t))], roles_of(templates)
     years = logs.where(F.col("log_id").isNotNull()).groupBy("log_id").agg(F.year(F.min("started_at")).alias("log_year"))
+    ahead = min(LOOK_AHEAD, block_lines)
     block = F.floor(F.col("line_no") / block_lines).cast("int")
-    copies = F.when((F.col("line_no") % block_lines < OBJECT_LINES) & (F.col("line_no") >= block_lines), F.array(block, block - 1)).otherwise(F.array(block))
-    spread = (
-        lines.join(broadcast_if_small(years), "log_id", "left")
-        .select("log_id", F.explode(copies).alias("block"), "line_no", "text", "log_year")
-        .repartition("log_id", "block")
-        .sortWithinPartitions("log_id", "block", "line_no", "text")
-    )
+    copies = F.when(F.col("line_no") % block_lines < ahead, F.array(block, block - 1)).otherwise(F.array(block))
+    held = lines.join(broadcast_if_small(years), "log_id", "left")
+    spread = held.select("log_id", F.explode(copies).alias("block"), "line_no", "text", "log_year").repartition("log_id", "block").sortWithinPartitions("log_id", "block", "line_no", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser, key, held, out = EntryParser(list(patterns)), None, [], []
+        parser, key, held, out = EntryParser(list(patterns), roles), None, [], []
 
         def finish() -> None:
             limit = (key[1] + 1) * block_lines
+            if held[0][0] >= limit:
+                return  # lines of the next block only
             entries, before = parse_block(held, limit, parser)
+            still = entries.pop() if entries and entries[-1][5] is None else None
             for e in entries[:-1]:
-                out.append((key[0], key[1], 0, False, *e))
+                out.append((key[0], 2 * key[1], 0, False, None, *e))
             last = entries[-1] if entries else [None, 0, None, None, None, None]
-            out.append((key[0], key[1], before, True, *last))
+            out.append((key[0], 2 * key[1], before, True, entries[0][0] if entries else None, *last))
+            if still:  # stands for a block of its own, which has an entry or only lines of the one before
+                out.append((key[0], 2 * key[1] + 1, 0, True, still[0], *still))
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 10
+            columns = list(zip(*out)) or [()] * 11
             out.clear()
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
@@ -500,23 +584,65 @@ def parse_entries(lines: DataFrame, logs: DataFrame, block_lines: int = BLOCK_LI
             finish()
         yield flush()
 
-    names = ["log_id", "block", "before", "last", "line_no", "n_lines", "ts_ms", "log_level", "component", "msg"]
-    parsed = spread.mapInArrow(run, "log_id string, block int, before int, last boolean, line_no int, n_lines int, ts_ms bigint, log_level string, component string, msg string")
+    names = ["log_id", "block", "before", "last", "first_entry", "line_no", "n_lines", "ts_ms", "log_level", "component", "msg"]
+    parsed = spread.mapInArrow(run, "log_id string, block int, before int, last boolean, first_entry int, line_no int, n_lines int, ts_ms bigint, log_level string, component string, msg string")
     parsed = parsed.persist(StorageLevel.DISK_ONLY)  # read twice below; a lost copy is made again from the lines
-    # The last entry of each block: it also has the lines before the first entry of the blocks that follow, up to one with an entry.
-    ahead = Window.partitionBy("log_id").orderBy("block")
-    has = F.col("line_no").isNotNull()
-    run_no = F.sum(has.cast("int")).over(ahead)
-    closing = (
-        parsed.where("last")
-        .withColumn("run", run_no - has.cast("int"))  # blocks up to and with the next that has an entry share the run of that entry
-        .withColumn("own_run", run_no)
-    )
-    tails = closing.groupBy("log_id", "run").agg(F.sum("before").alias("more"))
-    ends = (
-        closing.where(has)
-        .join(tails.select(F.col("log_id").alias("_log"), F.col("run").alias("_run"), "more"), F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("own_run") == F.col("_run")), "left")
-        .withColumn("n_lines", (F.col("n_lines") + F.coalesce("more", F.lit(0))).cast("int"))
-    )
+    closing = parsed.where("last")
+    opened = closing.where("line_no IS NOT NULL AND msg IS NULL")  # objects that go on behind what their block saw: mostly none
     columns = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+    if opened.limit(1).count():
+        closing = settle_open(closing, opened, held, block_lines, roles)
+    ends = tails_of(closing, together)
     return parsed.where("not last").select(columns).unionByName(ends.select(columns))
+
+
+def tails_of(closing: DataFrame, together: int) -> DataFrame:
+    """The last entry of each block with the lines before the first entry of the blocks that follow, up to one with an entry. Blocks are
+    numbered by the entries up to them, first inside groups of `together` blocks, then by the groups' sums."""
+    has = F.col("line_no").isNotNull()
+    group = F.floor(F.col("block") / together).alias("_group")
+    sums = closing.groupBy("log_id", group).agg(F.sum(has.cast("long")).alias("_n"))
+    offsets = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("log_id").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    offsets = offsets.select(F.col("log_id").alias("_log"), F.col("_group").alias("_g"), "_before")
+    inside = F.sum(has.cast("long")).over(Window.partitionBy("log_id", "_group").orderBy("block"))
+    numbered = closing.withColumn("_group", group).withColumn("_own", inside)
+    numbered = numbered.join(offsets, F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("_group") == F.col("_g"))).withColumn("_own", F.col("_own") + F.col("_before"))
+    # blocks up to and with the next that has an entry share the number of the entry they belong to
+    more = numbered.groupBy(F.col("log_id").alias("_log2"), (F.col("_own") - has.cast("long")).alias("_run")).agg(F.sum("before").alias("more"))
+    joined = numbered.where(has).join(more, F.col("log_id").eqNullSafe(F.col("_log2")) & (F.col("_own") == F.col("_run")), "left")
+    return joined.withColumn("n_lines", (F.col("n_lines") + F.coalesce("more", F.lit(0))).cast("int"))
+
+
+def settle_open(closing: DataFrame, opened: DataFrame, lines: DataFrame, block_lines: int, roles: dict[str, tuple[str, ...]]) -> DataFrame:
+    """`closing` with the entries of objects that run over blocks read, or, where such an object turns out to be none, its lines given to the
+    entry before it."""
+    later = Window.partitionBy("log_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    spans = closing.withColumn("_next", F.first("first_entry", ignorenulls=True).over(later)).where("line_no IS NOT NULL AND msg IS NULL")
+    last_block = F.max("block").over(Window.partitionBy("log_id"))
+    spans = closing.select("log_id", "block").withColumn("_last", last_block).distinct().join(spans, ["log_id", "block"]).select(
+        F.col("log_id").alias("_log"), F.col("line_no").alias("_start"), F.coalesce("_next", (F.floor(F.col("_last") / 2) + 1) * block_lines).alias("_stop")
+    )
+    per_block = spans.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_start") / block_lines), F.floor((F.col("_stop") - 1) / block_lines))))
+    at = F.floor(F.col("line_no") / block_lines)
+    inside = lines.join(per_block, F.col("log_id").eqNullSafe(F.col("_log")) & (at == F.col("_block")) & F.col("line_no").between(F.col("_start"), F.col("_stop") - 1))
+    inside = inside.groupBy("_log", "_start", "line_no").agg(F.min("text").alias("text"), F.min("log_year").alias("log_year"))
+    whole = inside.groupBy("_log", "_start").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]).alias("texts"), F.min("log_year").alias("log_year"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for log_id, start, texts, year in zip(*(c.to_pylist() for c in batch.columns)):
+                texts = [ANSI.sub("", t).rstrip() for t in texts]
+                end = next((k for k, t in enumerate(texts) if k and t and t[0] not in " \t"), None)
+                if end is not None and (found := object_entry(texts[: end + 1], year, roles)) is not None:
+                    out.append((log_id, start, *found))
+            columns = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["_log", "_start", "_ts", "_level", "_component", "_msg"])
+
+    read = whole.select("_log", "_start", "texts", "log_year").mapInArrow(run, "_log string, _start int, _ts bigint, _level string, _component string, _msg string")
+    joined = closing.join(read, F.col("log_id").eqNullSafe(F.col("_log")) & (F.col("line_no") == F.col("_start")), "left")
+    none = F.col("line_no").isNotNull() & F.coalesce("msg", "_msg").isNull()
+    return joined.select(
+        "log_id", "block", F.when(none, F.col("n_lines")).otherwise(F.col("before")).alias("before"), "last", "first_entry", F.when(~none, F.col("line_no")).alias("line_no"), F.when(none, F.lit(0)).otherwise(F.col("n_lines")).alias("n_lines"),
+        *[F.coalesce(mine, theirs).alias(mine) for mine, theirs in (("ts_ms", "_ts"), ("log_level", "_level"), ("component", "_component"), ("msg", "_msg"))],
+    )

@@ -80,6 +80,49 @@ def test_long_tail_goes_to_the_last_entry_of_a_block(spark, logs):
     assert {k: v[0] for k, v in got.items()} == {1: 1, 2: 101, 103: 1}
 
 
+def test_objects_longer_than_blocks(spark, logs):
+    """An object printed over 5,000 lines is one entry; one that never closes, or states no message, gives its lines to the entry before it."""
+    entry = "2025-03-01 10:00:00,123 [pool-1] INFO  org.a.Scan - "
+    long_ = lambda *fields: ["{", *[f'  "k{k}": {k},' for k in range(5_000)], *fields, "}"]
+    data = [entry + "one", "x", *long_('  "level": "warn",', '  "msg": "long"'), "tail", entry + "two", *long_('  "level": "warn"'), entry + "three", "{", *["  y"] * 3_000, entry + "four", "{", *["  z"] * 700]
+    got = {}
+    for size in (8192, 64, 500):
+        got[size] = parsed(spark, rows(spark, data), logs, block_lines=size, together=3)
+    assert got[8192] == got[64] == got[500]
+    assert [(v[0], v[2], v[4]) for _, v in sorted(got[64].items())] == [(2, "INFO", "one"), (5_005, "WARN", "long"), (5_004, "INFO", "two"), (3_002, "INFO", "three"), (702, "INFO", "four")]
+
+
+def test_templates_do_not_depend_on_order():
+    import random
+
+    made = [f"2025-03-01 10:00:0{k % 10},123 [pool-{k}] INFO  org.a.B{k} - did {' '.join(['x'] * (k % 7))} {k}" for k in range(90)] + [f"INFO:core.main: {k} of {k}" for k in range(50)] + [f"2025-03-01T10:00:10.5Z host{k % 3} a.b: said {k}" for k in range(70)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(made)
+        miner = E.Miner()
+        for line in made:
+            miner.add(line)
+        seen.add(tuple(sorted((E.classify(t) or "", n) for t, n, _ in miner.templates())))
+    assert len(seen) == 1
+    a, b = tuple("ab" * 300), tuple("abb" * 200)
+    assert sum(x != E.GAP for x in E.common(a, b)) == brute_lcs(a, b)
+
+
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_roles_need_the_type():
+    mined = [(("field", "time", "T"), 9), (("field", "time", "S"), 1), (("field", "t", "S"), 7), (("field", "level", "L"), 3), (("field", "msg", "S"), 3), (("field", "source", "9"), 5)]
+    roles = E.roles_of(mined)
+    assert roles["ts"][:1] == ("ts",) and "time" in roles["ts"] and "t" not in roles["ts"] and "source" not in roles["component"]
+
+
 def test_nothing_and_nulls(spark, logs):
     assert parsed(spark, [], logs) == {}
     assert parsed(spark, [("l", 1, None, 0), ("l", None, LOG[1], 0), (None, 2, "", None)], logs) == {}
