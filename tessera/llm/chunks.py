@@ -29,10 +29,13 @@ from pyspark.sql import functions as F
 from tessera.operators.sizes import broadcast_if_small
 
 WINDOW = 6
+SPECS_TOGETHER = 64
+ROWS_OUT = 2_000  # rows after which a task hands over what it has made
 LEAST = 0.4  # of the greatest size of a piece
 BASE = np.uint32(2_654_435_761)
 
 TOKEN = re.compile(r"\S+")
+SPACE = r"(?U:[\s\x1c-\x1f])"  # the same, in Java
 HEADING = re.compile(r"#{1,6}\s|={1,6}[^=].*=\s*$|\\(?:sub)*section\b|<h[1-6]\b", re.I)
 FENCE = re.compile(r"[ \t]*(?:`{3,}|~{3,})")
 SENTENCE_END = (".", "!", "?", ".)", '."', "。", ":", ";")
@@ -132,7 +135,9 @@ def clean_requests(requests: DataFrame) -> DataFrame:
 
 def split_documents(documents: DataFrame, specs: DataFrame, ranges: DataFrame | None = None, with_text: bool = True) -> DataFrame:
     """Pieces of `documents`(md_id, content) for `specs`(md_id, max_tokens, overlap), a row per piece of documents above a limit."""
-    wanted = specs.groupBy("md_id").agg(F.collect_set(F.struct("max_tokens", "overlap")).alias("specs"))  # distinct limits of one document
+    # distinct limits of one document, in groups of about SPECS_TOGETHER, so that no row holds all of a document that many requests name
+    groups = specs.groupBy("md_id").agg(F.ceil(F.count("*") / SPECS_TOGETHER).alias("_groups"))
+    wanted = specs.join(groups, "md_id").groupBy("md_id", F.pmod(F.xxhash64("max_tokens", "overlap"), F.col("_groups")).alias("_group")).agg(F.collect_set(F.struct("max_tokens", "overlap")).alias("specs")).drop("_group")
     docs = documents.where(F.col("md_id").isNotNull() & F.col("content").isNotNull()).select("md_id", "content")
     docs = docs.join(broadcast_if_small(wanted), "md_id")
     if ranges is not None:
@@ -165,6 +170,9 @@ def split_documents(documents: DataFrame, specs: DataFrame, ranges: DataFrame |
                             begin, end = (int(starts[a]) if no > 1 else 0), (int(starts[b]) if b < len(starts) else len(text))
                             for column, value in zip(out, (md_id, spec["max_tokens"], spec["overlap"], no, a, b, begin, end, KIND_NAMES[k], text[begin:end] if with_text else None)):
                                 column.append(value)
+                        if len(out[0]) >= ROWS_OUT:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                            out = [[] for _ in names]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
@@ -175,7 +183,10 @@ def split_requests(requests: DataFrame, documents: DataFrame, ranges: DataFrame
     """Pieces for every request whose document is above its limit: request_id and the columns of split_documents."""
     asked = clean_requests(requests)
     specs = asked.select("md_id", "max_tokens", "overlap").distinct()
-    once = documents.select("md_id", "content").dropDuplicates(["md_id"])
+    least = specs.groupBy("md_id").agg(F.min("max_tokens").alias("_least"))
+    n_tokens = F.size(F.split(F.regexp_replace("content", SPACE + r"+\z|\A" + SPACE + "+", ""), SPACE + "+"))
+    # only the texts that some request splits are moved, to take copies of a document as one
+    once = documents.select("md_id", "content").join(broadcast_if_small(least), "md_id").where(n_tokens > F.col("_least")).select("md_id", "content").dropDuplicates(["md_id"])
     pieces = split_documents(once, specs, ranges, with_text)
     return pieces.join(broadcast_if_small(asked), ["md_id", "max_tokens", "overlap"])
 
