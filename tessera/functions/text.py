@@ -123,5 +123,5 @@ def truncate_text(text: Column, most: int) -> Column:
 def normalize_log_line(text: Column) -> Column:
     """Numbers, hex runs and addresses made equal, for comparing lines."""
     text = F.regexp_replace(text, r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "#")
-    text = F.regexp_replace(text, r"(?<![A-Za-z0-9_])[0-9a-f]{7,40}(?![A-Za-z0-9_])", "<hash>")
-    return F.trim(F.regexp_replace(text, r"0x[0-9a-fA-F]+", "0x#"))
+    text = F.regexp_replace(text, r"[A-Fa-f0-9]{7,40}", "<hash>")
+    return F.trim(F.regexp_replace(text, r"0[xX][0-9a-fA-F]+", "0x#"))

@@ -23,14 +23,29 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 
 BLOCK = 8192
+TOGETHER = 4096  # blocks whose sums one task adds up
 HELD = 50_000
-COLOUR = r"\x1B\[[0-9;?]*[A-Za-z]|\x1B\][^\x07]*\x07|\r"
-PROGRESS = r"(?i)[0-9]{1,3}%|worker [0-9]+ joined"
-HEALTH = r"(?i)/(health|healthz|readyz|livez)([^A-Za-z0-9_]|$)|health check"
+
+# Patterns of the rules. Word ends are those of ASCII words.
+COLOUR = r"\x1B\[[0-9;]*[a-zA-Z]|\x1B\][^\x07]*\x07|\r"  # a carriage return in a line of a table is a lone one or ends the line
+PROGRESS = r"(^\s*(Downloading|Uploading|Installing|Building).+[0-9]+%|[█▓░━⣾⠿]|(?<![A-Za-z0-9_])[0-9]+%(?=[A-Za-z0-9_])|^\s*\[[-= >]+\])"
 DEBUG = r"(?<![A-Za-z0-9_])(DEBUG|debug)(?![A-Za-z0-9_])"
-AGENT = r'"(Mozilla|curl|Wget|python-requests|okhttp)[^"]*"'
-BANNER = r"^(={4,}|\|.*\||\$ |> |Booting )"
-STAMPS = {"iso": r"^[\[]?[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.,]+", "syslog": r"^[A-Z][a-z]{2} [ 0-9][0-9] [0-9:]{8}", "epoch": r"^[0-9]{10,13}([^0-9]|$)"}
+HEALTH = r"(?i)/(health|healthz|readyz|livez)(?![A-Za-z0-9_])"
+AGENT_SIGN = r"(Mozilla/5\.0|AppleWebKit/|Chrome/[0-9]+|Safari/[0-9]+|Firefox/[0-9]+|curl/[0-9]+)"
+AGENT = r'"[^"]*(Mozilla/5\.0|AppleWebKit/|Chrome/[0-9]+|Safari/[0-9]+|Firefox/[0-9]+)[^"]*"'
+BANNER = r"^\s*[=_\-]{5,}\s*$|^\s*\|.*\|\s*$|(?i:(Starting|Started|Booting|Initializing|Listening on|Migrations? complete|Ready in)(?![A-Za-z0-9_]))"
+JSON_OBJECT = r"^\s*\{.*\}\s*$"
+PASS = r"^(?:\(pass\)|\s*(?:✓|✔|PASS(?![A-Za-z0-9_])|--- PASS:|test .* \.\.\. ok(?![A-Za-z0-9_])|PASSED(?![A-Za-z0-9_])))"
+FAIL = r"^(?:\(fail\)|\s*(?:✗|✘|FAIL(?![A-Za-z0-9_])|FAILED(?![A-Za-z0-9_])|--- FAIL:|test .* \.\.\. FAILED(?![A-Za-z0-9_])|not ok(?![A-Za-z0-9_])))"
+SUMMARIES = r"(?i)^(Test Suites:|Tests:|Ran [0-9]+ tests|[0-9]+ passing|[0-9]+ failing|[0-9]+ passed|[0-9]+ failed)"
+LINT_FILE = r"^\./.*\s(?:format|lint|organizeImports)\s"
+TYPE_ERRORS = (r"^(.+)\([0-9]+,[0-9]+\):\s+error\s+TS[0-9]+:", r"^(.+):[0-9]+:\s+error:")
+STAMPS = {
+    "iso": r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?\]?\s*",
+    "syslog": r"^[A-Z][a-z]{2}\s+[0-9]+\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\s+",
+    "epoch": r"^[0-9]{10,13}\s+",
+}
+FIRST, LAST = -1, 2_147_483_647  # places in front of and behind all lines of a log
 
 
 def clean_lines(lines: DataFrame, key: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -68,69 +83,159 @@ def runs_in_order(lines: DataFrame) -> DataFrame:
     return keyed.groupBy("log_id", "_b", "_k").agg(F.min("key").alias("key"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("n_lines").alias("n_lines"), F.min_by("first_text", "first_line").alias("first_text"), F.max_by("last_text", "last_line").alias("last_text")).drop("_b", "_k")
 
 
+def block_sums(lines: DataFrame, flag: Column) -> DataFrame:
+    """`lines` with `_count`: how many lines of the log up to and with this one have the flag. Counted in blocks, then over groups of blocks,
+    then over the groups, so that no task holds a log's lines or blocks."""
+    own = Window.partitionBy("log_id", "block").orderBy("line_no")
+    marked = lines.withColumn("_flag", flag.cast("long"))
+    group = F.floor(F.col("block") / TOGETHER)
+    sums = marked.groupBy("log_id", "block").agg(F.sum("_flag").alias("_n")).withColumn("_group", group)
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("log_id", "_group").agg(F.sum("_n").alias("_g")).withColumn("_far", F.coalesce(F.sum("_g").over(before("log_id", "_group")), F.lit(0))).drop("_g")
+    offsets = sums.withColumn("_near", F.coalesce(F.sum("_n").over(before("log_id", "_group", "block")), F.lit(0))).join(groups, ["log_id", "_group"])
+    offsets = offsets.select("log_id", "block", (F.col("_near") + F.col("_far")).alias("_offset"))
+    return marked.join(offsets, ["log_id", "block"]).withColumn("_count", F.sum("_flag").over(own) + F.col("_offset")).drop("_offset", "_flag")
+
+
+def body(lines: DataFrame, part: int = 0) -> DataFrame:
+    """Lines as what a rule leaves: (log_id, line_no, part, text); part orders what stands at one place."""
+    return lines.select("log_id", "line_no", F.lit(part).alias("part"), "text")
+
+
+def mark(rows: DataFrame, text: Column, place: Column | int, part: Column | int = 1) -> DataFrame:
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    return rows.select("log_id", lit(place).cast("int").alias("line_no"), lit(part).cast("int").alias("part"), text.alias("text"))
+
+
+def said(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def fold_repeats(lines: DataFrame) -> DataFrame:
-    """(log_id, line_no, text, repeats): the first line of each run of lines that are equal but for numbers. `lines` as in the table."""
+    """The first line of each run of lines that are equal but for numbers, and how often it was repeated. `lines` as in the table."""
     runs = runs_in_order(clean_lines(lines, T.normalize_log_line))
-    return runs.select("log_id", F.col("first_line").alias("line_no"), F.col("first_text").alias("text"), (F.col("n_lines") - 1).alias("repeats"))
+    first = runs.select("log_id", F.col("first_line").alias("line_no"), F.lit(0).alias("part"), F.col("first_text").alias("text"))
+    return first.unionByName(mark(runs.where("n_lines > 1 AND key <> ''"), said("[repeated ", F.col("n_lines") - 1, "x]"), F.col("first_line")))
 
 
-def fold_runs(lines: DataFrame, pattern: str) -> DataFrame:
-    """(log_id, line_no, text, n_lines): the last line of each run of matching lines. `lines` as in the table."""
-    runs = runs_in_order(clean_lines(lines, lambda text: text.rlike(pattern).cast("int"))).where("key = 1")
-    return runs.select("log_id", F.col("last_line").alias("line_no"), F.col("last_text").alias("text"), "n_lines")
+def fold_progress(lines: DataFrame) -> DataFrame:
+    """The last line of each run of progress lines, and how many it stands for; all other lines. `lines` as in the table."""
+    keyed = clean_lines(lines, lambda text: text.rlike(PROGRESS).cast("int"))
+    runs = runs_in_order(keyed).where("key = 1")
+    last = runs.select("log_id", F.col("last_line").alias("line_no"), F.lit(0).alias("part"), F.col("last_text").alias("text"))
+    return body(keyed.where("key = 0")).unionByName(last).unionByName(mark(runs.where("n_lines > 1"), said("[progress: ", F.col("n_lines") - 1, " lines collapsed]"), F.col("last_line")))
 
 
-def global_repeats(lines: DataFrame, least: int = 3, length: int = 12) -> DataFrame:
-    """(log_id, norm, first_line, n_lines): lines that occur often in a log, whatever their place."""
-    norm = lines.select("log_id", "line_no", T.normalize_log_line(F.col("text")).alias("norm")).where(F.length("norm") >= length)
-    return norm.groupBy("log_id", "norm").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines")).where(F.col("n_lines") >= least)
+def fold_global_repeats(lines: DataFrame, least: int = 3, length: int = 12) -> DataFrame:
+    """Of lines that occur often in a log, whatever their place, the first; and how many are folded. `lines` are clean."""
+    keyed = lines.withColumn("norm", T.normalize_log_line(F.col("text")))
+    often = keyed.where(F.length("norm") >= length).groupBy("log_id", "norm").agg(F.min("line_no").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    kept = keyed.join(often, ["log_id", "norm"], "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("line_no")))
+    folded = often.groupBy("log_id").agg(F.sum(F.col("_n") - 1).alias("n"))
+    return body(kept).unionByName(mark(folded, said("[global repeats folded: ", F.col("n"), "]"), LAST))
 
 
 def collapse_blanks(lines: DataFrame) -> DataFrame:
-    """(log_id, n_lines, n_blank): lines that are left when a run of blank lines becomes one. `lines` as in the table."""
-    runs = runs_in_order(clean_lines(lines, lambda text: (text == "").cast("int")))
-    kept = F.when(F.col("key") == 1, 1).otherwise(F.col("n_lines"))
-    return runs.groupBy("log_id").agg(F.sum(kept).alias("n_lines"), F.sum(F.col("key").cast("long")).alias("n_blank"))
+    """Lines with one blank line for each run of them. `lines` as in the table."""
+    keyed = clean_lines(lines, lambda text: (text == "").cast("int"))
+    runs = runs_in_order(keyed).where("key = 1")
+    return body(keyed.where("key = 0")).unionByName(runs.select("log_id", F.col("first_line").alias("line_no"), F.lit(0).alias("part"), F.lit("").alias("text")))
 
 
-def drop_matching(lines: DataFrame, pattern: str) -> DataFrame:
-    """(log_id, n_dropped, n_kept) of a rule that drops lines."""
-    hit = F.col("text").rlike(pattern).cast("long")
-    return lines.groupBy("log_id").agg(F.sum(hit).alias("n_dropped"), F.sum(1 - hit).alias("n_kept"))
+def drop_matching(lines: DataFrame, pattern: str, label: str) -> DataFrame:
+    """Lines that don't match, and in front how many did."""
+    hit = F.col("text").rlike(pattern)
+    gone = lines.where(hit).groupBy("log_id").agg(F.count("*").alias("n"))
+    return body(lines.where(~hit)).unionByName(mark(gone, said(f"[{label} stripped: ", F.col("n"), "]"), FIRST))
 
 
 def json_levels(lines: DataFrame, least: int = 6) -> DataFrame:
-    """Histogram of the levels of JSON lines in logs that have enough of them."""
-    level = F.lower(F.coalesce(F.get_json_object("text", "$.level"), F.get_json_object("text", "$.severity"), F.lit("")))
+    """(log_id, n, error, warn, info, debug, other): levels of the object lines of logs that have enough of them; what can't be parsed is other."""
+    parsed = F.try_parse_json("text")
+    level = F.coalesce(F.get_json_object("text", "$.level"), F.get_json_object("text", "$.severity"), F.lit(""))
+    level = F.when(parsed.isNull() | level.startswith("{"), "").otherwise(F.lower(level))
     kind = F.when(level.contains("error"), "error").when(level.contains("warn"), "warn").when(level.contains("info"), "info").when(level.contains("debug"), "debug").otherwise("other")
-    counted = lines.where(F.col("text").rlike(r"^\{.*\}$") & F.try_parse_json("text").isNotNull()).groupBy("log_id").agg(*[F.sum((kind == k).cast("long")).alias(k) for k in ("error", "warn", "info", "debug", "other")])
-    return counted.where(F.col("error") + F.col("warn") + F.col("info") + F.col("debug") + F.col("other") >= least)
+    counted = lines.where(F.col("text").rlike(JSON_OBJECT)).groupBy("log_id").agg(F.count("*").alias("n"), *[F.sum((kind == k).cast("long")).alias(k) for k in ("error", "warn", "info", "debug", "other")])
+    return counted.where(F.col("n") >= least)
+
+
+def fold_json(lines: DataFrame) -> DataFrame:
+    """Lines without the object lines of logs that have at least six, and in front their levels."""
+    levels = json_levels(lines)
+    told = said("[json lines folded: ", F.col("n"), " (", F.concat_ws(", ", *[said(f"{k}:", F.col(k)) for k in ("error", "warn", "info", "debug", "other")]), ")]")
+    kept = lines.join(levels.select("log_id", "n"), "log_id", "left").where(F.col("n").isNull() | ~F.col("text").rlike(JSON_OBJECT))
+    return body(kept).unionByName(mark(levels, told, FIRST))
+
+
+def fold_startup(lines: DataFrame, least: int = 10, most: int = 3) -> DataFrame:
+    """Lines without the banner and startup lines of logs of at least ten lines with more than three of those, and in front their number."""
+    hit = F.col("text").rlike(BANNER)
+    counted = lines.groupBy("log_id").agg(F.count("*").alias("_all"), F.sum(hit.cast("long")).alias("n")).where((F.col("_all") >= least) & (F.col("n") > most))
+    kept = lines.join(counted.select("log_id", "n"), "log_id", "left").where(F.col("n").isNull() | ~hit)
+    return body(kept).unionByName(mark(counted, said("[startup lines folded: ", F.col("n"), "]"), FIRST))
+
+
+def elide_tests(lines: DataFrame) -> DataFrame:
+    """Lines without those of passing tests, in logs with five of them or a failing one; in front the numbers, at the end a word if all passed."""
+    passed, failed, summary = (F.col("text").rlike(p) for p in (PASS, FAIL, SUMMARIES))
+    counts = lines.groupBy("log_id").agg(*[F.sum(c.cast("long")).alias(n) for c, n in ((passed, "p"), (failed, "f"), (summary, "s"))]).where("NOT (p < 5 AND f = 0)")
+    kept = lines.join(counts, "log_id", "left").where(F.col("p").isNull() | ~(passed | ((F.col("f") == 0) & ~summary & F.col("text").startswith("tests/"))))
+    told = mark(counts, said("[tests pruned: ", F.col("p"), " passing stripped, ", F.col("f"), " failing kept]"), FIRST)
+    return body(kept).unionByName(told).unionByName(mark(counts.where("s = 0 AND f = 0"), F.lit("[all tests passed]"), LAST))
+
+
+def fold_lint(lines: DataFrame) -> DataFrame:
+    """Of each block of a linter's diagnostics (a file's line up to a blank one or the next file) the first line, numbered, and its first message."""
+    opens = F.col("text").rlike(LINT_FILE)
+    parts = block_sums(lines, opens | (F.col("text") == "")).withColumnRenamed("_count", "_part")  # 0: before the first of them
+    first = parts.groupBy("log_id", "_part").agg(F.min("line_no").alias("_from"), F.min_by(opens, "line_no").alias("_lint"), F.min(F.when(F.col("text").contains("×"), F.col("line_no"))).alias("_told"))
+    numbered = block_sums(parts.drop("_n"), opens).withColumnRenamed("_count", "_k").join(first, ["log_id", "_part"])
+    head = F.col("_lint") & (F.col("line_no") == F.col("_from"))
+    kept = numbered.where(~F.col("_lint") | head | (F.col("line_no") == F.col("_told")))
+    return kept.select("log_id", "line_no", F.lit(0).alias("part"), F.when(head, said("[diagnostic block ", F.col("_k"), "] ", F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def fold_types(lines: DataFrame, most: int = 3) -> DataFrame:
+    """Lines without type errors, and at the end of each log the files with errors, in the order of their first, with their number and the
+    first three. Parts number what is added: ten places a file."""
+    file = F.coalesce(*[F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1)) for p in TYPE_ERRORS])
+    files = lines.select("log_id", "block", "line_no", "text", file.alias("file")).where("file IS NOT NULL").withColumns({"n": F.lit(1), "_top": F.array(F.struct("line_no", "text"))})
+    for level in (F.col("block"), F.floor(F.col("block") / TOGETHER), F.lit(0)):  # the first of each block, of groups of blocks, of the log
+        files = files.withColumn("block", level).groupBy("log_id", "file", "block").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, most).alias("_top"))
+    files = files.withColumn("_first", F.col("_top")[0]["line_no"])
+    files = files.withColumn("_at", 10 * F.row_number().over(Window.partitionBy("log_id").orderBy("_first")))
+    more = mark(files.where(F.col("n") > most), said("[typecheck] ", F.col("n") - most, " more errors folded"), LAST, F.col("_at") + most + 1)
+    shown = files.select("log_id", "_at", F.posexplode("_top").alias("_k", "_e"))
+    return body(lines.where(file.isNull())).unionByName(mark(files, said("[typecheck] ", F.col("file"), ": ", F.col("n"), " errors"), LAST, F.col("_at"))).unionByName(mark(shown, F.col("_e.text"), LAST, F.col("_at") + F.col("_k") + 1)).unionByName(more)
+
+
+def timestamp_vote(lines: DataFrame) -> DataFrame:
+    """(log_id, n_lines, counts by form of timestamp, the form that most lines have; null if none has any)"""
+    counts = lines.groupBy("log_id").agg(F.count("*").alias("n_lines"), *[F.sum(F.col("text").rlike(p).cast("long")).alias(k) for k, p in STAMPS.items()])
+    return counts.withColumn("form", F.coalesce(*[F.when((F.col(k) == F.greatest(*STAMPS)) & (F.col(k) > 0), F.lit(k)) for k in STAMPS]))
 
 
-def timestamp_vote(lines: DataFrame, share: float = 0.8) -> DataFrame:
-    """(log_id, counts by form of timestamp, the form that at least `share` of the lines have)"""
-    counts = lines.groupBy("log_id").agg(F.count("*").alias("n_lines"), *[F.sum(F.col("text").rlike(p).cast("long")).alias(k) for k, p in STAMPS.items()])
-    chosen = F.coalesce(*[F.when((F.col(k) == F.greatest(*STAMPS)) & (F.col(k) >= share * F.col("n_lines")), F.lit(k)) for k in STAMPS])
-    return counts.withColumn("chosen", chosen)
+def strip_timestamps(lines: DataFrame, logs: DataFrame, share: float = 0.8) -> DataFrame:
+    """Lines without the form of timestamp that most of their log's lines have, if the log says `strip`, or at least `share` have it and it
+    doesn't say `keep`; in front the form's name."""
+    mode = F.lower(F.col("_mode"))
+    modes = logs.groupBy("log_id").agg(F.max("strip_timestamps").alias("_mode"))
+    chosen = timestamp_vote(lines).join(modes, "log_id", "left").where("form IS NOT NULL")
+    stripping = F.coalesce(mode == "strip", F.lit(False)) | (~F.coalesce(mode == "keep", F.lit(False)) & (F.greatest(*STAMPS) >= share * F.col("n_lines")))
+    chosen = chosen.where(stripping).select("log_id", "form")
+    bare = F.coalesce(*[F.when(F.col("form") == k, F.regexp_replace("text", p, "")) for k, p in STAMPS.items()], F.col("text"))
+    return body(lines.join(chosen, "log_id", "left").withColumn("text", bare)).unionByName(mark(chosen, said("[timestamps stripped: ", F.col("form"), "]"), FIRST))
 
 
 # --- the whole chain -------------------------------------------------------------------------------------------------------
 
-STACK = re.compile(r"^(?:\w*Error\b|Caused by\b|\w*Exception\b|[\w.]+Exception\b|Traceback\b|panic:|goroutine \d+)")
-FRAME = re.compile(r"^(?:\s+at |\s+File |\t|\s{2,}|main\.|Caused by|\.\.\. )")
-NUMBERS = [(re.compile(r"\b\d+\b"), "#"), (re.compile(r"\b[0-9a-f]{7,40}\b"), "<hash>"), (re.compile(r"0x[0-9a-fA-F]+"), "0x#")]
-COMPILED = {k: re.compile(v) for k, v in {"colour": COLOUR, "progress": PROGRESS, "health": HEALTH, "debug": DEBUG, "banner": BANNER, "agent": AGENT} .items()}
-JSON_LINE = re.compile(r"^\s*\{.*\}\s*$")
-PASSED = re.compile(r"^(?:\(pass\)|\s*(?:✓|✔|PASS\b|--- PASS:|test .* \.\.\. ok\b|PASSED\b))")
-FAILED = re.compile(r"^(?:\(fail\)|\s*(?:✗|✘|FAIL\b|FAILED\b|--- FAIL:|test .* \.\.\. FAILED\b|not ok\b))")
-SUMMARY = re.compile(r"^(?:Test Suites:|Tests:|Ran [0-9]+ tests|[0-9]+ (?:passing|failing|passed|failed))", re.I)
-LINTED = re.compile(r"^\./.*\s(?:format|lint|organizeImports)\s")
-TYPED = (re.compile(r"^(.+)\([0-9]+,[0-9]+\):\s+error\s+TS[0-9]+:"), re.compile(r"^(.+):[0-9]+:\s+error:"))
-TIMES = {
-    "iso": re.compile(r"^\[?[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?\]?\s*"),
-    "syslog": re.compile(r"^[A-Z][a-z]{2}\s+[0-9]+\s+[0-9]{2}:[0-9]{2}:[0-9]{2}\s+"),
-    "epoch": re.compile(r"^[0-9]{10,13}\s+"),
-}
+ERROR_START = re.compile(r"^(Error|Caused by|Exception|Traceback|panic:)")
+RETRY = re.compile(r"Retry\s+[0-9]+/[0-9]+", re.I)
+NUMBERS = [(re.compile(r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])"), "#"), (re.compile(r"[A-Fa-f0-9]{7,40}"), "<hash>"), (re.compile(r"0[xX][0-9a-fA-F]+"), "0x#")]
+COMPILED = {k: re.compile(v) for k, v in {"colour": COLOUR, "progress": PROGRESS, "health": HEALTH, "debug": DEBUG, "banner": BANNER, "agent": AGENT, "agent_sign": AGENT_SIGN}.items()}
+JSON_LINE, PASSED, FAILED, SUMMARY, LINTED = (re.compile(p) for p in (JSON_OBJECT, PASS, FAIL, SUMMARIES, LINT_FILE))
+TYPED = tuple(re.compile(p) for p in TYPE_ERRORS)
+TIMES = {k: re.compile(p) for k, p in STAMPS.items()}
 PROFILES = {
     "test": {"progress": False, "startup": False, "rules": [{"type": "fold", "pattern": r"^\(pass\)", "label": "passes"}]},
     "ci": {
@@ -221,17 +326,17 @@ def fold_blocks(lines: Lines, start: re.Pattern, end: re.Pattern, label: str) ->
         if inside:
             inside += 1
             if end.search(x):
-                yield f"[{label}: {inside} lines]"
+                yield f"[{label}: {inside} lines folded]"
                 inside = 0
         elif start.search(x):
             inside = 1
         else:
             yield x
     if inside:
-        yield f"[{label}: {inside} lines]"
+        yield f"[{label}: {inside} lines folded]"
 
 
-def fold_progress(lines: Lines) -> Iterator[str]:
+def progress_folded(lines: Lines) -> Iterator[str]:
     n, last = 0, ""
 
     def folded() -> list[str]:
@@ -263,7 +368,7 @@ def json_level(line: str) -> str:
 
 
 def fold_tests(lines: Lines, passed: int, failed: int, summaries: int) -> Iterator[str]:
-    yield f"[tests: {passed} passing stripped, {failed} failing kept]"
+    yield f"[tests pruned: {passed} passing stripped, {failed} failing kept]"
     for x in lines:
         if not (PASSED.search(x) or (not failed and x.startswith("tests/") and not SUMMARY.search(x))):
             yield x
@@ -310,32 +415,45 @@ def fold_typed(lines: Lines) -> Iterator[str]:
             yield f"[typecheck] {n - 3} more errors folded"
 
 
-def fold_stacks(lines: Lines) -> Iterator[str]:
-    def blocks() -> Iterator[tuple[bool, list[str]]]:
-        block: list[str] = []
-        stack = False
-        for x in lines:
-            if stack and x and FRAME.match(x):
-                block.append(x)
-                continue
-            if block:
-                yield stack, block
-            block, stack = [x], bool(STACK.match(x))
-        if block:
-            yield stack, block
+def fold_stacks(lines: Iterable[str]) -> Iterator[str]:
+    """A block begins with an error and ends before a blank line or the next error. Blocks like the one before, with blank lines between or not,
+    are counted; blank lines behind a block count as between."""
+    last, n, block = None, 0, None
 
-    last, n = None, 0
-    for stack, block in blocks():
-        key = tuple(map(normal, block)) if stack else None
-        if stack and key == last:
-            n += 1
-            continue
-        if n > 1:
+    def told() -> Iterator[str]:
+        if n:
             yield f"[stack repeated {n}x]"
-        yield from block
-        last, n = key, 1
-    if n > 1:
-        yield f"[stack repeated {n}x]"
+
+    def key(block: list[str]) -> tuple[str, ...]:
+        return tuple(RETRY.sub("Retry #/#", NUMBERS[0][0].sub("#", x)).strip() for x in block)
+
+    def close() -> Iterator[str]:
+        nonlocal last, n, block
+        made = key(block)
+        if made == last:
+            n += 1
+        else:
+            yield from told()
+            yield from block
+            last, n = made, 0
+        block = None
+
+    for x in lines:
+        starts = bool(ERROR_START.match(x))
+        if block is not None:
+            if x and not starts:
+                block.append(x)
+                continue
+            yield from close()
+        if starts:
+            block = [x]
+        elif x or last is None:  # blank lines behind a block are dropped
+            yield from told()
+            last, n = None, 0
+            yield x
+    if block is not None:
+        yield from close()
+    yield from told()
 
 
 def fold_equal(lines: Lines, keys: Lines) -> Iterator[str]:
@@ -373,7 +491,7 @@ def fold_often(lines: Lines, keys: Lines) -> Iterator[str]:
             first[k] = False
         yield x
     if gone:
-        yield f"[{gone} repeated lines folded]"
+        yield f"[global repeats folded: {gone}]"
 
 
 def one_blank(lines: Lines) -> Iterator[str]:
@@ -384,11 +502,17 @@ def one_blank(lines: Lines) -> Iterator[str]:
         before = x
 
 
+def without_blank_end(lines: Lines) -> Lines:
+    last = max((k for k, x in enumerate(lines) if x), default=-1)
+    return lines if last == len(lines) - 1 else Lines(islice(iter(lines), last + 1))
+
+
 def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None, stamps: str | None = None) -> tuple[Lines, list[str]]:
     """Folds one whole log of clean lines: (lines, names of the rules that changed it). Never longer in tokens than what it was given. Each rule reads all
     lines in order; in memory are the distinct lines' normal forms, one stack, and HELD lines of each step."""
     options = {"progress": True, "startup": True, "json": True, "stamps": "auto", "rules": []} | PROFILES.get((profile or "").strip().lower(), {})
     mode = stamps.strip().lower() if stamps is not None else options["stamps"]
+    original = without_blank_end(original)
     out, applied = original, []
 
     def note(name: str, made: Iterable[str]) -> None:
@@ -404,18 +528,18 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
     for rule in [*options["rules"], *(rules or ())]:
         if rule["type"] == "strip":
             pattern = re.compile(rule["pattern"])
-            note("custom-strip", (x for x in out if not pattern.search(x)))
+            note(f"custom-strip:{rule['pattern']}", (x for x in out if not pattern.search(x)))
         elif rule["type"] == "fold":
-            note("custom-fold", fold_hits(out, re.compile(rule["pattern"]), rule.get("label", "folded")))
+            note(f"custom-fold:{rule['pattern']}", fold_hits(out, re.compile(rule["pattern"]), rule.get("label", "folded")))
         elif rule["type"] == "block":
-            note("custom-block", fold_blocks(out, re.compile(rule["start"]), re.compile(rule["end"]), rule.get("label", "block")))
+            note(f"custom-block:{rule['start']}..{rule['end']}", fold_blocks(out, re.compile(rule["start"]), re.compile(rule["end"]), rule.get("label", "block")))
     if options["progress"]:
-        note("progress-fold", fold_progress(out))
-    for name in ("debug", "health"):
+        note("progress-fold", progress_folded(out))
+    for name, label, rule in (("debug", "debug lines", "debug-fold"), ("health", "health checks", "health-elision")):
         search = COMPILED[name].search
         kept = Lines(x for x in out if not search(x))
         if gone := len(out) - len(kept):
-            note(f"{name}-drop", chain([f"[{name}: {gone} lines dropped]"], kept))
+            note(rule, chain([f"[{label} stripped: {gone}]"], kept))
     if options["json"]:
         levels = Counter(json_level(x) for x in out if JSON_LINE.match(x))
         if (n := levels.total()) >= 6:
@@ -424,9 +548,12 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
     banner = COMPILED["banner"].search
     banners = sum(bool(banner(x)) for x in out) if options["startup"] else 0
     if len(out) >= 10 and banners > 3:
-        note("startup-fold", chain([f"[startup: {banners} lines]"], (x for x in out if not banner(x))))
+        note("startup-fold", chain([f"[startup lines folded: {banners}]"], (x for x in out if not banner(x))))
     agent = COMPILED["agent"].sub
-    note("agent-strip", (agent('"<ua>"', x) for x in out))
+    signed = any(COMPILED["agent_sign"].search(x) for x in out)
+    note("user-agent-strip", (agent('"<ua>"', x) for x in out))
+    if signed and applied[-1:] != ["user-agent-strip"]:
+        applied.append("user-agent-strip")
     passed, failed, summaries = (sum(bool(p.search(x)) for x in out) for p in (PASSED, FAILED, SUMMARY))
     if passed >= 5 or failed:
         note("test-runner-elision", fold_tests(out, passed, failed, summaries))
@@ -444,6 +571,7 @@ def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool
     note("repeat-fold", fold_equal(out, keys))
     note("global-repeat-fold", fold_often(out, keys))
     note("blank-collapse", one_blank(out))
+    out = without_blank_end(out)
     return (original, []) if size(out) > size(original) else (out, applied)
 
 
@@ -453,9 +581,10 @@ def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = Tr
     return list(out), applied
 
 
-def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000) -> DataFrame:
-    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text): each log folded as a whole, in one task that keeps its lines on disk; the options
-    come from the log's own row. The text comes in pieces of `piece` kept lines, numbered from 0; all other columns are of the whole log."""
+def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000, rules: list[dict] | None = None, threshold: int | None = None) -> DataFrame:
+    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text, savings, pruned, over_threshold): each log folded as a whole, in one task that
+    keeps its lines on disk; the options come from the log's own row, `rules` are custom ones (strip, fold, block) after those of its
+    profile. The text comes in pieces of `piece` kept lines, numbered from 0; all other columns are of the whole log."""
     options = logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.max("strip_timestamps").alias("stamps"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
     once = lines.select("log_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
     whole = once.join(options, "log_id", "left").select("log_id", "line_no", "text", "profile", "stamps", "stacks").repartition("log_id").sortWithinPartitions("log_id", "line_no")
@@ -466,10 +595,10 @@ def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000) -> DataFra
         key, held, last, tokens, opts = None, Lines(), None, 0, (None, None, True)
 
         def done() -> Iterator[pa.RecordBatch]:
-            kept, rules = prune_lines(held, opts[0], opts[2] is not False, stamps=opts[1])
+            kept, applied = prune_lines(held, opts[0], opts[2] is not False, rules, stamps=opts[1])
             tokens_kept, rest = size(kept), iter(kept)
             for k in range(max(1, -(-len(kept) // piece))):
-                row = [key, k, len(held), len(kept), tokens, tokens_kept, rules, "\n".join(islice(rest, piece))]
+                row = [key, k, len(held), len(kept), tokens, tokens_kept, applied, "\n".join(islice(rest, piece))]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
         for batch in batches:
@@ -485,4 +614,7 @@ def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000) -> DataFra
         if len(held):
             yield from done()
 
-    return whole.mapInArrow(run, "log_id string, piece int, n_lines bigint, n_kept bigint, tokens bigint, tokens_kept bigint, rules array<string>, text string")
+    made = whole.mapInArrow(run, "log_id string, piece int, n_lines bigint, n_kept bigint, tokens bigint, tokens_kept bigint, rules array<string>, text string")
+    saved = F.when(F.col("tokens") == 0, 0.0).otherwise((F.col("tokens") - F.col("tokens_kept")) / F.col("tokens") * 100)
+    over = F.lit(None).cast("boolean") if threshold is None else F.col("tokens_kept") > max(0, threshold)
+    return made.withColumns({"savings": saved, "pruned": F.col("tokens_kept") < F.col("tokens"), "over_threshold": over})

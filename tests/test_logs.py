@@ -146,20 +146,52 @@ def test_templates_keep_headers_and_open_messages():
 
 def test_prune_folds_and_never_grows():
     stack = ["Error: a went wrong here", "  at f (src/a.ts:1:2)", "  at g (src/b.ts:3:4)"]
-    lines = ["\x1b[31mok\x1b[0m", *[f"worker {k} joined" for k in range(9)], *["the same line once more 1"] * 9, "", "", *["DEBUG one two three four"] * 4, *stack, *stack]
+    lines = ["\x1b[31mok\x1b[0m", *[f"Downloading part {k}%" for k in range(9)], *["the same line once more 1"] * 9, "", "", *["DEBUG one two three four"] * 4, *stack, *stack]
     out, rules = L.prune(lines)
-    assert "[progress: 8 lines collapsed]" in out and "[stack repeated 2x]" in out and {"progress-fold", "debug-drop", "stack-dedup", "repeat-fold"} <= set(rules)
+    assert "[progress: 8 lines collapsed]" in out and "[stack repeated 1x]" in out and {"progress-fold", "debug-fold", "stack-dedup", "repeat-fold"} <= set(rules)
     assert L.prune(["a"]) == (["a"], [])
     out, _ = L.prune(["x", "begin", "1", "2", "end", "y"], rules=[{"type": "block", "start": "begin", "end": "end", "label": "part"}])
-    assert out == ["x", "[part: 4 lines]", "y"]
+    assert out == ["x", "[part: 4 lines folded]", "y"]
 
 
 def test_islands_cross_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 4)
     lines = ["a 1"] * 3 + ["b"] + ["c 1", "c 2", "c 3", "c 4", "c 5", "c 6"] + ["d"]
     df = spark.createDataFrame([("l", i, t) for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
-    got = sorted((r.line_no, r.repeats) for r in L.fold_repeats(df).collect())
-    assert got == [(1, 2), (4, 0), (5, 5), (11, 0)]
+    got = sorted((r.line_no, r.part, r.text) for r in L.fold_repeats(df).collect())
+    assert got == [(1, 0, "a 1"), (1, 1, "[repeated 2x]"), (4, 0, "b"), (5, 0, "c 1"), (5, 1, "[repeated 5x]"), (11, 0, "d")]
+
+
+def test_rules_on_tables_and_in_the_chain_agree(spark, monkeypatch):
+    """Each rule as a DataFrame, with blocks of four lines and sums over two blocks, against the sequential one."""
+    import random
+
+    monkeypatch.setattr(L, "BLOCK", 4)
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    random.seed(9)
+    some = ["", "", "plain 1", "plain 2", "./a.ts lint x", "./b.ts format y", "  × one", "  × two", "at 5%x", "at 6%x", "src/a.ts(1,2): error TS1: q", "src/b.ts(3,4): error TS2: r", "m.py:3: error: s", "some longer line 7", "some longer line 8"]
+    logs = {f"l{k}": [random.choice(some) for _ in range(random.randrange(1, 60))] for k in range(12)}
+    df = spark.createDataFrame([(log, i, t) for log, lines in logs.items() for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
+    clean = L.clean_lines(df)
+    for made, chain in (
+        (L.fold_repeats(df), lambda x: L.fold_equal(x, L.Lines())),
+        (L.fold_progress(df), L.progress_folded),
+        (L.fold_lint(clean), L.fold_linted),
+        (L.fold_types(clean), L.fold_typed),
+        (L.collapse_blanks(df), L.one_blank),
+        (L.fold_global_repeats(clean), lambda x: L.fold_often(x, [L.normal(y) for y in x])),
+    ):
+        got = {log: [] for log in logs}
+        for r in sorted(made.collect(), key=lambda r: (r.log_id, r.line_no, r.part)):
+            got[r.log_id].append(r.text)
+        assert got == {log: list(chain(L.Lines(lines))) for log, lines in logs.items()}
+
+
+def test_stacks():
+    block = ["Error: bad 1", "  at a (b.ts:1:2)"]
+    same = ["Error: bad 2", "  at a (b.ts:3:4)"]
+    assert list(L.fold_stacks(["x", *block, "", *same, *block, "", "y", "", "z"])) == ["x", *block, "[stack repeated 2x]", "y", "", "z"]
+    assert list(L.fold_stacks([*block, "", "Error: other", *same])) == [*block, "Error: other", *same]
 
 
 def test_prune_takes_a_log_as_a_whole(spark):
@@ -167,7 +199,7 @@ def test_prune_takes_a_log_as_a_whole(spark):
     df = spark.createDataFrame([("l", i, t) for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
     logs = spark.createDataFrame([("l", None, None, None)], "log_id string, profile string, strip_timestamps string, dedupe_stack_traces boolean")
     want, rules = L.prune(lines)
-    assert want[-1] == "[22 repeated lines folded]" and "global-repeat-fold" in rules
+    assert want[-1] == "[global repeats folded: 22]" and "global-repeat-fold" in rules
     for piece in (4, 5_000):
         got = sorted(L.prune_logs(df, logs, piece).collect(), key=lambda r: r.piece)
         assert "\n".join(r.text for r in got).split("\n") == want
@@ -186,9 +218,9 @@ def test_prune_json_tests_lint_and_types(spark):
     assert L.prune(made) == (["[json lines folded: 6 (error:1, warn:1, info:1, debug:0, other:3)]"], ["json-line-fold"])
     assert L.prune(made, "lint")[0] == made and L.prune(made[1:])[0] == made[1:]
     tests = [*[f"✓ case {chr(97 + k)} does it" for k in range(6)], "tests/a.test.ts:", "not a test line"]
-    assert L.prune(tests) == (["[tests: 6 passing stripped, 0 failing kept]", "not a test line", "[all tests passed]"], ["test-runner-elision"])
+    assert L.prune(tests) == (["[tests pruned: 6 passing stripped, 0 failing kept]", "not a test line", "[all tests passed]"], ["test-runner-elision"])
     out, _ = L.prune([*tests, "✗ case z breaks"])
-    assert out == ["[tests: 6 passing stripped, 1 failing kept]", "tests/a.test.ts:", "not a test line", "✗ case z breaks"]
+    assert out == ["[tests pruned: 6 passing stripped, 1 failing kept]", "tests/a.test.ts:", "not a test line", "✗ case z breaks"]
     lint = ["./src/a.ts lint ━━", "", "  × one", "./src/b.ts format ━━", "  × two of it", "  × three", "  some more text here", "", "end"]
     assert L.prune(lint) == (["[diagnostic block 1] ./src/a.ts lint ━━", "", "  × one", "[diagnostic block 2] ./src/b.ts format ━━", "  × two of it", "", "end"], ["linter-fold"])
     types = [f"src/deep/er/a.tsx({k},{k}): error TS2322: Type {c * 3} is not what was asked for here" for k, c in enumerate("abcdefg", 1)]
