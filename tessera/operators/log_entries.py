@@ -201,9 +201,8 @@ def header_of(template: tuple[str, ...]) -> tuple[str, ...]:
 def classify(template: tuple[str, ...], strict: bool = False) -> str | None:
     """A pattern with the groups ts, glog, level, component and msg for a template; None if it states neither time nor level and
     name. Slots by type: the first timestamp, the first level, the last name of the header; what follows is the message.
-    strict: a pattern that only lines of the same shape match."""
-    name, number = (rf"(?!(?i:{LEVEL_WORD}))" + r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*(?![\w-]|\.[A-Za-z_])", rf"(?!{ANY_STAMP})\d+\w*") if strict else (r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", r"\d+\w*")
-    level = f"(?i:{LEVEL_WORD})" if strict else "[A-Za-z]+"
+    strict: a pattern that only lines of the same shape match, if the levels it finds are such and its names aren't (see Miner)."""
+    name, number = (r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?![\w-]|\.[A-Za-z_])", rf"(?!{ANY_STAMP})\d+\w*") if strict else (r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", r"\d+\w*")
     lead = lead_of(template)
     if len(lead) < 3 or len(head(template)) < len(lead) or not opens_entry(template):
         return None
@@ -219,8 +218,8 @@ def classify(template: tuple[str, ...], strict: bool = False) -> str | None:
         elif t == "K":
             out.append(r"(?P<glog>[IWEFDT]\d{4} \d\d:\d\d:\d\d\.\d+)")
         elif t == "L":
-            out.append(f"(?P<level>{level})" if "level" not in seen else level)
-            seen.add("level")
+            out.append("(?P<level>[A-Za-z]+)" if "level" not in seen else "(?P<other>[A-Za-z]+)" if strict and "other" not in seen else "[A-Za-z]+")
+            seen.add("other" if "level" in seen else "level")
         elif t == "w":
             out.append(f"(?P<component>{name})" if i == names[-1] else name)
         elif t == "h":
@@ -235,7 +234,7 @@ def classify(template: tuple[str, ...], strict: bool = False) -> str | None:
     return (text.removesuffix(r"[ \t]+") + r"[ \t]*" if text.endswith(r"[ \t]+") else text) + r"(?P<msg>.*)"
 
 
-SETTLED = 40  # shapes after which lines are first tried against a template's own pattern
+SETTLED = 4  # shapes after which lines are first tried against a template's own pattern
 SHAPES_HELD = 50_000  # shapes a miner remembers to count repeats by; their counts are added up when it is full
 KEYED = re.compile(r"[a-z][\w.@-]*=\S")
 LOGFMT = re.compile(r'([\w.@-]+)=("(?:[^"\\]|\\.)*"|\S*)(?:\s+|$)')
@@ -273,7 +272,7 @@ def type_of(value) -> str:
     text = str(value)
     if text.lower() in LEVELS:
         return "L"
-    if parse_time(text, 2000) != -1:
+    if (text[:1].isdigit() or text[:3] in MONTHS) and parse_time(text, 2000) != -1:
         return "T"
     if isinstance(value, (int, float)):
         return "9"
@@ -283,6 +282,9 @@ def type_of(value) -> str:
 NAME = re.compile(r"[A-Za-z_][\w./:-]*\Z")
 
 
+LEVEL_WORDS = frozenset(LEVEL_WORD.split("(?:")[1].split(")")[0].lower().split("|"))
+
+
 class Miner:
     """Templates of a stream of lines: [common subsequence, lines, shapes] by lead. A line that matches the strict pattern of a settled
     template has its header, so that merging it could not change what is read from the template; it is only counted."""
@@ -295,7 +297,8 @@ class Miner:
     def add(self, line: str) -> None:
         settled = self.settled
         for i, entry in enumerate(settled):
-            if entry[0](line):
+            m = entry[0](line)
+            if m and all((x.lower() in LEVEL_WORDS) == (k in entry[2]) for k, x in enumerate(m.groups(), 1) if k in entry[3]):
                 entry[1][1] += 1
                 if i > 2:
                     settled.insert(0, settled.pop(i))
@@ -319,11 +322,16 @@ class Miner:
     def merge(self, toks: tuple[str, ...], lines: int, kinds: int) -> None:
         lead = lead_of(toks)  # leads whose common subsequence is as long as both are equal
         known = self.made.setdefault(lead, [toks, 0, 0])
+        before = known[0]
         known[0] = common(known[0], toks) if known[1] else toks
         known[1] += lines
         known[2] += kinds
-        if known[2] >= SETTLED and not any(known is e[1] for e in self.settled) and (pattern := classify(known[0], strict=True)):
-            self.settled.append([re.compile(pattern, re.S).match, known])
+        if known[2] >= SETTLED and (known[2] == SETTLED or known[0] != before) and (pattern := classify(known[0], strict=True)) and all(pattern != e[4] for e in self.settled):
+            self.settled = [e for e in self.settled if e[1] is not known]  # lines of the longer header have the shorter one too
+            made = re.compile(pattern, re.S)
+            levels = {made.groupindex[g] for g in ("level", "other") if g in made.groupindex}
+            rest = {made.groupindex[g] for g in ("ts", "glog", "msg", "component") if g in made.groupindex}  # component holds a name's own group
+            self.settled.append([made.match, known, levels, set(range(1, made.groups + 1)) - rest, pattern])
 
     def add_repeats(self) -> None:
         for shape, n in self.shapes.items():  # repeats of shapes that were counted by shape
@@ -539,7 +547,7 @@ def parse_entries(lines: DataFrame, logs: DataFrame, block_lines: int = BLOCK_LI
     years = logs.where(F.col("log_id").isNotNull()).groupBy("log_id").agg(F.year(F.min("started_at")).alias("log_year"))
     ahead = min(LOOK_AHEAD, block_lines)
     block = F.floor(F.col("line_no") / block_lines).cast("int")
-    copies = F.when(F.col("line_no") % block_lines < ahead, F.array(block, block - 1)).otherwise(F.array(block))
+    copies = F.when((F.col("line_no") % block_lines < ahead) & (F.col("line_no") >= block_lines), F.array(block, block - 1)).otherwise(F.array(block))
     held = lines.join(broadcast_if_small(years), "log_id", "left")
     spread = held.select("log_id", F.explode(copies).alias("block"), "line_no", "text", "log_year").repartition("log_id", "block").sortWithinPartitions("log_id", "block", "line_no", "text")
 
