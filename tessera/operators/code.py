@@ -51,13 +51,6 @@ def dependencies(files: DataFrame, most: int = 12) -> DataFrame:
     return files.select("file_id", F.posexplode(F.slice(called, 1, most)).alias("n", "name")).select("file_id", F.col("n").cast("long").alias("n"), "name")
 
 
-def tests_for(files: DataFrame) -> DataFrame:
-    """(file_id, n_tests): test files of the repository that mention a name the file defines."""
-    tests = word_lines(files.where(T.is_test_path(F.col("path")))).select("repo", "name", F.col("file_id").alias("test_id")).distinct()
-    named = definitions(files.where(~T.is_test_path(F.col("path")))).select("file_id", "repo", "name").distinct()
-    return named.join(tests, ["repo", "name"]).groupBy("file_id").agg(F.countDistinct("test_id").alias("n_tests"))
-
-
 def naming_style(name: Column) -> Column:
     return F.when(name.rlike("^[A-Z][A-Za-z0-9]*$"), "pascal").when(name.rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake").when(name.rlike("^[a-z]+([A-Z][a-z0-9]*)+$"), "camel").otherwise("other")
 

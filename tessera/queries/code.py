@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import code as C
 from tessera.operators import graph as G
-from tessera.queries.text import FILES, TOK, files
-from tessera.sources.tables import table
+from tessera.queries.text import FILES, IMPORTED, RESOLVED, TOK, files
 
 OLD, NEW = "budget", "allowance"
 STATEMENT = "import os"
@@ -23,25 +22,13 @@ def resolve_specifiers(spark, d):
     return G.resolve(G.import_edges(f), f).select("file_id", "specifier", "resolved")
 
 
-def incoming_edges(spark, d):
-    return G.import_edges(files(spark, d)).groupBy("repo", "specifier").agg(F.countDistinct("file_id").alias("n_importers"))
-
-
-def shared_dependency_boost(spark, d):
-    return incoming_edges(spark, d).where("n_importers >= 2").withColumnRenamed("n_importers", "score")
-
-
-def expand_graph(spark, d):
-    edges = table(spark, d, "lineitem").select((F.col("l_suppkey") % 997).alias("src"), (F.col("l_partkey") % 997).alias("dst")).where("src < 200").distinct()
-    seeds = table(spark, d, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("node"), F.lit(100).cast("long").alias("score"))
-    return G.expand(edges, seeds, 2)
+def resolved(spark, d):
+    f = files(spark, d)
+    return G.resolve(G.import_edges(f), f)
 
 
-def expand_imports(spark, d):
-    """From the first file of each repository over all resolved imports."""
-    f = files(spark, d)
-    edges = G.resolve(G.import_edges(f), f).where("resolved is not null").select(F.col("file_id").alias("src"), F.col("resolved").alias("dst")).distinct()
-    return G.expand(edges, f.groupBy("repo").agg(F.min("file_id").alias("node")).select("node", F.lit(100).cast("long").alias("score")), 2)
+def incoming_edges(spark, d):
+    return G.incoming(resolved(spark, d))
 
 
 def tree_rollup(spark, d):
@@ -65,7 +52,7 @@ def dependencies(spark, d):
 
 
 def tests_for_file(spark, d):
-    return C.tests_for(files(spark, d))
+    return G.tests_of(resolved(spark, d), files(spark, d))
 
 
 def conventions(spark, d):
@@ -104,7 +91,7 @@ def outline_symbols(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_edges, resolve_specifiers, incoming_edges, shared_dependency_boost, expand_graph, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, symbol_callers, rename_refs, insert_dry_run, outline_symbols)
+    for f in (outgoing_edges, resolve_specifiers, incoming_edges, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, symbol_callers, rename_refs, insert_dry_run, outline_symbols)
 }
 
 
@@ -112,8 +99,6 @@ def _sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-_EDGES = f"""{FILES}, ed AS (SELECT DISTINCT file_id, repo, regexp_replace(path, '^\\./', '') AS path, unnest(list_concat(list_concat(regexp_extract_all(content, '{_sql(G.IMPORTS[0])}', 1), regexp_extract_all(content, '{_sql(G.IMPORTS[1])}', 1)), regexp_extract_all(content, '{_sql(G.IMPORTS[2])}', 1))) AS specifier
-    FROM files WHERE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'))"""
 _LINES = f"{FILES}, sl AS (SELECT file_id, repo, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT file_id, repo, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM files))"
 _DEFS = f"{_LINES}, df AS (SELECT * FROM (SELECT file_id, repo, line_no, regexp_extract(line, '{C.DEFINITION}', 1) AS name, line FROM sl) WHERE name <> '')"
 _WORDS = f"{_DEFS}, wl AS (SELECT DISTINCT file_id, repo, line_no, unnest(regexp_extract_all(line, '{C.WORD}')) AS name FROM sl)"
@@ -122,15 +107,9 @@ _TEST = "(?i)(^|/)(__tests__|tests?|specs?)(/|$)|\\.(test|spec)\\."
 _SIGNS = {"imports": r"(?m)^(import|from|use|#include|require)\b|\brequire\(", "exports": r"(?m)^(export|pub|public)\b|module\.exports", "throws": r"\b(throw|raise|panic)\b", "tries": r"\b(try|begin|rescue)\b", "documented": r"(?m)^(//|#|/\*)"}
 
 ORACLES = {
-    "outgoing_edges": f"WITH {_EDGES} SELECT file_id, specifier FROM ed",
-    "resolve_specifiers": f"""WITH {_EDGES}, t AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM ed), u AS (SELECT *, CASE WHEN specifier LIKE './%' THEN CASE WHEN dir = '' THEN '' ELSE dir || '/' END || substr(specifier, 3)
-        WHEN specifier LIKE '../%' THEN CASE WHEN regexp_replace(dir, '/?[^/]*$', '') = '' THEN '' ELSE regexp_replace(dir, '/?[^/]*$', '') || '/' END || substr(specifier, 4) END AS target FROM t),
-        c AS (SELECT file_id, repo, specifier, target || ext AS cand, rank FROM u, (VALUES ('.ts', 0), ('.tsx', 1), ('.js', 2), ('.jsx', 3), ('', 4)) e(ext, rank)),
-        h AS (SELECT c.file_id, c.specifier, arg_min(f.file_id, rank) AS resolved FROM c JOIN files f ON f.repo = c.repo AND regexp_replace(f.path, '^\\./', '') = cand GROUP BY 1, 2) SELECT ed.file_id, ed.specifier, resolved FROM ed LEFT JOIN h ON h.file_id = ed.file_id AND h.specifier = ed.specifier""",
-    "incoming_edges": f"WITH {_EDGES} SELECT repo, specifier, count(DISTINCT file_id) AS n_importers FROM ed GROUP BY 1, 2",
-    "shared_dependency_boost": f"WITH {_EDGES} SELECT repo, specifier, count(DISTINCT file_id) AS score FROM ed GROUP BY 1, 2 HAVING count(DISTINCT file_id) >= 2",
-    "expand_graph": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 997 AS src, l_partkey % 997 AS dst FROM lineitem WHERE l_suppkey % 997 < 200), b AS (SELECT s_suppkey AS node, 100::BIGINT AS score, 0 AS lvl FROM supplier WHERE s_suppkey <= 3
-        UNION SELECT dst, greatest(1, score // 2), lvl + 1 FROM b JOIN e ON src = node WHERE lvl < 2) SELECT node, max(score) AS score FROM b GROUP BY 1""",
+    "outgoing_edges": f"WITH {FILES}, {IMPORTED} SELECT file_id, specifier FROM ed",
+    "resolve_specifiers": f"WITH {FILES}, {RESOLVED} SELECT file_id, specifier, resolved FROM re",
+    "incoming_edges": f"WITH {FILES}, {RESOLVED} SELECT DISTINCT resolved AS file_id, file_id AS importer FROM re WHERE resolved <> file_id",
     "tree_rollup": f"""WITH {FILES}, p AS (SELECT repo, string_split(regexp_replace(path, '^\\./', ''), '/') AS parts, len(regexp_extract_all(content, '{TOK}')) AS tokens FROM files), l AS (SELECT *, unnest(generate_series(0, least(len(parts) - 1, 3))) AS level FROM p)
         SELECT repo, array_to_string(parts[:level], '/') AS prefix, level, count(*) AS n_files, sum(tokens)::BIGINT AS tokens FROM l GROUP BY 1, 2, 3""",
     "symbol_definitions": f"WITH {_DEFS} SELECT file_id, line_no, name FROM df",
@@ -138,8 +117,7 @@ ORACLES = {
     "callers_outside_body": f"WITH {_WORDS} SELECT repo, name, count(*) AS n_lines, count(DISTINCT file_id) AS n_files FROM wl WHERE (repo, name) IN (SELECT repo, name FROM df) AND (file_id, line_no, name) NOT IN (SELECT file_id, line_no, name FROM df) GROUP BY 1, 2",
     "dependencies": f"""WITH {FILES}, a AS (SELECT file_id, regexp_extract_all(content, '{C.CALL}', 1) AS l FROM files), b AS (SELECT file_id, unnest(l) AS name, generate_subscripts(l, 1) AS i FROM a),
         c AS (SELECT file_id, name, min(i) AS i FROM b WHERE name NOT IN ({", ".join(f"'{x}'" for x in C.NOT_CALLS)}) GROUP BY 1, 2), r AS (SELECT file_id, name, row_number() OVER (PARTITION BY file_id ORDER BY i) - 1 AS n FROM c) SELECT file_id, n, name FROM r WHERE n < 12""",
-    "tests_for_file": f"""WITH {_WORDS}, tf AS (SELECT file_id FROM files WHERE regexp_matches(path, '{_TEST}')), w AS (SELECT DISTINCT repo, name, file_id FROM wl WHERE file_id IN (SELECT file_id FROM tf)),
-        d AS (SELECT DISTINCT file_id, repo, name FROM df WHERE file_id NOT IN (SELECT file_id FROM tf)) SELECT d.file_id, count(DISTINCT w.file_id) AS n_tests FROM d JOIN w ON w.repo = d.repo AND w.name = d.name GROUP BY 1""",
+    "tests_for_file": f"""WITH {FILES}, {RESOLVED}, tf AS (SELECT file_id FROM files WHERE regexp_matches(path, '{_TEST}')) SELECT DISTINCT resolved AS file_id, file_id AS test FROM re WHERE resolved <> file_id AND file_id IN (SELECT file_id FROM tf) UNION SELECT file_id, file_id FROM tf""",
     "conventions": f"""WITH {FILES}, a AS (SELECT repo, {_LANG} AS language, count(*) AS n_files, {", ".join(f"round(avg(regexp_matches(content, '{p}')::INT), 4) AS {k}" for k, p in _SIGNS.items())} FROM files GROUP BY 1, 2)
         SELECT *, CASE WHEN n_files >= 3 THEN array_to_string(list_filter([{", ".join(f"CASE WHEN {k} >= 0.7 THEN '{k}' END" for k in _SIGNS)}], lambda x: x IS NOT NULL), ',') ELSE '' END AS signals FROM a""",
     "naming_styles": f"WITH {_DEFS} SELECT repo, CASE WHEN regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') THEN 'pascal' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 'camel' ELSE 'other' END AS style, count(*) AS n FROM df GROUP BY 1, 2",

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import graph as G
 from tessera.operators import retrieval as R
-from tessera.queries.text import DOC, FILES, NAMES, TOK, docs, files
-from tessera.sources.tables import table
+from tessera.queries.text import DOC, FILES, NAMES, RESOLVED, TOK, docs, files
 
 TERMS = ("token", "budget", "journal")
-PASS1, PASS2, MOST = 600, 2000, 3
+RISKS = ("secret", "token", "budget", "error", "cache", "limit", "stale", "wrong", "path")  # of this corpus
 BUDGET = 5000
+SEEDS, FOLDERS = ("src/minimap/index.ts",), ("cmd/queue", "src/minimap")
 
 
 def idf_stats(spark, d):
@@ -23,13 +24,25 @@ def rank_bm25(spark, d):
 
 
 def file_features(spark, d):
-    return files(spark, d).select("file_id", "path", "content", F.array_distinct(F.regexp_extract_all("content", F.lit(NAMES), F.lit(1))).alias("names"), F.regexp_extract_all("content", F.lit(r"(?m)^#{1,6}[ \t]+([^\n\r]+)"), F.lit(1)).alias("heads"))
+    heads = F.regexp_extract_all("content", F.lit(r"(?m)^#{1,6}\s+([^\n]+)"), F.lit(1))
+    return files(spark, d).select("file_id", "repo", "path", "content", F.regexp_extract_all("content", F.lit(NAMES), F.lit(1)).alias("names"), heads.alias("heads"))
+
+
+def features_and_edges(spark, d):
+    features = file_features(spark, d)
+    return features, G.resolve(G.import_edges(features), features)
 
 
 def metadata_score(spark, d):
     return file_features(spark, d).select("file_id", R.metadata_score(TERMS, F.col("path"), F.col("names"), F.col("heads")).cast("long").alias("score")).where("score > 0")
 
 
+def file_score(spark, d):
+    """Points of one file without a corpus: names and occurrences."""
+    score = R.metadata_score(TERMS, F.col("path"), F.col("names"), F.col("heads")) + R.content_score(TERMS, F.col("content"))
+    return file_features(spark, d).select("file_id", score.cast("long").alias("score"))
+
+
 def rank_combined(spark, d):
     features = file_features(spark, d)
     stats = R.term_stats(features, TERMS, "content").collect()
@@ -38,29 +51,30 @@ def rank_combined(spark, d):
 
 
 def evidence_lines(spark, d):
-    return R.evidence_lines(docs(spark, d))
+    return R.evidence_lines(docs(spark, d), RISKS)
 
 
-def triage(spark, d):
-    """Every document with its tokens, matched risk terms, rank score and whether the second pass reads it whole."""
-    base = docs(spark, d).select("doc_id", T.token_count(F.col("text")).cast("long").alias("tokens"), R.matched_terms(F.col("text")).alias("risks"))
-    second = docs(spark, d).select("doc_id", T.token_count(F.col("text")).alias("t"), F.size(R.matched_terms(F.col("text"))).alias("n")).where(f"n > 0 and t > {PASS1}").orderBy(F.desc("n"), "doc_id").limit(MOST)
-    return base.join(F.broadcast(second.select("doc_id", F.lit(True).alias("second"))), "doc_id", "left")  # MOST rows
+def risk_triage(spark, d):
+    """The two passes with the fixed terms of risk."""
+    return R.review(docs(spark, d), TERMS)
 
 
-def risk_triage(spark, d):
-    return triage(spark, d).select("doc_id", F.size("risks").cast("long").alias("n_risks"), F.try_element_at("risks", F.lit(1)).alias("first_risk"), F.coalesce("second", F.lit(False)).alias("second_pass"))
+def reviewed(spark, d):
+    """With terms of this corpus, and changelogs as what was changed."""
+    changed = docs(spark, d).where("kind = 'changelog'")
+    return R.review(docs(spark, d), TERMS, changed, RISKS)
+
+
+def review_files(spark, d):
+    return reviewed(spark, d)
 
 
 def review_totals(spark, d):
-    t = triage(spark, d)
-    full, one, two = F.sum("tokens"), F.sum(F.least("tokens", F.lit(PASS1))), F.coalesce(F.sum(F.when(F.col("second"), F.least("tokens", F.lit(PASS2)))), F.lit(0))
-    return t.agg(full.alias("full_tokens"), one.alias("pass1_tokens"), two.alias("pass2_tokens"), F.when(full <= 0, 0.0).otherwise(F.round(100.0 * (full - one - two) / full, 1)).alias("reduction_pct"))
+    return R.review_totals(reviewed(spark, d))
 
 
 def review_clusters(spark, d):
-    flagged = docs(spark, d).select("doc_id", F.try_element_at(R.matched_terms(F.col("text")), F.lit(1)).alias("term")).where("term is not null")
-    return flagged.groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return R.review_clusters(reviewed(spark, d))
 
 
 def changed_boost(spark, d):
@@ -77,18 +91,46 @@ def truncate_to_budget(spark, d):
 
 def context_allocation(spark, d):
     sources = docs(spark, d).select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("request"), T.token_count(F.col("text")).cast("long").alias("tokens"), F.when(F.col("kind") == "adr", "high").when(F.col("kind").isin("guide", "readme"), "medium").otherwise("low").alias("priority")
+        "doc_id", F.coalesce("source", F.lit("")).alias("request"), T.token_count(F.col("text")).cast("long").alias("tokens"), F.when(F.col("kind") == "adr", "high").when(F.col("kind").isin("guide", "readme"), "normal").otherwise("low").alias("priority")
     )
     return R.allocate(sources, BUDGET)
 
 
+def shared_dependency_boost(spark, d):
+    features, edges = features_and_edges(spark, d)
+    best = R.select_files(features, edges, TERMS, depth=0, k=R.SCAN)
+    return G.shared_boost(best.select(F.col("file_id").alias("node"), "score"), edges)
+
+
+def expand_graph(spark, d):
+    """From all files with the highest priority, two steps along imports."""
+    features, edges = features_and_edges(spark, d)
+    best = R.select_files(features, edges, TERMS, depth=0, k=R.SCAN).select(F.col("file_id").alias("node"), "score", "priority")
+    return G.expand_candidates(best, edges, 2)
+
+
+def gather_files(spark, d):
+    """With a file and a folder as seeds."""
+    features, edges = features_and_edges(spark, d)
+    return R.select_files(features, edges, TERMS, seeds=SEEDS, folders=FOLDERS)
+
+
 def gather(spark, d):
-    return R.gather(docs(spark, d), TERMS, BUDGET)
+    features, edges = features_and_edges(spark, d)
+    return R.gather(features, edges, TERMS, BUDGET, seeds=SEEDS, folders=FOLDERS)
 
 
-QUERIES = {f.__name__: f for f in (idf_stats, rank_bm25, metadata_score, rank_combined, evidence_lines, risk_triage, review_totals, review_clusters, changed_boost, truncate_to_budget, context_allocation, gather)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        idf_stats, rank_bm25, metadata_score, file_score, rank_combined, evidence_lines, risk_triage, review_files, review_totals, review_clusters, changed_boost, truncate_to_budget, context_allocation, shared_dependency_boost, expand_graph,
+        gather_files, gather,
+    )
+}
 
-_RISKS = "[" + ", ".join(f"'{t}'" for t in R.RISK_TERMS) + "]"
+# The same results in SQL, with values of their own.
+_RISKS = "['secret', 'token', 'budget', 'error', 'cache', 'limit', 'stale', 'wrong', 'path']"
+_FIXED = "['deadline', 'return false', 'open(lockpath', 'writefilesync', 'renamesync', 'atomic', 'todo', 'fixme', 'hack']"
 
 
 def _ranked(source: str, key: str, text: str) -> str:
@@ -99,18 +141,48 @@ def _ranked(source: str, key: str, text: str) -> str:
     return f"tf AS (SELECT {key}, len(regexp_extract_all({text}, '{TOK}')) AS dl, {cols} FROM {source}), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM tf), ranked AS (SELECT {key}, CASE WHEN dl = 0 THEN 0 ELSE {score} END AS score FROM tf, st)"
 
 
-_META = " + ".join(
-    [
-        "least(3, 3 * (" + " + ".join(f"(regexp_replace(f, '([a-z])([A-Z])', '\\1 \\2', 'g').lower() LIKE '%{t}%')::INT" for t in TERMS) + "))",
-        "least(2, " + " + ".join(f"(len(list_filter(dirs, lambda x: regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g').lower() LIKE '%{t}%')) > 0)::INT" for t in TERMS) + ")",
-        "least(6, 2 * (" + " + ".join(f"(len(list_filter(names, lambda x: regexp_replace(x, '([a-z])([A-Z])', '\\1 \\2', 'g').lower() LIKE '%{t}%')) > 0)::INT" for t in TERMS) + "))",
-        "least(4, 2 * (" + " + ".join(f"(len(list_filter(heads, lambda x: lower(x) LIKE '%{t}%')) > 0)::INT" for t in TERMS) + "))",
-    ]
-)
-_FEATURES = f"""{FILES}, ft AS (SELECT file_id, content, parts[-1] AS f, parts[:-2] AS dirs, names, heads FROM (SELECT file_id, content, string_split(path, '/') AS parts,
-    regexp_extract_all(content, '{NAMES}', 1) AS names, regexp_extract_all(content, '(?m)^#{{1,6}}[ \\t]+([^\\n\\r]+)', 1) AS heads FROM files))"""
-_TRIAGE = f"""b AS (SELECT doc_id, len(regexp_extract_all(text, '{TOK}')) AS tokens, list_filter({_RISKS}, lambda t: contains(lower(text), t)) AS risks FROM {DOC}),
-    s AS (SELECT doc_id FROM b WHERE len(risks) > 0 AND tokens > {PASS1} ORDER BY len(risks) DESC, doc_id LIMIT {MOST}), tr AS (SELECT b.*, s.doc_id IS NOT NULL AS second FROM b LEFT JOIN s USING (doc_id))"""
+def _hit(value: str) -> str:
+    return rf"regexp_matches(replace({value}, '_', ' '), '\b(token|budget|journal)\b')"
+
+
+_SPLIT = r"lower(regexp_replace(x, '([a-z])([A-Z])', '\1 \2', 'g'))"
+_META = f"CASE WHEN {_hit('lower(f)')} THEN 3 ELSE 0 END + " + " + ".join(f"least({most}, {each} * len(list_filter({values}, lambda x: {_hit(_SPLIT)})))" for most, each, values in ((2, 1, "dirs"), (6, 2, "names"), (4, 2, "heads")))
+_FEATURES = rf"""{FILES}, ft AS (SELECT file_id, content, parts[-1] AS f, parts[:-2] AS dirs, names, heads FROM (SELECT file_id, content, string_split(path, '/') AS parts,
+    regexp_extract_all(content, '(?:function|const|let|var|class|interface|type|enum)\s+(\w+)', 1) AS names, regexp_extract_all(content, '(?m)^#{{1,6}}\s+([^\n]+)', 1) AS heads FROM files))"""
+_SCORED = f"{_FEATURES}, {_ranked('files', 'file_id', 'content')}, sf AS (SELECT file_id, round({_META} + score, 6) AS score FROM ranked JOIN ft USING (file_id)), top AS (SELECT * FROM sf WHERE score > 0 ORDER BY score DESC, file_id LIMIT 50)"
+
+
+def _read(budget: int, source: str) -> str:
+    """Lines, tokens and text of a read within a budget."""
+    return f"""a{budget} AS (SELECT doc_id, text, len(regexp_extract_all(text, '{TOK}')) AS total, string_split(text, chr(10)) AS l FROM {source}), b{budget} AS (SELECT doc_id, total, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM a{budget}),
+        c{budget} AS (SELECT *, sum(len(regexp_extract_all(x, '{TOK}'))) OVER w AS t, sum(length(x) + 1) OVER w - length(x) - 1 AS ch FROM b{budget} WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        k{budget} AS (SELECT doc_id, coalesce(max(n) FILTER (t <= {budget} - 5 AND ch <= 5 * {budget}), 0) AS n, coalesce(max(t) FILTER (t <= {budget} - 5 AND ch <= 5 * {budget}), 0)::BIGINT AS t FROM c{budget} GROUP BY 1),
+        r{budget} AS (SELECT doc_id, total, CASE WHEN total <= {budget} THEN len(l) ELSE n END AS lines, CASE WHEN total <= {budget} THEN total ELSE t + 4 END AS tokens, CASE WHEN total <= {budget} THEN text ELSE array_to_string(l[:n], chr(10)) || chr(10) || '[...truncated, ~' || (total - t) || ' more tokens]' END AS body
+        FROM a{budget} JOIN k{budget} USING (doc_id))"""
+
+
+def _review(risks: str, changed: str | None) -> str:
+    best = "SELECT doc_id, round(score, 6) AS score FROM ranked WHERE round(score, 6) > 0 ORDER BY 2 DESC, 1 LIMIT 10"
+    candidates = f"cd AS ({best})" if changed is None else f"""tp AS ({best}), ch AS (SELECT doc_id FROM {DOC} AND {changed}), cd AS (SELECT coalesce(tp.doc_id, ch.doc_id) AS doc_id, CASE WHEN ch.doc_id IS NOT NULL THEN 2 * coalesce(score, 0.1) ELSE score END::DOUBLE AS score FROM tp FULL JOIN ch ON tp.doc_id = ch.doc_id)"""
+    source = "(SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM cd))"
+    return f"""{_ranked(DOC, 'doc_id', 'text')}, {candidates}, {_read(600, source)}, {_read(2000, source)}, p1 AS (SELECT doc_id, score, r600.total AS full_tokens, r600.tokens AS pass1_tokens, list_filter({risks}, lambda t: contains(lower(r600.body), t)) AS risks FROM cd JOIN r600 USING (doc_id)),
+        ag AS (SELECT doc_id FROM p1 WHERE len(risks) > 0 AND full_tokens > 600 ORDER BY score DESC, doc_id LIMIT 3),
+        rv AS (SELECT doc_id, round(score, 6) AS score, full_tokens, pass1_tokens, len(risks) > 0 AS flagged, array_to_string(risks, ',') AS risks, CASE WHEN doc_id IN (SELECT doc_id FROM ag) THEN (SELECT tokens FROM r2000 WHERE r2000.doc_id = p1.doc_id) ELSE 0 END AS pass2_tokens FROM p1)"""
+
+
+_REVIEWED = _review(_RISKS, "kind = 'changelog'")
+_BOOST = "bo AS (SELECT resolved AS node, count(*)::DOUBLE AS score FROM re WHERE resolved IS NOT NULL AND file_id IN (SELECT node FROM ca) AND resolved NOT IN (SELECT node FROM ca) GROUP BY 1 HAVING count(*) >= 2)"
+
+
+def _level(n: int, before: str) -> str:
+    """The next level of an expansion: what the last one leads to, with the best of half the parents' scores."""
+    return f"f{n} AS (SELECT resolved AS node, max(greatest(1, floor(score * 0.5))) AS score FROM (SELECT DISTINCT file_id, resolved FROM re WHERE resolved IS NOT NULL) e JOIN {before} p ON p.node = e.file_id GROUP BY 1)"
+
+
+_SEEDED = r"""sp AS (SELECT sf.file_id, score, regexp_replace(path, '^\./', '') AS path FROM sf JOIN files USING (file_id)), al AS (SELECT file_id AS node, 100.0::DOUBLE AS score, 'high' AS priority, 0 AS src FROM sp WHERE path = 'src/minimap/index.ts'
+    UNION ALL SELECT file_id, greatest(score, 5), 'high', 1 FROM sp WHERE score > 0 AND (starts_with(path, 'cmd/queue/') OR starts_with(path, 'src/minimap/')) UNION ALL SELECT file_id, score, CASE WHEN score >= 5 THEN 'high' ELSE 'normal' END, 2 FROM top),
+    ca AS (SELECT node, arg_min(score, src) AS score, arg_min(priority, src) AS priority FROM al GROUP BY 1)"""
+_PLAIN = "ca AS (SELECT file_id AS node, score, CASE WHEN score >= 5 THEN 'high' ELSE 'normal' END AS priority FROM top)"
 
 ORACLES = {
     "idf_stats": " UNION ALL ".join(
@@ -119,19 +191,24 @@ ORACLES = {
     ),
     "rank_bm25": f"WITH {_ranked(DOC, 'doc_id', 'text')} SELECT doc_id, round(score, 6) AS score FROM ranked WHERE round(score, 6) > 0 ORDER BY 2 DESC, 1 LIMIT 10",
     "metadata_score": f"WITH {_FEATURES} SELECT * FROM (SELECT file_id, ({_META})::BIGINT AS score FROM ft) WHERE score > 0",
-    "rank_combined": f"WITH {_FEATURES}, {_ranked('files', 'file_id', 'content')}, m AS (SELECT file_id, {_META} AS m FROM ft) SELECT file_id, round(m + score, 6) AS score FROM ranked JOIN m USING (file_id) WHERE m + score > 0 ORDER BY 2 DESC, 1 LIMIT 10",
+    "rank_combined": f"WITH {_SCORED} SELECT * FROM top ORDER BY score DESC, file_id LIMIT 10",
     "evidence_lines": f"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {DOC}), b AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS x FROM a)
         SELECT doc_id, line_no, term, regexp_replace(x, '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g') AS line FROM (SELECT *, list_filter({_RISKS}, lambda t: contains(lower(x), t))[1] AS term FROM b) WHERE term IS NOT NULL""",
-    "risk_triage": f"WITH {_TRIAGE} SELECT doc_id, len(risks) AS n_risks, risks[1] AS first_risk, second AS second_pass FROM tr",
-    "review_totals": f"""WITH {_TRIAGE} SELECT sum(tokens)::BIGINT AS full_tokens, sum(least(tokens, {PASS1}))::BIGINT AS pass1_tokens, coalesce(sum(CASE WHEN second THEN least(tokens, {PASS2}) END), 0)::BIGINT AS pass2_tokens,
-        round(100.0 * (full_tokens - pass1_tokens - pass2_tokens) / full_tokens, 1) AS reduction_pct FROM tr""",
-    "review_clusters": f"WITH {_TRIAGE} SELECT risks[1] AS term, count(*) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM tr WHERE len(risks) > 0 GROUP BY 1",
+    "risk_triage": f"WITH {_review(_FIXED, None)} SELECT * FROM rv",
+    "review_totals": f"""WITH {_REVIEWED}, t AS (SELECT sum(full_tokens)::BIGINT AS full_tokens, sum(pass1_tokens)::BIGINT AS pass1_tokens, sum(pass2_tokens)::BIGINT AS pass2_tokens, count(*) FILTER (pass2_tokens > 0) AS pass2_files FROM rv)
+        SELECT *, full_tokens - pass1_tokens - pass2_tokens AS saved_tokens, round((full_tokens - pass1_tokens - pass2_tokens) * 100 / full_tokens, 1) AS reduction_pct FROM t""",
+    "review_clusters": f"WITH {_REVIEWED} SELECT string_split(risks, ',')[1] AS term, count(*) AS n_files, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS files FROM rv WHERE flagged GROUP BY 1",
     "changed_boost": f"""WITH {_ranked(DOC, 'doc_id', 'text')}, r AS (SELECT doc_id, round(score, 6) AS score FROM ranked WHERE round(score, 6) > 0), c AS (SELECT doc_id FROM {DOC} AND kind = 'changelog')
         SELECT coalesce(r.doc_id, c.doc_id) AS doc_id, c.doc_id IS NOT NULL AS changed, round(CASE WHEN c.doc_id IS NOT NULL THEN 2 * coalesce(score, 0.1) ELSE score END, 6) AS score FROM r FULL JOIN c ON r.doc_id = c.doc_id""",
-    "truncate_to_budget": f"""WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {DOC}), b AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM a),
-        c AS (SELECT doc_id, n, sum(len(regexp_extract_all(x, '{TOK}'))) OVER w AS t, sum(length(x) + 1) OVER w AS ch FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY n))
-        SELECT doc_id, coalesce(max(n) FILTER (t <= 95 AND ch <= 500), 0)::BIGINT AS lines, coalesce(max(t) FILTER (t <= 95 AND ch <= 500), 0)::BIGINT AS tokens FROM c GROUP BY doc_id""",
-    "context_allocation": f"""WITH s AS (SELECT doc_id, coalesce(source, '') AS request, len(regexp_extract_all(text, '{TOK}')) AS tokens, CASE WHEN kind = 'adr' THEN 'high' WHEN kind IN ('guide', 'readme') THEN 'medium' ELSE 'low' END AS priority FROM {DOC}),
-        w AS (SELECT *, tokens * CASE priority WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 ELSE 0.25 END::DOUBLE AS w FROM s), t AS (SELECT request, sum(tokens) AS a, sum(w) AS sw FROM w GROUP BY 1)
-        SELECT doc_id, request, tokens, priority, CASE WHEN a <= {BUDGET} THEN tokens ELSE least(tokens, greatest(10, floor({BUDGET} * w / sw)::BIGINT)) END AS allocated FROM w JOIN t USING (request)""",
+    "truncate_to_budget": f"WITH {_read(100, DOC)} SELECT doc_id, total, lines, tokens FROM r100",
+    "context_allocation": f"""WITH s AS (SELECT doc_id, coalesce(source, '') AS request, len(regexp_extract_all(text, '{TOK}')) AS tokens, CASE WHEN kind = 'adr' THEN 'high' WHEN kind IN ('guide', 'readme') THEN 'normal' ELSE 'low' END AS priority FROM {DOC}),
+        w AS (SELECT *, tokens * CASE priority WHEN 'high' THEN 2.0 WHEN 'normal' THEN 1.0 ELSE 0.25 END::DOUBLE AS w FROM s), t AS (SELECT request, sum(tokens) AS a, sum(w) AS sw FROM w GROUP BY 1)
+        SELECT doc_id, request, tokens, priority, CASE WHEN a <= 5000 THEN tokens ELSE greatest(10, floor(w / sw * 5000)::BIGINT) END AS allocated FROM w JOIN t USING (request)""",
+    "review_files": f"WITH {_REVIEWED} SELECT * FROM rv",
+    "file_score": f"""WITH {_FEATURES} SELECT file_id, ({_META} + {" + ".join(f"least(5, (length(content) - length(replace(lower(content), '{t}', ''))) // {len(t)})" for t in TERMS)})::BIGINT AS score FROM ft""",
+    "shared_dependency_boost": f"WITH {_SCORED}, {RESOLVED}, {_PLAIN}, {_BOOST} SELECT * FROM bo",
+    "expand_graph": f"""WITH {_SCORED}, {RESOLVED}, {_PLAIN}, h AS (SELECT node, score FROM ca WHERE priority = 'high'), {_level(1, "h")}, g AS (SELECT * FROM f1 WHERE node NOT IN (SELECT node FROM h)), {_level(2, "g")},
+        u AS (SELECT node, max(score) AS score FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY 1) SELECT coalesce(ca.node, u.node) AS node, CASE WHEN ca.node IS NOT NULL THEN ca.score ELSE u.score END AS score, coalesce(priority, 'low') AS priority FROM ca FULL JOIN u ON ca.node = u.node""",
+    "gather_files": f"""WITH {_SCORED}, {RESOLVED}, {_SEEDED}, {_BOOST}, ba AS (SELECT * FROM ca UNION ALL SELECT node, score, 'low' FROM bo), h AS (SELECT node, score FROM ba WHERE priority = 'high'), {_level(1, "h")},
+        x AS (SELECT coalesce(ba.node, f1.node) AS file_id, CASE WHEN coalesce(priority, 'low') = 'low' THEN greatest(ba.score, f1.score) ELSE ba.score END AS score, coalesce(priority, 'low') AS priority FROM ba FULL JOIN f1 ON ba.node = f1.node) SELECT * FROM x ORDER BY score DESC, file_id LIMIT 15""",
 }

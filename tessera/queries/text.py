@@ -22,6 +22,13 @@ def files(spark, d):
 
 FILES = "files AS (SELECT file_id, any_value(repo) repo, any_value(path) path, any_value(content) AS content FROM source_files WHERE content IS NOT NULL GROUP BY file_id)"
 DOC = "documents WHERE text IS NOT NULL"
+# Imports of scripts (ed) and the files they name (re), in SQL; needs FILES in front.
+_PATTERNS = (r"(?:import|export)\s+(?:type\s+)?(?:\{[^}]*\}|\*\s+as\s+\w+|\w+)\s+from\s+['\"]([^'\"]+)['\"]", r"require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)", r"import\s*\(\s*['\"]([^'\"]+)['\"]\s*\)")
+_ALL = ", ".join("regexp_extract_all(content, '" + p.replace("'", "''") + "', 1)" for p in _PATTERNS)
+IMPORTED = rf"""ed AS (SELECT DISTINCT file_id, repo, regexp_replace(path, '^\./', '') AS path, unnest(flatten([{_ALL}])) AS specifier FROM files WHERE lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'))"""
+RESOLVED = rf"""{IMPORTED}, cn AS (SELECT file_id, repo, specifier, rank, regexp_replace(path, '/?[^/]*$', '') || '/' || CASE WHEN rank < 4 THEN regexp_replace(specifier, '\.js$', '') || ext ELSE specifier END AS p FROM ed, (VALUES ('.ts', 0), ('.tsx', 1), ('.js', 2), ('.jsx', 3), ('', 4)) e(ext, rank) WHERE specifier LIKE '.%'),
+    cp AS (SELECT *, substr(list_reduce(list_concat([''], string_split(p, '/')), lambda a, x: CASE WHEN x IN ('', '.') THEN a WHEN x = '..' AND a <> '' AND NOT ends_with(a, '..') THEN regexp_replace(a, '/[^/]+$', '') ELSE a || '/' || x END), 2) AS cand FROM cn),
+    hi AS (SELECT cp.file_id, cp.specifier, arg_min(f.file_id, rank) AS resolved FROM cp JOIN files f ON f.repo = cp.repo AND regexp_replace(f.path, '^\./', '') = cand GROUP BY 1, 2), re AS (SELECT ed.*, resolved FROM ed LEFT JOIN hi USING (file_id, specifier))"""
 
 
 def token_stats(spark, d):
@@ -100,7 +107,7 @@ def headings(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}[ \t]+([^\n\r]+)"), F.lit(1))).alias("n", "heading")).select("doc_id", F.col("n").cast("long").alias("n"), "heading")
 
 
-NAMES = r"\b(?:function|class|interface|type|enum|const|def|fn|func|struct)[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
+NAMES = r"(?:export\s+)?(?:function|const|let|var|class|interface|type|enum)\s+([A-Za-z0-9_]+)"
 
 QUERIES = {f.__name__: f for f in (token_stats, estimate_tokens, short_hash, line_hashes, normalize_punct, strip_trailing, collapse_blank_text, unwrap_lines, text_helpers, csv_codec, language_of_path, query_terms, declared_names, headings)}
 
@@ -145,6 +152,6 @@ ORACLES = {
           x IN ({", ".join(f"'{k}'" for k in T.LANGUAGES)}) AS is_code, regexp_matches(path, '(?i)\\.(md|mdx|markdown)$') AS is_markdown FROM e""",
     "query_terms": f"""WITH {FILES}, a AS (SELECT file_id, regexp_replace(regexp_replace(regexp_replace(path, '[/.-]', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[{W}_]+', ' ', 'g') AS s FROM files)
         SELECT DISTINCT file_id, term FROM (SELECT file_id, unnest(string_split(lower(s), ' ')) AS term FROM a) WHERE term <> ''""",
-    "declared_names": f"WITH {FILES} SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '{NAMES}', 1)) AS name FROM files",
+    "declared_names": rf"WITH {FILES} SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?:function|const|let|var|class|interface|type|enum)\s+(\w+)', 1)) AS name FROM files",
     "headings": f"WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?m)^#{{1,6}}[ \\t]+([^\\n\\r]+)', 1) AS h FROM {DOC}) SELECT doc_id, generate_subscripts(h, 1) - 1 AS n, unnest(h) AS heading FROM a WHERE len(h) > 0",
 }
