@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -47,19 +47,45 @@ def heading_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
-def elide(docs: DataFrame, query: str) -> DataFrame:
-    """(md_id, line_no, line): only the sections whose heading holds the query; nothing of a document without such a one."""
-    hits = heading_ranges(docs).where(F.lower("heading").contains(query.lower())).groupBy("md_id").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
-    lines = numbered_lines(docs).join(hits, "md_id")
-    return lines.where(F.exists("spans", lambda s: (F.col("line_no") >= s["start_line"]) & (F.col("line_no") < s["end_line"]))).select("md_id", "line_no", "line")
+def elide(docs: DataFrame, only: Sequence[str] = (), strip: Sequence[str] = ()) -> DataFrame:
+    """(md_id, line_no, line): only the sections whose heading holds a query, or all but those. Both at once is an error; with neither, and for
+    documents without headings, all lines stay; nothing is left of a document with headings none of which holds a query to keep."""
+    only, strip = ([q.strip().lower() for q in x if q.strip()] for x in (only, strip))
+    if only and strip:
+        raise ValueError("sections to keep and sections to strip exclude each other")
+    lines = numbered_lines(docs)
+    if not only and not strip:
+        return lines.select("md_id", "line_no", "line")
+    hit = reduce(lambda a, b: a | b, [F.lower(F.trim("heading")).contains(q) for q in only or strip])
+    spans = heading_ranges(docs).groupBy("md_id").agg(F.collect_list(F.when(hit, F.struct("start_line", "end_line"))).alias("spans"))
+    inside = F.exists("spans", lambda s: (F.col("line_no") >= s["start_line"]) & (F.col("line_no") < s["end_line"]))
+    kept = F.col("spans").isNull() | (inside if only else ~inside)
+    return lines.join(spans, "md_id", "left").where(kept).select("md_id", "line_no", "line")
 
 
 def frontmatter(docs: DataFrame) -> DataFrame:
-    """(md_id, key, value): flat scalars of the block at the start."""
-    block = F.regexp_extract(F.replace("content", F.lit("\r\n"), F.lit("\n")), r"\A---\n([\s\S]*?)\n---(?:\n|\z)", 1)
-    lines = docs.select("md_id", F.explode(F.split(block, "\n")).alias("line")).where(F.col("line").rlike(r"^[A-Za-z_][\w-]*:[ \t]*\S"))
-    value = F.trim(F.regexp_extract("line", r"^[A-Za-z_][\w-]*:[ \t]*(.*)$", 1))
-    return lines.select("md_id", F.regexp_extract("line", r"^([A-Za-z_][\w-]*):", 1).alias("key"), F.regexp_replace(value, "^[\"']|[\"']$", "").alias("value"))
+    """(md_id, key, kind, value): the scalars and inline arrays of the block at the start. A block with a nested line or a line without a key
+    counts as none; of a key's lines the last holds; quotes and their escapes are taken off."""
+    block = F.regexp_extract(F.regexp_replace("content", r"\r\n?", "\n"), r"\A---\n([\s\S]*?)\n---(?:\n|\z)", 1)
+    bare = lambda x: F.regexp_replace(x, r"^[ \t]+|[ \t]+$", "")
+    counts = lambda x: (bare(x) != "") & ~bare(x).startswith("#")
+    wrong = lambda x: counts(x) & (x.rlike(r"^[ \t]") | ~x.rlike(r"^[^:]*[^:\s][^:]*:"))
+    lines = docs.select("md_id", F.split(block, "\n", -1).alias("l")).where(~F.exists("l", wrong)).select("md_id", F.posexplode("l").alias("n", "x")).where(counts(F.col("x")))
+    keyed = lines.select("md_id", "n", bare(F.regexp_extract("x", r"^([^:]*):", 1)).alias("key"), bare(F.regexp_extract("x", r"^[^:]*:(.*)$", 1)).alias("value"))
+    last = keyed.groupBy("md_id", "key").agg(F.max_by("value", "n").alias("value"))
+    v = F.col("value")
+    kind = F.when(v.isin("", "null", "~"), "null").when(v.isin("true", "false"), "boolean").when(v.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$"), "number").when(v.startswith("[") & v.endswith("]"), "array").otherwise("string")
+    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+    double = F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    single = F.replace(inner, F.lit("''"), F.lit("'"))
+    text = F.when(kind == "null", None).when((kind == "string") & (F.length(v) >= 2) & v.startswith('"') & v.endswith('"'), double).when((kind == "string") & (F.length(v) >= 2) & v.startswith("'") & v.endswith("'"), single).otherwise(v)
+    return last.select("md_id", "key", kind.alias("kind"), text.alias("value"))
+
+
+def array_items(value: Column) -> Column:
+    """The items of an inline array's text: commas within quotes don't part them."""
+    inner = F.substring(value, F.lit(2), F.length(value) - 2)
+    return F.filter(F.transform(F.regexp_extract_all(inner, F.lit(r"((?:\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^,\"'])+)"), F.lit(1)), F.trim), lambda x: x != "")
 
 
 def strip_comments(text: Column) -> Column:
@@ -90,114 +116,24 @@ def run_pipeline(docs: DataFrame, stages: list[Stage]) -> DataFrame:
     return reduce(lambda d, f: d.transform(f), stages, docs)
 
 
-# --- compaction: one document in Python, many in Arrow batches ---
-
-FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})")
-ITEM = re.compile(r"^([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(.*)$")
-
-
-def canonical(text: str) -> str:
-    """The form in which a document and its restored copy are compared: bullets, blank lines and trailing white space made equal."""
-    out, code = [], None
-    for line in text.replace("\r\n", "\n").split("\n"):
-        m = FENCE.match(line)
-        if code is None and m:
-            code = m[1]
-        elif code is not None:
-            if m and line.strip() == m[1] and m[1].startswith(code):
-                code = None
-            out.append(line)
-            continue
-        line = line.rstrip()
-        if m2 := ITEM.match(line):
-            mark = "-" if m2[2] in "-*+" else m2[2].rstrip(".)") + "."
-            line = f"{m2[1]}{mark} {m2[3]}"
-        if line or (out and out[-1]):
-            out.append(line)
-    return "\n".join(out).strip("\n")
-
-
-def compact_text(text: str) -> str:
-    """A shorter form that expand_text undoes up to canonical(): depths of headings as digits, no blank lines where a block's kind
-    implies them, dots for the depth of list items. Fences stay as they are."""
-    out, code = [], False
-    for line in canonical(text).split("\n"):
-        if FENCE.match(line):
-            code = not code
-            out.append("`" + line)
-        elif code:
-            out.append("`" + line)
-        elif m := re.match(r"^(#{1,6}) (.*)$", line):
-            out.append(f"#{len(m[1])}{m[2]}")
-        elif m := ITEM.match(line):
-            out.append(f"{'.' * len(m[1].expandtabs(4))}{'-' if m[2] == '-' else '+' + m[2][:-1] + ' '}{m[3]}")
-        else:
-            out.append("|" + line if re.match(r"^(?:[`#.|+-]|~$)", line) or (line.startswith(" ")) else line or "~")
-    return "\n".join(out)
-
-
-def expand_text(text: str) -> str:
-    out = []
-    for line in text.split("\n"):
-        if line.startswith("`"):
-            out.append(line[1:])
-        elif line == "~":
-            out.append("")
-        elif m := re.match(r"^#([1-6])(.*)$", line):
-            out.append("#" * int(m[1]) + " " + m[2])
-        elif m := re.match(r"^(\.*)(-|\+(\d+) )(.*)$", line):
-            out.append(" " * len(m[1]) + (f"- {m[4]}" if m[2] == "-" else f"{m[3]}. {m[4]}"))
-        elif line.startswith("|"):
-            out.append(line[1:])
-        else:
-            out.append(line)
-    return "\n".join(out)
-
-
-def phrase_dictionary(text: str, most: int = 50) -> tuple[str, list[tuple[str, str]]]:
-    """(text with phrases replaced by marks, entries): phrases of 5 to 2 words that occur often enough to pay for their entry,
-    longest first; none inside an accepted one. Marks that the text already holds are skipped."""
-    counts: Counter = Counter()
-    for sentence in re.split(r"[.!?\n]+", text):
-        words = sentence.split()
-        for n in (5, 4, 3, 2):
-            for i in range(len(words) - n + 1):
-                counts[" ".join(words[i : i + n])] += 1
-    accepted: list[str] = []
-    for phrase, n in sorted(((p, n) for p, n in counts.items() if n > 1), key=lambda x: (-x[0].count(" "), -(len(x[0].split()) - 1) * x[1], x[0])):
-        if len(accepted) < most and (len(phrase.split()) - 1) * n > len(phrase.split()) + 2 and not any(phrase in a for a in accepted):
-            accepted.append(phrase)
-    entries, number = [], 1
-    for phrase in sorted(accepted, key=len, reverse=True):
-        while f"§{number}§" in text:
-            number += 1
-        if text.count(phrase) > 1:
-            text = text.replace(phrase, f"§{number}§")
-            entries.append((f"§{number}§", phrase))
-            number += 1
-    return text, entries
-
-
-def restore_phrases(text: str, entries: list[tuple[str, str]]) -> str:
-    for mark, phrase in reversed(entries):
-        text = text.replace(mark, phrase)
-    return text
-
-
-def compact_documents(docs: DataFrame) -> DataFrame:
-    """(md_id, compacted, tokens_before, tokens_after, same, n_phrases): same says whether expanding gives the document back."""
-    names = ["md_id", "compacted", "tokens_before", "tokens_after", "same", "n_phrases"]
+def phrase_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (2, 3, 4, 5), least: int = 2) -> DataFrame:
+    """(key, n, gram, occurrences): phrases of some words within sentences that a document holds at least twice. All of a document is in its
+    row, so they are counted there and nothing is shuffled."""
+    names = [key, "n", "gram", "occurrences"]
+    id_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for md_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                short = compact_text(text)
-                coded, entries = phrase_dictionary(short)
-                same = canonical(expand_text(restore_phrases(coded, entries))) == canonical(text)
-                rows.append((md_id, short, len(text.split()), len(short.split()), same, len(entries)))
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    return docs.select("md_id", "content").mapInArrow(run, f"md_id {docs.schema['md_id'].dataType.simpleString()}, compacted string, tokens_before int, tokens_after int, same boolean, n_phrases int")
+            out: list[tuple] = []
+            for k, value in enumerate(batch.column(1).to_pylist()):
+                sentences = [w for s in re.split(r"[.!?\n]+", value or "") if len(w := WORD.findall(s)) > 1]
+                for n in sizes:
+                    counts = Counter(" ".join(words[i : i + n]) for words in sentences for i in range(len(words) - n + 1))
+                    out += [(k, n, gram, times) for gram, times in counts.items() if times >= least]
+            at, n, gram, times = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), pa.array(n, pa.int64()), pa.array(gram, pa.string()), pa.array(times, pa.int64())], names=names)
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {id_type}, n long, gram string, occurrences long")
+
+
+WORD = re.compile(f"[^{''.join(re.sub(r'x{([0-9a-f]+)}', lambda m: 'u' + m[1].zfill(4), T.SPACES))}]+")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import blocks as B
 from tessera.operators import diffs as D
 from tessera.operators import markdown as M
 from tessera.queries.text import DOC, TOK, docs
@@ -28,16 +29,23 @@ def locate_sections(spark, d):
 
 
 def elide_sections(spark, d):
-    return M.elide(md(spark, d), "budget").groupBy("md_id").agg(F.count("*").alias("n_lines"), F.sum(T.token_count(F.col("line"))).cast("long").alias("tokens"))
+    """Two ways: only the sections on budgets, and all but those; counted."""
+    kept, rest = M.elide(md(spark, d), only=["budget"]), M.elide(md(spark, d), strip=["budget"])
+    count = lambda x, name: x.groupBy("md_id").agg(F.count("*").alias("n_lines"), F.sum(T.token_count(F.col("line"))).cast("long").alias("tokens")).withColumn("how", F.lit(name))
+    return count(kept, "only").unionByName(count(rest, "strip"))
 
 
-def extract_limits(spark, d):
-    blocks = md(spark, d).select("md_id", F.posexplode(F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n{2,}", -1)).alias("p", "block"))
-    return blocks.select("md_id", F.col("p").cast("long").alias("n"), T.truncate_text(F.col("block"), 200).alias("block"))
+def extract_docs(spark, d):
+    return B.extract_documents(md(spark, d))
+
+
+def document_blocks(spark, d):
+    return B.document_blocks(md(spark, d))
 
 
 def frontmatter(spark, d):
-    return M.frontmatter(md(spark, d))
+    """Lists of two entries stand in one line first: a block with nested lines counts as none."""
+    return M.frontmatter(md(spark, d).withColumn("content", F.regexp_replace("content", r":\r?\n  - (\S+)\r?\n  - (\S+)", ': [$1, "$2"]')))
 
 
 def stage_whitespace(spark, d):
@@ -55,11 +63,7 @@ def stage_stats(spark, d):
 
 
 def ngram_candidates(spark, d):
-    sentence = F.explode(F.split("text", r"[.!?\n]+", -1)).alias("s")
-    words = docs(spark, d).select("doc_id", sentence).select("doc_id", T.tokens(F.col("s")).alias("w"))
-    grams = words.select("doc_id", F.explode(F.array(*[F.lit(n) for n in (2, 3, 4, 5)])).alias("n"), "w").where("size(w) >= n")
-    made = grams.select("doc_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))).alias("gram"))
-    return made.groupBy("doc_id", "n", "gram").agg(F.count("*").alias("occurrences")).where("occurrences > 1").withColumn("n", F.col("n").cast("long"))
+    return M.phrase_counts(docs(spark, d))
 
 
 def long_words(spark, d):
@@ -67,11 +71,11 @@ def long_words(spark, d):
 
 
 def compact_docs(spark, d):
-    return M.compact_documents(md(spark, d))
+    return B.compact_documents(md(spark, d)).drop("same", "line", "expected", "actual")
 
 
 def roundtrip(spark, d):
-    return M.compact_documents(md(spark, d)).select("md_id", "same")
+    return B.compact_documents(md(spark, d)).select("md_id", "same", "line", "expected", "actual")
 
 
 def diff_hunks(spark, d):
@@ -88,7 +92,7 @@ def diff_changes_only(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (heading_ranges, section_costs, locate_sections, elide_sections, extract_limits, frontmatter, stage_whitespace, stage_semantic, stage_stats, ngram_candidates, long_words, compact_docs, roundtrip, diff_hunks, diff_context, diff_changes_only)
+    for f in (heading_ranges, section_costs, locate_sections, elide_sections, extract_docs, document_blocks, frontmatter, stage_whitespace, stage_semantic, stage_stats, ngram_candidates, long_words, compact_docs, roundtrip, diff_hunks, diff_context, diff_changes_only)
 }
 
 _MD = "md AS (SELECT md_id, any_value(content) AS content FROM md_docs WHERE content IS NOT NULL GROUP BY md_id), mn AS (SELECT md_id, replace(content, chr(13) || chr(10), chr(10)) AS content FROM md)"
@@ -116,11 +120,13 @@ ORACLES = {
     "heading_ranges": f"WITH {_HEADS} SELECT md_id, start_line, depth, heading, end_line FROM rr",
     "section_costs": f"WITH {_HEADS} SELECT md_id, start_line, heading, depth, tokens FROM rr",
     "locate_sections": f"WITH {_HEADS} SELECT md_id, heading, depth, tokens FROM rr WHERE contains(lower(heading), 'budget')",
-    "elide_sections": f"WITH {_HEADS} SELECT md_id, count(*) AS n_lines, sum(len(regexp_extract_all(line, '{TOK}')))::BIGINT AS tokens FROM ll WHERE EXISTS (SELECT 1 FROM rr WHERE rr.md_id = ll.md_id AND contains(lower(heading), 'budget') AND line_no >= start_line AND line_no < end_line) GROUP BY 1",
-    "extract_limits": f"""WITH {_MD}, a AS (SELECT md_id, string_split_regex(content, '\\n{{2,}}') AS l FROM mn), b AS (SELECT md_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS x FROM a)
-        SELECT md_id, n, CASE WHEN length(x) <= 200 THEN x ELSE regexp_replace(substr(x, 1, 200), '[{T.SPACES}]+$', '') || ' ...' END AS block FROM b""",
-    "frontmatter": f"""WITH {_MD}, a AS (SELECT md_id, unnest(string_split(regexp_extract(content, '\\A---\\n([\\s\\S]*?)\\n---(?:\\n|\\z)', 1), chr(10))) AS line FROM mn), b AS (SELECT * FROM a WHERE regexp_matches(line, '^[A-Za-z_][\\w-]*:[ \\t]*\\S'))
-        SELECT md_id, regexp_extract(line, '^([A-Za-z_][\\w-]*):', 1) AS key, regexp_replace(trim(regexp_extract(line, '^[A-Za-z_][\\w-]*:[ \\t]*(.*)$', 1)), '^["'']|["'']$', '', 'g') AS value FROM b""",
+    "elide_sections": f"""WITH {_HEADS}, hd AS (SELECT DISTINCT md_id FROM rr), x AS (SELECT *, EXISTS (SELECT 1 FROM rr WHERE rr.md_id = ll.md_id AND contains(lower(heading), 'budget') AND line_no >= start_line AND line_no < end_line) AS hit, md_id IN (SELECT md_id FROM hd) AS headed FROM ll)
+        SELECT md_id, 'only' AS how, count(*) AS n_lines, sum(len(regexp_extract_all(line, '{TOK}')))::BIGINT AS tokens FROM x WHERE hit OR NOT headed GROUP BY 1 UNION ALL SELECT md_id, 'strip', count(*), sum(len(regexp_extract_all(line, '{TOK}')))::BIGINT FROM x WHERE NOT hit GROUP BY 1""",
+    "frontmatter": rf"""WITH {_MD}, a AS (SELECT md_id, string_split(regexp_extract(regexp_replace(content, ':\n  - (\S+)\n  - (\S+)', ': [\1, "\2"]', 'g'), '\A---\n([\s\S]*?)\n---(?:\n|\z)', 1), chr(10)) AS l FROM mn),
+        v AS (SELECT * FROM a WHERE len(list_filter(l, lambda x: trim(x, ' ' || chr(9)) <> '' AND NOT starts_with(trim(x, ' ' || chr(9)), '#') AND (regexp_matches(x, '^[ \t]') OR position(':' IN x) <= 1 OR trim(split_part(x, ':', 1)) = ''))) = 0),
+        b AS (SELECT md_id, generate_subscripts(l, 1) AS n, unnest(l) AS x FROM v), c AS (SELECT md_id, n, trim(split_part(x, ':', 1), ' ' || chr(9)) AS key, trim(substr(x, position(':' IN x) + 1), ' ' || chr(9)) AS val FROM b WHERE trim(x, ' ' || chr(9)) <> '' AND NOT starts_with(trim(x, ' ' || chr(9)), '#')),
+        e AS (SELECT md_id, key, arg_max(val, n) AS val FROM c GROUP BY 1, 2), k AS (SELECT *, CASE WHEN val IN ('', 'null', '~') THEN 'null' WHEN val IN ('true', 'false') THEN 'boolean' WHEN regexp_matches(val, '^-?(?:0|[1-9]\d*)(?:\.\d+)?$') THEN 'number' WHEN starts_with(val, '[') AND ends_with(val, ']') THEN 'array' ELSE 'string' END AS kind FROM e)
+        SELECT md_id, key, kind, CASE WHEN kind = 'null' THEN NULL WHEN kind = 'string' AND length(val) >= 2 AND starts_with(val, '"') AND ends_with(val, '"') THEN replace(replace(val[2:-2], '\"', '"'), '\\', '\') WHEN kind = 'string' AND length(val) >= 2 AND starts_with(val, chr(39)) AND ends_with(val, chr(39)) THEN replace(val[2:-2], chr(39) || chr(39), chr(39)) ELSE val END AS value FROM k""",
     "stage_whitespace": f"WITH {_MD} SELECT md_id, {_WS.format('content')} AS content FROM mn",
     "stage_semantic": f"WITH {_MD} SELECT md_id, {_semantic('content')} AS content FROM md",
     "stage_stats": f"WITH {_MD}, a AS (SELECT md.md_id, strlen(md.content) AS before, strlen({_semantic(_WS.format('mn.content'))}) AS after FROM md JOIN mn USING (md_id)) SELECT *, CASE WHEN before = 0 THEN 0 ELSE round(100.0 * (before - after) / before, 1) END AS saved_pct FROM a",

@@ -160,7 +160,7 @@ def _tests(source: str) -> str:
 
 
 def _lint(source: str) -> str:
-    file = "regexp_matches(text, '^\./.*\s(?:format|lint|organizeImports)\s')"
+    file = r"regexp_matches(text, '^\./.*\s(?:format|lint|organizeImports)\s')"
     return rf"""WITH {source}, a AS (SELECT *, {file} AS o FROM l), b AS (SELECT *, sum((o OR text = '')::INT) OVER w AS part_no, sum(o::INT) OVER w AS k FROM a WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
         c AS (SELECT *, first_value(o) OVER w AS lint, first_value(line_no) OVER w AS f, min(CASE WHEN contains(text, '×') THEN line_no END) OVER (PARTITION BY log_id, part_no) AS told FROM b WINDOW w AS (PARTITION BY log_id, part_no ORDER BY line_no))
         SELECT log_id, line_no, 0 AS part, CASE WHEN lint AND line_no = f THEN '[diagnostic block ' || k || '] ' || text ELSE text END AS text FROM c WHERE NOT lint OR line_no = f OR line_no = told"""
