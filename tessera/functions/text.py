@@ -43,7 +43,7 @@ def short_hash(text: Column, length: int = 4) -> Column:
 
 
 def line_hash(number: Column, line: Column, length: int = 4) -> Column:
-    return F.substring(F.sha2(F.concat(number.cast("string"), F.lit(":"), line), 256), 1, length)
+    return short_hash(F.concat(number.cast("string"), F.lit(":"), line), length)
 
 
 def strip_trailing(text: Column) -> Column:

@@ -6,6 +6,7 @@ import ast
 import hashlib
 import re
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.sizes import broadcast_if_small
 
 DEFINITION = r"\b(?:function|class|interface|type|enum|def|fn|func|struct|trait|module)[ \t*]+([A-Za-z_][A-Za-z0-9_]*)"
 WORD = r"[A-Za-z_][A-Za-z0-9_]*"
@@ -38,11 +40,11 @@ def word_lines(files: DataFrame) -> DataFrame:
 def usages(files: DataFrame, outside_definitions: bool = False) -> DataFrame:
     """(repo, name, n_lines, n_files) of names that the repository defines; lines are counted before they meet the definitions."""
     defined = definitions(files)
-    words = word_lines(files)
+    words = word_lines(files).join(broadcast_if_small(defined.select("repo", "name").distinct()), ["repo", "name"], "left_semi")  # most words are no symbol
     if outside_definitions:
         words = words.join(defined.select("file_id", "line_no", "name"), ["file_id", "line_no", "name"], "left_anti")
     counted = words.groupBy("repo", "name", "file_id").agg(F.count("*").alias("n")).groupBy("repo", "name").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_files"))
-    return counted.join(defined.select("repo", "name").distinct(), ["repo", "name"])
+    return counted
 
 
 def dependencies(files: DataFrame, most: int = 12) -> DataFrame:
@@ -52,22 +54,78 @@ def dependencies(files: DataFrame, most: int = 12) -> DataFrame:
 
 
 def naming_style(name: Column) -> Column:
-    return F.when(name.rlike("^[A-Z][A-Za-z0-9]*$"), "pascal").when(name.rlike("^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake").when(name.rlike("^[a-z]+([A-Z][a-z0-9]*)+$"), "camel").otherwise("other")
-
-
-def conventions(files: DataFrame, threshold: float = 0.7, least: int = 3) -> DataFrame:
-    """(repo, language, n_files, shares of what files do, what holds for `threshold` of them)"""
-    c = F.col("content")
-    signs = {"imports": c.rlike(r"(?m)^(import|from|use|#include|require)\b|\brequire\("), "exports": c.rlike(r"(?m)^(export|pub|public)\b|module\.exports"), "throws": c.rlike(r"\b(throw|raise|panic)\b"), "tries": c.rlike(r"\b(try|begin|rescue)\b"), "documented": c.rlike(r"(?m)^(//|#|/\*)")}
-    shares = files.select("repo", T.language_of(F.col("path")).alias("language"), *[s.cast("int").alias(k) for k, s in signs.items()]).groupBy("repo", "language").agg(F.count("*").alias("n_files"), *[F.round(F.avg(k), 4).alias(k) for k in signs])
-    held = F.array_join(F.filter(F.array(*[F.when(F.col(k) >= threshold, F.lit(k)) for k in signs]), lambda x: x.isNotNull()), ",")
-    return shares.withColumn("signals", F.when(F.col("n_files") >= least, held).otherwise(F.lit("")))
+    return F.when(name.rlike("^[a-z][a-zA-Z0-9]*$"), "camel").when(name.rlike("^[A-Z][a-zA-Z0-9]*$"), "pascal").when(name.rlike("^[a-z][a-z0-9_]*$") & name.contains("_"), "snake").otherwise("other")
 
 
 def naming(files: DataFrame) -> DataFrame:
     return definitions(files).groupBy("repo", naming_style(F.col("name")).alias("style")).agg(F.count("*").alias("n"))
 
 
+SAMPLED, LEAST_SAMPLED, THRESHOLD = 10, 3, 0.7  # fixed values: files looked at of a folder, the fewest that tell anything, the share that is a habit
+
+
+def file_habits(files: DataFrame) -> DataFrame:
+    """What each script does: counts of its import and export lines and their forms, of tries and throws, and of its outline's functions, return types
+    and naming styles."""
+    lines = lambda word: F.filter(F.split("content", "\n", -1), lambda x: x.rlike(rf"^\s*{word}\s+\S"))
+    of = lambda values, pattern: F.size(F.filter(values, lambda x: x.rlike(pattern)))
+    imports, exports = lines("import"), lines("export")
+    counted = files.select(
+        "file_id", "repo", F.size(imports).alias("imports"), of(imports, r"from\s+['\"]\.\.?/").alias("relative"), of(imports, r"\.js['\"]").alias("js"), of(imports, r"^\s*import\s+type\s+").alias("types"),
+        F.size(exports).alias("exports"), (F.size(exports) - of(exports, r"(?<![A-Za-z0-9_])default(?![A-Za-z0-9_])")).alias("named"), F.regexp_count("content", F.lit(r"(?<![A-Za-z0-9_])try\s*\{")).alias("tries"),
+        F.regexp_count("content", F.lit(r"(?<![A-Za-z0-9_])throw\s+new(?![A-Za-z0-9_])")).alias("throws"), T.is_test_path(F.col("path")).alias("test"),
+    )
+    symbols = outlines(files)
+    function = F.col("kind").isin("function", "method")
+    named = function | F.col("kind").isin("class", "interface", "type")
+    explicit = function & (F.col("signature").rlike(r"\)\s*:\s*[^=]") | F.col("signature").rlike(r"->\s*[^=]"))
+    sum_of = lambda c: F.sum(c.cast("long"))
+    style = naming_style(F.col("name"))
+    shape = symbols.groupBy("file_id").agg(
+        sum_of(function).alias("functions"), F.sum(F.when(function, F.greatest(F.lit(1), F.col("end_line") - F.col("start_line") + 1)).otherwise(0)).alias("lines"), sum_of(explicit).alias("returns"),
+        sum_of(explicit & F.col("signature").rlike(r"(?<![A-Za-z0-9_])void(?![A-Za-z0-9_])")).alias("voids"), sum_of(explicit & F.col("signature").rlike(r"(?<![A-Za-z0-9_])Promise\s*<")).alias("promises"), *[sum_of(named & (style == k)).alias(k) for k in STYLES],
+    )
+    return counted.join(shape, "file_id", "left").fillna(0)
+
+
+STYLES = {"camel": "camelCase", "pascal": "PascalCase", "snake": "snake_case", "other": "mixed"}
+
+
+def conventions(files: DataFrame, sampled: int = SAMPLED, threshold: float = THRESHOLD) -> DataFrame:
+    """(repo, n_files, key, detail, confidence): habits of the largest scripts of each repository. A habit needs three files that could show it and
+    the share of those that do. Repositories with fewer scripts have none."""
+    scripts = files.where(T.extension(F.col("path")).isin("ts", "tsx", "js", "jsx"))
+    sized = scripts.withColumn("_size", F.octet_length("content"))
+    largest = sized.withColumn("_n", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("_size"), "file_id"))).where(F.col("_n") <= max(LEAST_SAMPLED, sampled)).drop("_n", "_size")
+    h = file_habits(largest)
+    ratio = lambda part, total: F.when(total > 0, part / total).otherwise(0.0)
+    count = lambda test: F.sum(F.coalesce(test, F.lit(False)).cast("long"))
+
+    def habit(key: str, detail, able, does):
+        share = ratio(count(able & does), count(able))
+        return F.when((count(able) >= LEAST_SAMPLED) & (share >= threshold), F.struct(F.lit(key).alias("key"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"), share.alias("confidence")))
+
+    c = F.col
+    tries, returns, imports, exports = c("tries") + c("throws") >= 2, c("returns") >= 3, c("imports") >= 2, c("exports") >= 2
+    promise = habit("returns", "Promise-returning public functions are dominant", returns, ratio(c("promises"), c("returns")) >= threshold)
+    total = c("camel") + c("pascal") + c("snake") + c("other")
+    ordered = F.array_sort(F.array(*[F.struct((-c(k)).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(STYLES)]))
+    own = F.when((total >= 4) & (ratio(F.greatest(*STYLES), total) >= threshold), ordered[0]["k"])
+    styles = [count(own == k) for k in STYLES]
+    able = sum(styles[1:], styles[0])
+    best = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(label).alias("label")) for i, (n, label) in enumerate(zip(styles, STYLES.values()))]))[0]
+    naming_ = F.when((able >= LEAST_SAMPLED) & (-best["n"] / able >= threshold), F.struct(F.lit("naming").alias("key"), F.concat(best["label"], F.lit(" identifiers dominate")).alias("detail"), (-best["n"] / able).alias("confidence")))
+    with_functions = count(c("functions") > 0)
+    style = F.when((F.sum("functions") >= 5) & (with_functions >= LEAST_SAMPLED) & (with_functions / F.count("*") >= threshold), F.struct(F.lit("style").alias("key"), F.concat(F.lit("avg "), F.floor(F.sum("lines") / F.sum("functions") + 0.5).cast("string"), F.lit(" lines/function")).alias("detail"), (with_functions / F.count("*")).alias("confidence")))
+    found = [
+        habit("errors", "try/catch style dominant, limited bare throws", tries, (ratio(c("tries"), c("tries") + c("throws")) >= threshold) & (c("tries") > 0)), F.coalesce(promise, habit("returns", "non-void return signatures dominate", returns, ratio(c("returns") - c("voids"), c("returns")) >= threshold)),
+        naming_, habit("imports", "relative imports are dominant", imports, ratio(c("relative"), c("imports")) >= threshold), habit("imports", ".js import extensions are consistently used", imports, ratio(c("js"), c("imports")) >= threshold),
+        habit("imports", "`import type` separation is common", imports, ratio(c("types"), c("imports")) >= threshold), style, habit("exports", "named exports dominate", exports, ratio(c("named"), c("exports")) >= threshold), habit("tests", "test/spec file layout is common nearby", F.lit(True), c("test")),
+    ]
+    grouped = h.groupBy("repo").agg(F.count("*").alias("n_files"), F.filter(F.array(*found), lambda x: x.isNotNull()).alias("found")).where(F.col("n_files") >= LEAST_SAMPLED)
+    return grouped.select("repo", "n_files", F.explode("found").alias("f")).select("repo", "n_files", "f.key", "f.detail", F.round("f.confidence", 4).alias("confidence"))
+
+
 def changed_symbols(before: DataFrame, after: DataFrame) -> DataFrame:
     """(file_id, name, change): definitions whose line differs between two versions of the same files."""
 
@@ -101,22 +159,38 @@ def insert_after_imports(files: DataFrame, statement: str) -> DataFrame:
 # --- outlines ---
 
 
-def closing_line(text: str, at: int) -> int:
-    """The offset after the block or statement that begins at `at`: its braces, or its line."""
-    opening = text.find("{", at)
-    line_end = text.find("\n", at)
-    line_end = len(text) if line_end < 0 else line_end
-    if opening < 0 or (";" in text[at:line_end] and opening > line_end):
-        return line_end
-    depth = 0
-    for i in range(opening, len(text)):
-        if text[i] == "{":
-            depth += 1
-        elif text[i] == "}":
-            depth -= 1
-            if not depth:
-                return i + 1
-    return len(text)
+QUOTED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`?", re.S)
+CHARACTER = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*\"?|'(?:\\.[^'\n]{0,8}|[^'\\\n])'", re.S)
+
+
+def blanked(text: str, language: str) -> str:
+    """A text of equal length in which comments and literals are spaces."""
+    if language == "ruby":
+        return re.sub(r"#[^\n]*|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    return (CHARACTER if language == "rust" else QUOTED).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+class Braces:
+    """Which brace closes which, in one pass over a text without literals."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.opens, self.closes, stack = text, [], {}, []
+        for m in re.finditer("[{}]", text):
+            if m[0] == "{":
+                stack.append(m.start())
+                self.opens.append(m.start())
+            elif stack:
+                self.closes[stack.pop()] = m.end()
+
+    def end(self, at: int) -> int:
+        """The offset after the block or statement that begins at `at`: its braces, or its line."""
+        k = bisect_left(self.opens, at)
+        opening = self.opens[k] if k < len(self.opens) else -1
+        line_end = self.text.find("\n", at)
+        line_end = len(self.text) if line_end < 0 else line_end
+        if opening < 0 or ";" in self.text[at : min(opening, line_end)] or (opening > line_end and ";" in self.text[at:opening]):
+            return line_end
+        return self.closes.get(opening, len(self.text))
 
 
 def outline(text: str, language: str) -> list[tuple[str, str, int, int, int]]:
@@ -142,15 +216,15 @@ def outline(text: str, language: str) -> list[tuple[str, str, int, int, int]]:
         except (SyntaxError, ValueError, RecursionError):
             pass
     kinds = {"def": "function", "fn": "function", "func": "function", "function*": "function", "impl": "class", "struct": "class", "trait": "interface", "module": "module"}
-    return [
-        (kinds.get(m[2], m[2]), m[3], len(m[1].expandtabs(4)) // 2, text.count("\n", 0, m.start(2)) + 1, text.count("\n", 0, closing_line(text, m.end())) + 1)
-        for m in BRACED.finditer(text)
-    ]
+    bare = blanked(text, language)
+    braces, breaks = Braces(bare), [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(breaks, at) + 1
+    return [(kinds.get(m[2], m[2]), m[3], len(m[1].expandtabs(4)) // 2, line(m.start(2)), line(braces.end(m.end()))) for m in BRACED.finditer(bare)]
 
 
 def outlines(files: DataFrame, length: int = 4) -> DataFrame:
-    """(file_id, ordinal, kind, name, level, start_line, end_line, hash)"""
-    names = ["file_id", "ordinal", "kind", "name", "level", "start_line", "end_line", "hash"]
+    """(file_id, ordinal, kind, name, level, start_line, end_line, hash, signature); a signature is a declaration up to its body."""
+    names = ["file_id", "ordinal", "kind", "name", "level", "start_line", "end_line", "hash", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +232,14 @@ def outlines(files: DataFrame, length: int = 4) -> DataFrame:
             for file_id, language, text in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = text.split("\n")
                 for k, (kind, name, level, a, b) in enumerate(outline(text, language or "")):
-                    rows.append((file_id, k, kind, name, level, a, b, hashlib.sha256("\n".join(lines[a - 1 : b]).strip().encode()).hexdigest()[:length]))
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                    own = "\n".join(lines[a - 1 : b]).strip()
+                    signature = " ".join(re.split(r"\{|=>|;|:\s*\n" if language != "python" else r":\s*(?:\n|\Z)", own, maxsplit=1)[0].split())
+                    rows.append((file_id, k, kind, name, level, a, b, hashlib.sha256(own.encode()).hexdigest()[:length], signature))
+            columns = list(zip(*rows)) or [()] * 9
+            kinds = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    schema = f"file_id {files.schema['file_id'].dataType.simpleString()}, ordinal int, kind string, name string, level int, start_line int, end_line int, hash string"
+    schema = f"file_id {files.schema['file_id'].dataType.simpleString()}, ordinal int, kind string, name string, level int, start_line int, end_line int, hash string, signature string"
     return files.select("file_id", T.language_of(F.col("path")).alias("language"), "content").mapInArrow(run, schema)
 
 

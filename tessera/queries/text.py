@@ -134,7 +134,7 @@ ORACLES = {
     "token_stats": f"SELECT doc_id, len(regexp_extract_all(text, '{TOK}')) AS tokens, strlen(text) AS bytes, len({_LINES.format('text')}) AS lines, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS size_estimate FROM {DOC}",
     "estimate_tokens": f"SELECT doc_id, greatest(1, coalesce(list_sum(list_transform(regexp_extract_all(text, '{TOK}'), lambda w: CASE WHEN length(w) <= 7 THEN 1 WHEN length(w) <= 10 THEN 2 ELSE CAST(ceil(length(w) / 5.0) AS BIGINT) END)), 0))::BIGINT AS estimate FROM {DOC}",
     "short_hash": f"SELECT doc_id, substr(sha256({_trim('replace(text, chr(13) || chr(10), chr(10))')}), 1, 4) AS hash FROM {DOC}",
-    "line_hashes": f"WITH a AS (SELECT doc_id, {_LINES.format('''CASE WHEN right(text, 1) = chr(10) THEN text[:-2] ELSE text END''')} AS l FROM {DOC}), b AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM a) SELECT doc_id, n AS line_no, substr(sha256(n || ':' || line), 1, 4) AS hash FROM b",
+    "line_hashes": f"WITH a AS (SELECT doc_id, {_LINES.format('''CASE WHEN right(text, 1) = chr(10) THEN text[:-2] ELSE text END''')} AS l FROM {DOC}), b AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM a) SELECT doc_id, n AS line_no, substr(sha256({_trim("replace(n || ':' || line, chr(13) || chr(10), chr(10))")}), 1, 4) AS hash FROM b",
     "normalize_punct": f"SELECT doc_id, {_punct('text')} AS text FROM {DOC}",
     "strip_trailing": f"SELECT doc_id, regexp_replace(text, '(?m)[ \\t]+$', '', 'g') AS text FROM {DOC}",
     "collapse_blank_text": f"SELECT doc_id, regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g') AS text FROM {DOC}",
