@@ -65,7 +65,7 @@ def focus(files: DataFrame, requests: DataFrame, max_tokens: int = 2000) -> Data
     """(request, part, n, text): the symbol's head, its body within its share of the budget, up to 20 lines elsewhere that mention it, the first 12
     names it calls with their first definition, types of its signature with theirs, tests of its file with their mentions. A request whose
     symbol isn't there has one row that says so."""
-    at = located(files, requests)
+    at = located(files, requests).persist()  # a row a request, read by every part
     part = lambda df, name, n, text: df.select("request", F.lit(name).alias("part"), n.cast("int").alias("n"), text.alias("text"))
     head = part(at, "head", F.lit(1), F.concat("name", F.lit(" ("), "kind", F.lit(", "), "path", F.lit(":"), "start_line", F.lit("-"), "end_line", F.lit(", hash:"), "hash", F.lit(")")))
     body = part(at, "body", F.lit(1), cut_tokens(F.col("body"), F.lit(max(LEAST_BODY, int(max_tokens * BODY_SHARE)))))

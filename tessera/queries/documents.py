@@ -79,20 +79,24 @@ def roundtrip(spark, d):
 
 
 def diff_hunks(spark, d):
-    return D.hunks(D.diff_lines(docs(spark, d))).withColumns({"block": F.col("block").cast("long"), "hunk": F.col("hunk").cast("long")})
+    return D.hunks(D.diff_lines(docs(spark, d)))
 
 
 def diff_context(spark, d):
-    return D.context(D.diff_lines(docs(spark, d))).withColumns({"block": F.col("block").cast("long"), "line_no": F.col("line_no").cast("long")})
+    return D.compact(D.diff_lines(docs(spark, d)))
+
+
+def diff_no_context(spark, d):
+    return D.compact(D.diff_lines(docs(spark, d)), around=0, headers=False)
 
 
 def diff_changes_only(spark, d):
-    return D.changes_only(D.diff_lines(docs(spark, d))).withColumns({"block": F.col("block").cast("long"), "line_no": F.col("line_no").cast("long")})
+    return D.compact(D.diff_lines(docs(spark, d)), changes_only=True)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (heading_ranges, section_costs, locate_sections, elide_sections, extract_docs, document_blocks, frontmatter, stage_whitespace, stage_semantic, stage_stats, ngram_candidates, long_words, compact_docs, roundtrip, diff_hunks, diff_context, diff_changes_only)
+    for f in (heading_ranges, section_costs, locate_sections, elide_sections, extract_docs, document_blocks, frontmatter, stage_whitespace, stage_semantic, stage_stats, ngram_candidates, long_words, compact_docs, roundtrip, diff_hunks, diff_context, diff_no_context, diff_changes_only)
 }
 
 _MD = "md AS (SELECT md_id, any_value(content) AS content FROM md_docs WHERE content IS NOT NULL GROUP BY md_id), mn AS (SELECT md_id, replace(content, chr(13) || chr(10), chr(10)) AS content FROM md)"
@@ -114,7 +118,17 @@ def _semantic(e: str) -> str:
 
 _DIFF = f"""a AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM {DOC} AND contains(lower(text), '```diff')), b AS (SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM a),
     c AS (SELECT *, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY line_no)::BIGINT AS block FROM b), e AS (SELECT *, first_value(line) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS opener FROM c),
-    dl AS (SELECT doc_id, line_no, block, line, (starts_with(line, '+') AND NOT starts_with(line, '+++')) AS add, (starts_with(line, '-') AND NOT starts_with(line, '---')) AS del FROM e WHERE block % 2 = 1 AND NOT fence AND starts_with(lower(opener), '```diff'))"""
+    dl AS (SELECT doc_id, line_no, block, line, sum(starts_with(line, 'diff --git ')::INT) OVER (PARTITION BY doc_id, block ORDER BY line_no)::BIGINT AS file_no FROM e WHERE block % 2 = 1 AND NOT fence AND starts_with(lower(opener), '```diff')),
+    pl AS (SELECT *, starts_with(line, '@@ ') AS opens, sum(starts_with(line, '@@ ')::INT) OVER (PARTITION BY doc_id, block, file_no ORDER BY line_no)::BIGINT AS hunk, starts_with(line, '+') OR starts_with(line, '-') OR starts_with(line, chr(92) || ' ') AS change FROM dl),
+    pn AS (SELECT doc_id, block, file_no, arg_min(line[5:], line_no) FILTER (starts_with(line, '+++ ')) AS nw, arg_min(line[5:], line_no) FILTER (starts_with(line, '--- ')) AS od, arg_min(coalesce(regexp_split_to_array(trim(line), '\\s+')[4], ''), line_no) FILTER (starts_with(line, 'diff --git ')) AS gt, min(line_no) AS f FROM pl WHERE hunk = 0 GROUP BY 1, 2, 3),
+    pt AS (SELECT doc_id, block, file_no, f, regexp_replace(CASE WHEN nw IS NOT NULL AND nw NOT IN ('', '/dev/null') THEN nw WHEN od IS NOT NULL AND od NOT IN ('', '/dev/null') THEN od WHEN gt <> '' THEN gt END, '^[ab]/', '') AS path FROM pn),
+    nr AS (SELECT *, max(change::INT) OVER (PARTITION BY doc_id, block, file_no, hunk ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM pl WHERE hunk > 0 AND NOT opens)"""
+
+
+def _edges(rows: str) -> str:
+    """Rows of a rendered diff without blank lines at the edges of a file."""
+    return f"{_DIFF}, mk AS ({rows}), eg AS (SELECT *, min(CASE WHEN line <> '' THEN (line_no, part) END) OVER w AS a, max(CASE WHEN line <> '' THEN (line_no, part) END) OVER w AS b FROM mk WINDOW w AS (PARTITION BY doc_id, block, file_no)) SELECT doc_id, block, line_no, part, line FROM eg WHERE (line_no, part) >= a AND (line_no, part) <= b"
+
 
 ORACLES = {
     "heading_ranges": f"WITH {_HEADS} SELECT md_id, start_line, depth, heading, end_line FROM rr",
@@ -133,7 +147,8 @@ ORACLES = {
     "ngram_candidates": f"""WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?\\n]+')) AS s FROM {DOC}), w AS (SELECT doc_id, regexp_extract_all(s, '{TOK}') AS w FROM s), n AS (SELECT doc_id, w, unnest([2, 3, 4, 5]) AS n FROM w),
         g AS (SELECT doc_id, n, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS gram FROM n WHERE len(w) >= n) SELECT doc_id, n::BIGINT AS n, gram, count(*) AS occurrences FROM g GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "long_words": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9@._/-]{{10,}}')) AS word FROM {DOC}) GROUP BY 1, 2",
-    "diff_hunks": f"WITH {_DIFF}, k AS (SELECT *, sum(starts_with(line, '@@ ')::INT) OVER (PARTITION BY doc_id, block ORDER BY line_no)::BIGINT AS hunk FROM dl) SELECT doc_id, block, hunk, arg_min(trim(regexp_extract(line, '^@@[^@]*@@(.*)$', 1)), line_no) AS label, count(*) FILTER (add) AS added, count(*) FILTER (del) AS removed FROM k WHERE hunk > 0 GROUP BY 1, 2, 3",
-    "diff_context": f"WITH {_DIFF}, k AS (SELECT *, max((add OR del)::INT) OVER (PARTITION BY doc_id, block ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM dl) SELECT doc_id, block, line_no, line FROM k WHERE near = 1 OR starts_with(line, '@@ ')",
-    "diff_changes_only": f"WITH {_DIFF} SELECT doc_id, block, line_no, line FROM dl WHERE add OR del",
+    "diff_hunks": rf"WITH {_DIFF} SELECT doc_id, block, file_no, hunk, any_value(path) AS path, arg_min(trim(regexp_extract(line, '^@@\s+[-+,\d\s]+@@\s*(.*)$', 1)), line_no) AS label, count(*) FILTER (NOT opens AND starts_with(line, '+')) AS added, count(*) FILTER (NOT opens AND starts_with(line, '-')) AS removed FROM pl LEFT JOIN pt USING (doc_id, block, file_no) WHERE hunk > 0 GROUP BY 1, 2, 3, 4",
+    "diff_context": "WITH " + _edges("SELECT doc_id, block, file_no, line_no, 1 AS part, line FROM nr WHERE near = 1 UNION ALL SELECT doc_id, block, file_no, line_no, 1, line FROM pl WHERE opens OR (hunk = 0 AND NOT regexp_matches(line, '^(diff --git |index |--- |\\+\\+\\+ )')) UNION ALL SELECT doc_id, block, file_no, f, 0, '=== ' || path FROM pt WHERE path IS NOT NULL"),
+    "diff_changes_only": "WITH " + _edges("SELECT doc_id, block, file_no, line_no, 1 AS part, line FROM pl WHERE hunk > 0 AND NOT opens AND change UNION ALL SELECT doc_id, block, file_no, line_no, 1, '@@ ' || trim(regexp_extract(line, '^@@\\s+[-+,\\d\\s]+@@\\s*(.*)$', 1)) FROM pl WHERE opens AND trim(regexp_extract(line, '^@@\\s+[-+,\\d\\s]+@@\\s*(.*)$', 1)) <> '' UNION ALL SELECT doc_id, block, file_no, f, 0, '--- ' || path FROM pt WHERE path IS NOT NULL"),
+    "diff_no_context": "WITH " + _edges("SELECT doc_id, block, file_no, line_no, 1 AS part, line FROM pl WHERE hunk = 0 OR opens OR NOT starts_with(line, ' ')"),
 }
