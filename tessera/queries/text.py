@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import tools as O
+from tessera.sources import files as S
 from tessera.sources.tables import table
 
 W = T.SPACES
@@ -109,7 +111,46 @@ def headings(spark, d):
 
 NAMES = r"(?:export\s+)?(?:function|const|let|var|class|interface|type|enum)\s+([A-Za-z0-9_]+)"
 
-QUERIES = {f.__name__: f for f in (token_stats, estimate_tokens, short_hash, line_hashes, normalize_punct, strip_trailing, collapse_blank_text, unwrap_lines, text_helpers, csv_codec, language_of_path, query_terms, declared_names, headings)}
+def line_tools(spark, d):
+    """Lines, literal replacement and edges, counted."""
+    c = F.col("text")
+    lines = O.split_lines(c)
+    return docs(spark, d).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(O.trim_edges(lines)).cast("long").alias("n_inner"), F.length(O.replace_all(c, F.lit("the "), F.lit("a "))).cast("long").alias("n_replaced"), (O.replace_all(c, F.lit(""), F.lit("x")) == c).alias("same"))
+
+
+def file_kinds(spark, d):
+    p = F.col("path")
+    return files(spark, d).select("file_id", O.is_code_file(p).alias("is_code"), O.is_markdown_file(p).alias("is_markdown"))
+
+
+def return_types(spark, d):
+    """Return types that the first declaration of each file states."""
+    signature = F.regexp_extract(F.replace("content", F.lit("\r"), F.lit("")), r"(?m)^[^\n]*\b(?:function|def|fn|func)\b[^\n]*$", 0)
+    return files(spark, d).where(signature != "").select("file_id", O.explicit_return(signature).alias("r")).select("file_id", "r.*")
+
+
+REPLIES = ("ALLOW", " allow ", "REWRITE: outline(file=a/b.ts)", "REWRITE: read(file=\"a b\", maxTokens=500, file='c')", "REWRITE: rank()", "no idea")
+
+
+def judge_replies(spark, d):
+    """Replies made from the documents' numbers, as a judge could give them."""
+    reply = F.element_at(F.array(*[F.lit(x) for x in REPLIES]), (F.pmod("doc_id", F.lit(len(REPLIES))) + 1).cast("int"))
+    return docs(spark, d).groupBy(reply.alias("reply")).agg(F.count("*").alias("n")).select("reply", "n", O.parse_reply(F.col("reply")).alias("r")).select("reply", "n", "r.outcome", "r.tool", F.array_join(F.array_sort(F.transform(F.map_entries("r.args"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("args"))
+
+
+def tree_entries(spark, d):
+    return S.tree_entries(files(spark, d))
+
+
+def tree_totals(spark, d):
+    return S.tree_totals(S.tree_entries(files(spark, d)))
+
+
+def repository_tools(spark, d):
+    return S.detect_tools(files(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (token_stats, estimate_tokens, short_hash, line_hashes, normalize_punct, strip_trailing, collapse_blank_text, unwrap_lines, text_helpers, csv_codec, language_of_path, query_terms, declared_names, headings, line_tools, file_kinds, return_types, judge_replies, tree_entries, tree_totals, repository_tools)}
 
 
 def _punct(expression: str) -> str:
@@ -154,4 +195,18 @@ ORACLES = {
         SELECT DISTINCT file_id, term FROM (SELECT file_id, unnest(string_split(lower(s), ' ')) AS term FROM a) WHERE term <> ''""",
     "declared_names": rf"WITH {FILES} SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?:function|const|let|var|class|interface|type|enum)\s+(\w+)', 1)) AS name FROM files",
     "headings": f"WITH a AS (SELECT doc_id, regexp_extract_all(text, '(?m)^#{{1,6}}[ \\t]+([^\\n\\r]+)', 1) AS h FROM {DOC}) SELECT doc_id, generate_subscripts(h, 1) - 1 AS n, unnest(h) AS heading FROM a WHERE len(h) > 0",
+    "line_tools": f"""WITH a AS (SELECT *, list_transform(string_split_regex(text, '\r?\n'), lambda x: regexp_replace(x, '[ \t]+$', '')) AS l FROM {DOC}), b AS (SELECT *, list_max(list_transform(l, lambda x, i: CASE WHEN x <> '' THEN i ELSE 0 END)) AS z, list_min(list_filter(list_transform(l, lambda x, i: CASE WHEN x <> '' THEN i END), lambda x: x IS NOT NULL)) AS a FROM a)
+        SELECT doc_id, z AS n_lines, CASE WHEN a IS NULL THEN 0 ELSE z - a + 1 END AS n_inner, length(replace(text, 'the ', 'a ')) AS n_replaced, true AS same FROM b""",
+    "file_kinds": rf"WITH {FILES} SELECT file_id, regexp_matches(path, '\.(ts|js|tsx|jsx|py|rs|go|java|c|cpp|rb|swift|kt|sh|yaml|yml|json|toml|css|scss)$') AS is_code, regexp_matches(path, '\.(md|mdx|markdown)$') AS is_markdown FROM files",
+    "return_types": rf"""WITH {FILES}, a AS (SELECT file_id, regexp_extract(replace(content, chr(13), ''), '(?m)^[^\n]*\b(?:function|def|fn|func)\b[^\n]*$', 0) AS s FROM files), b AS (SELECT *, regexp_matches(s, '\)\s*:\s*[^=]') OR regexp_matches(s, '->\s*[^=]') AS explicit FROM a WHERE s <> '')
+        SELECT file_id, explicit, explicit AND regexp_matches(s, '\bvoid\b') AS is_void, explicit AND regexp_matches(s, '\bPromise\s*<') AS is_promise FROM b""",
+    "judge_replies": f"""WITH v(k, reply, outcome, tool, args) AS (VALUES (0, 'ALLOW', 'allow', NULL, NULL), (1, ' allow ', 'allow', NULL, NULL), (2, 'REWRITE: outline(file=a/b.ts)', 'rewrite', 'outline', 'file=a/b.ts'), (3, 'REWRITE: read(file="a b", maxTokens=500, file=''c'')', 'rewrite', 'read', 'file=c;maxTokens=500'), (4, 'REWRITE: rank()', 'rewrite', 'rank', ''), (5, 'no idea', 'allow', NULL, NULL))
+        SELECT reply, count(*) AS n, outcome, tool, args FROM {DOC.split()[0]} JOIN v ON doc_id % 6 = k WHERE text IS NOT NULL GROUP BY ALL""",
+    "tree_entries": rf"""WITH {FILES}, p AS (SELECT repo, string_split(regexp_replace(path, '^\./', ''), '/') AS p, content FROM files), s AS (SELECT repo, p, len(regexp_extract_all(content, '{TOK}')) AS tokens, strlen(content) AS bytes, len(string_split(content, chr(10))) AS lines FROM p
+        WHERE len(p) <= 4 AND len(list_filter(p, lambda x: starts_with(x, '.') OR x IN ('node_modules', '.git', 'dist', 'coverage', '.next', '.cache'))) = 0), f AS (SELECT repo, p[:n] AS p, tokens FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS n FROM s))
+        SELECT repo, array_to_string(p, '/') AS path, p[-1] AS name, false AS is_folder, len(p) - 1 AS level, tokens, bytes, lines FROM s UNION ALL SELECT repo, array_to_string(p, '/'), p[-1], true, len(p) - 1, sum(tokens)::BIGINT, NULL, NULL FROM f GROUP BY repo, p""",
+    "tree_totals": rf"""WITH {FILES}, s AS (SELECT repo, string_split(regexp_replace(path, '^\./', ''), '/') AS p, len(regexp_extract_all(content, '{TOK}')) AS tokens FROM files) SELECT repo, count(*) AS n_files, sum(tokens)::BIGINT AS tokens FROM s
+        WHERE len(p) <= 4 AND len(list_filter(p, lambda x: starts_with(x, '.') OR x IN ('node_modules', '.git', 'dist', 'coverage', '.next', '.cache'))) = 0 GROUP BY 1""",
+    "repository_tools": rf"""WITH {FILES}, p AS (SELECT repo, regexp_replace(path, '^\./', '') AS p FROM files), h AS (SELECT repo, bool_or(p = 'package.json') AS npm, bool_or(p = 'bun.lock') AS bun, bool_or(p IN ('pytest.ini', 'pyproject.toml')) AS py, bool_or(p = 'Cargo.toml') AS rs, bool_or(p = 'go.mod') AS go, bool_or(p = 'tsconfig.json') AS ts, bool_or(p = 'pyproject.toml') AS pp FROM p GROUP BY 1)
+        SELECT repo, CASE WHEN bun THEN 'bun' WHEN npm THEN 'npm' WHEN py THEN 'pytest' WHEN rs THEN 'cargo' WHEN go THEN 'go' END AS test_tool, CASE WHEN ts THEN 'tsc' WHEN pp THEN 'mypy' END AS type_tool FROM h""",
 }
