@@ -33,6 +33,12 @@ def incoming_edges(spark, d):
     return G.incoming(resolved(spark, d))
 
 
+def expand_imports(spark, d):
+    """From the first file of each repository two steps along imports."""
+    first = files(spark, d).groupBy("repo").agg(F.min("file_id").alias("node")).select("node", F.lit(100.0).alias("score"), F.lit("high").alias("priority"))
+    return G.expand_candidates(first, resolved(spark, d), 2)
+
+
 def tree_rollup(spark, d):
     return G.tree_rollup(files(spark, d))
 
@@ -122,7 +128,7 @@ def verify_changes(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (outgoing_edges, resolve_specifiers, incoming_edges, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, symbol_callers, rename_refs, insert_dry_run, outline_symbols, edited_files, scoped_rename, focus, verify_changes)
+    for f in (outgoing_edges, resolve_specifiers, incoming_edges, expand_imports, tree_rollup, symbol_definitions, symbol_usages, callers_outside_body, dependencies, tests_for_file, conventions, naming_styles, changed_symbols, changed_outlines, symbol_callers, rename_refs, insert_dry_run, outline_symbols, edited_files, scoped_rename, focus, verify_changes)
 }
 
 
@@ -140,6 +146,9 @@ ORACLES = {
     "outgoing_edges": f"WITH {FILES}, {IMPORTED} SELECT file_id, specifier FROM ed",
     "resolve_specifiers": f"WITH {FILES}, {RESOLVED} SELECT file_id, specifier, resolved FROM re",
     "incoming_edges": f"WITH {FILES}, {RESOLVED} SELECT DISTINCT resolved AS file_id, file_id AS importer FROM re WHERE resolved <> file_id",
+    "expand_imports": f"""WITH {FILES}, {RESOLVED}, s AS (SELECT min(file_id) AS node FROM files GROUP BY repo), e AS (SELECT DISTINCT file_id, resolved FROM re WHERE resolved IS NOT NULL), a AS (SELECT DISTINCT resolved AS node FROM e WHERE file_id IN (SELECT node FROM s)),
+        b AS (SELECT DISTINCT resolved AS node FROM e WHERE file_id IN (SELECT node FROM a) AND file_id NOT IN (SELECT node FROM s)) SELECT node, CASE WHEN node IN (SELECT node FROM s) THEN 100.0 WHEN node IN (SELECT node FROM a) THEN 50.0 ELSE 25.0 END::DOUBLE AS score, CASE WHEN node IN (SELECT node FROM s) THEN 'high' ELSE 'low' END AS priority
+        FROM (SELECT node FROM s UNION SELECT node FROM a UNION SELECT node FROM b)""",
     "tree_rollup": f"""WITH {FILES}, p AS (SELECT repo, string_split(regexp_replace(path, '^\\./', ''), '/') AS parts, len(regexp_extract_all(content, '{TOK}')) AS tokens FROM files), l AS (SELECT *, unnest(generate_series(0, least(len(parts) - 1, 3))) AS level FROM p)
         SELECT repo, array_to_string(parts[:level], '/') AS prefix, level, count(*) AS n_files, sum(tokens)::BIGINT AS tokens FROM l GROUP BY 1, 2, 3""",
     "symbol_definitions": f"WITH {_DEFS} SELECT file_id, line_no, name FROM df",
