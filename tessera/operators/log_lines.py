@@ -8,12 +8,11 @@ small table of blocks is ever ordered per log.
 from __future__ import annotations
 
 import json
-import marshal
-import os
 import re
-import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import chain, islice
 
 import pyarrow as pa
@@ -21,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.tables import ensure_checkpoint_dir
 
 BLOCK = 8192
 TOGETHER = 4096  # blocks whose sums one task adds up
-HELD = 50_000
+WHOLE_LINES = 200_000  # lines of a log that one task folds in memory; longer logs are folded as tables, with the same result
 
 # Patterns of the rules. Word ends are those of ASCII words.
 COLOUR = r"\x1B\[[0-9;]*[a-zA-Z]|\x1B\][^\x07]*\x07|\r"  # a carriage return in a line of a table is a lone one or ends the line
@@ -83,18 +83,20 @@ def runs_in_order(lines: DataFrame) -> DataFrame:
     return keyed.groupBy("log_id", "_b", "_k").agg(F.min("key").alias("key"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("n_lines").alias("n_lines"), F.min_by("first_text", "first_line").alias("first_text"), F.max_by("last_text", "last_line").alias("last_text")).drop("_b", "_k")
 
 
-def block_sums(lines: DataFrame, flag: Column) -> DataFrame:
-    """`lines` with `_count`: how many lines of the log up to and with this one have the flag. Counted in blocks, then over groups of blocks,
-    then over the groups, so that no task holds a log's lines or blocks."""
+def block_sums(lines: DataFrame, **flags: Column) -> DataFrame:
+    """`lines` with a column a flag: how many lines of the log up to and with this one have it. Counted in blocks, then over groups of blocks, then over
+    the groups, so that no task holds a log's lines or blocks."""
     own = Window.partitionBy("log_id", "block").orderBy("line_no")
-    marked = lines.withColumn("_flag", flag.cast("long"))
-    group = F.floor(F.col("block") / TOGETHER)
-    sums = marked.groupBy("log_id", "block").agg(F.sum("_flag").alias("_n")).withColumn("_group", group)
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    groups = sums.groupBy("log_id", "_group").agg(F.sum("_n").alias("_g")).withColumn("_far", F.coalesce(F.sum("_g").over(before("log_id", "_group")), F.lit(0))).drop("_g")
-    offsets = sums.withColumn("_near", F.coalesce(F.sum("_n").over(before("log_id", "_group", "block")), F.lit(0))).join(groups, ["log_id", "_group"])
-    offsets = offsets.select("log_id", "block", (F.col("_near") + F.col("_far")).alias("_offset"))
-    return marked.join(offsets, ["log_id", "block"]).withColumn("_count", F.sum("_flag").over(own) + F.col("_offset")).drop("_offset", "_flag")
+    marked = lines.withColumns({f"_f_{k}": v.cast("long") for k, v in flags.items()})
+    group = F.floor(F.col("block") / TOGETHER)
+    sums = marked.groupBy("log_id", "block").agg(*[F.sum(f"_f_{k}").alias(f"_n_{k}") for k in flags]).withColumn("_group", group)
+    groups = sums.groupBy("log_id", "_group").agg(*[F.sum(f"_n_{k}").alias(f"_g_{k}") for k in flags])
+    groups = groups.select("log_id", "_group", *[F.coalesce(F.sum(f"_g_{k}").over(before("log_id", "_group")), F.lit(0)).alias(f"_far_{k}") for k in flags])
+    near = sums.select("log_id", "block", "_group", *[F.coalesce(F.sum(f"_n_{k}").over(before("log_id", "_group", "block")), F.lit(0)).alias(f"_near_{k}") for k in flags])
+    offsets = near.join(groups, ["log_id", "_group"]).select("log_id", "block", *[(F.col(f"_near_{k}") + F.col(f"_far_{k}")).alias(f"_o_{k}") for k in flags])
+    counted = marked.join(offsets, ["log_id", "block"]).withColumns({k: F.sum(f"_f_{k}").over(own) + F.col(f"_o_{k}") for k in flags})
+    return counted.drop(*[f"{p}_{k}" for k in flags for p in ("_f", "_o")])
 
 
 def body(lines: DataFrame, part: int = 0) -> DataFrame:
@@ -113,14 +115,22 @@ def said(*parts: str | Column) -> Column:
 
 def fold_repeats(lines: DataFrame) -> DataFrame:
     """The first line of each run of lines that are equal but for numbers, and how often it was repeated. `lines` as in the table."""
-    runs = runs_in_order(clean_lines(lines, T.normalize_log_line))
+    return fold_repeats_clean(clean_lines(lines))
+
+
+def fold_repeats_clean(lines: DataFrame) -> DataFrame:
+    runs = runs_in_order(lines.withColumn("key", T.normalize_log_line(F.col("text"))))
     first = runs.select("log_id", F.col("first_line").alias("line_no"), F.lit(0).alias("part"), F.col("first_text").alias("text"))
     return first.unionByName(mark(runs.where("n_lines > 1 AND key <> ''"), said("[repeated ", F.col("n_lines") - 1, "x]"), F.col("first_line")))
 
 
 def fold_progress(lines: DataFrame) -> DataFrame:
     """The last line of each run of progress lines, and how many it stands for; all other lines. `lines` as in the table."""
-    keyed = clean_lines(lines, lambda text: text.rlike(PROGRESS).cast("int"))
+    return fold_progress_clean(clean_lines(lines))
+
+
+def fold_progress_clean(lines: DataFrame) -> DataFrame:
+    keyed = lines.withColumn("key", F.col("text").rlike(PROGRESS).cast("int"))
     runs = runs_in_order(keyed).where("key = 1")
     last = runs.select("log_id", F.col("last_line").alias("line_no"), F.lit(0).alias("part"), F.col("last_text").alias("text"))
     return body(keyed.where("key = 0")).unionByName(last).unionByName(mark(runs.where("n_lines > 1"), said("[progress: ", F.col("n_lines") - 1, " lines collapsed]"), F.col("last_line")))
@@ -137,7 +147,11 @@ def fold_global_repeats(lines: DataFrame, least: int = 3, length: int = 12) -> D
 
 def collapse_blanks(lines: DataFrame) -> DataFrame:
     """Lines with one blank line for each run of them. `lines` as in the table."""
-    keyed = clean_lines(lines, lambda text: (text == "").cast("int"))
+    return collapse_blanks_clean(clean_lines(lines))
+
+
+def collapse_blanks_clean(lines: DataFrame) -> DataFrame:
+    keyed = lines.withColumn("key", (F.col("text") == "").cast("int"))
     runs = runs_in_order(keyed).where("key = 1")
     return body(keyed.where("key = 0")).unionByName(runs.select("log_id", F.col("first_line").alias("line_no"), F.lit(0).alias("part"), F.lit("").alias("text")))
 
@@ -187,9 +201,9 @@ def elide_tests(lines: DataFrame) -> DataFrame:
 def fold_lint(lines: DataFrame) -> DataFrame:
     """Of each block of a linter's diagnostics (a file's line up to a blank one or the next file) the first line, numbered, and its first message."""
     opens = F.col("text").rlike(LINT_FILE)
-    parts = block_sums(lines, opens | (F.col("text") == "")).withColumnRenamed("_count", "_part")  # 0: before the first of them
+    parts = block_sums(lines, _part=opens | (F.col("text") == ""), _k=opens)  # _part 0: before the first of them
     first = parts.groupBy("log_id", "_part").agg(F.min("line_no").alias("_from"), F.min_by(opens, "line_no").alias("_lint"), F.min(F.when(F.col("text").contains("×"), F.col("line_no"))).alias("_told"))
-    numbered = block_sums(parts.drop("_n"), opens).withColumnRenamed("_count", "_k").join(first, ["log_id", "_part"])
+    numbered = parts.join(first, ["log_id", "_part"])
     head = F.col("_lint") & (F.col("line_no") == F.col("_from"))
     kept = numbered.where(~F.col("_lint") | head | (F.col("line_no") == F.col("_told")))
     return kept.select("log_id", "line_no", F.lit(0).alias("part"), F.when(head, said("[diagnostic block ", F.col("_k"), "] ", F.col("text"))).otherwise(F.col("text")).alias("text"))
@@ -265,37 +279,7 @@ def normal(line: str) -> str:
     return line.strip()
 
 
-class Lines:
-    """Lines in order, to be read any number of times; HELD of them stay in memory, the rest goes to a temporary file."""
-
-    def __init__(self, lines: Iterable[str] = ()) -> None:
-        self.held: list[str] = []
-        self.places: list[tuple[int, int]] = []
-        self.file, self.n, self.end = None, 0, 0
-        for x in lines:
-            self.append(x)
-
-    def append(self, line: str) -> None:
-        self.held.append(line)
-        self.n += 1
-        if len(self.held) >= HELD:
-            self.file = self.file or tempfile.TemporaryFile(buffering=0)
-            data = marshal.dumps(self.held)
-            self.file.seek(self.end)
-            rest = memoryview(data)
-            while rest:
-                rest = rest[self.file.write(rest) :]
-            self.places.append((self.end, len(data)))
-            self.end += len(data)
-            self.held = []
-
-    def __len__(self) -> int:
-        return self.n
-
-    def __iter__(self) -> Iterator[str]:
-        for at, size in self.places:
-            yield from marshal.loads(os.pread(self.file.fileno(), size, at))
-        yield from self.held
+Lines = list  # the lines of a log of at most WHOLE_LINES; longer ones go through the rules as tables
 
 
 def size(lines: Iterable[str]) -> int:
@@ -508,8 +492,7 @@ def without_blank_end(lines: Lines) -> Lines:
 
 
 def prune_lines(original: Lines, profile: str | None = None, dedupe_stacks: bool = True, rules: list[dict] | None = None, stamps: str | None = None) -> tuple[Lines, list[str]]:
-    """Folds one whole log of clean lines: (lines, names of the rules that changed it). Never longer in tokens than what it was given. Each rule reads all
-    lines in order; in memory are the distinct lines' normal forms, one stack, and HELD lines of each step."""
+    """Folds one whole log of clean lines: (lines, names of the rules that changed it). Never longer in tokens than what it was given."""
     options = {"progress": True, "startup": True, "json": True, "stamps": "auto", "rules": []} | PROFILES.get((profile or "").strip().lower(), {})
     mode = stamps.strip().lower() if stamps is not None else options["stamps"]
     original = without_blank_end(original)
@@ -581,11 +564,179 @@ def prune(lines: list[str], profile: str | None = None, dedupe_stacks: bool = Tr
     return list(out), applied
 
 
-def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000, rules: list[dict] | None = None, threshold: int | None = None) -> DataFrame:
-    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text, savings, pruned, over_threshold): each log folded as a whole, in one task that
-    keeps its lines on disk; the options come from the log's own row, `rules` are custom ones (strip, fold, block) after those of its
-    profile. The text comes in pieces of `piece` kept lines, numbered from 0; all other columns are of the whole log."""
-    options = logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.max("strip_timestamps").alias("stamps"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
+# --- the chain on tables ---------------------------------------------------------------------------------------------------
+
+
+def fold_hits_table(lines: DataFrame, pattern: str, label: str) -> DataFrame:
+    """A custom fold: each run of matching lines as one marker."""
+    keyed = lines.withColumn("key", F.col("text").rlike(pattern).cast("int"))
+    runs = runs_in_order(keyed).where("key = 1")
+    return body(keyed.where("key = 0")).unionByName(mark(runs, said(f"[{label}: ", F.col("n_lines"), " lines]"), F.col("first_line"), 0))
+
+
+def fold_blocks_table(lines: DataFrame, start: str, end: str, label: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A custom block: from a line that opens one to the next that closes it, as one marker. Where a line stands follows from the last line that
+    only opens or only closes, and the number of lines since then that do both."""
+    opens, closes = F.col("text").rlike(start), F.col("text").rlike(end)
+    both, reset = opens & closes, opens != closes
+    sums = keep(block_sums(lines, _both=both, _reset=reset))
+    begun = sums.where(reset).select("log_id", "_reset", opens.alias("_value"), F.col("_both").alias("_base"))
+    state = lambda of, count: F.coalesce(F.col(f"{of}_value"), F.lit(False)).cast("int").bitwiseXOR(((count - F.coalesce(F.col(f"{of}_base"), F.lit(0))) % 2).cast("int")) == 1
+    earlier = begun.select("log_id", F.col("_reset").alias("_reset0"), F.col("_value").alias("_was_value"), F.col("_base").alias("_was_base"))
+    later = begun.select("log_id", "_reset", F.col("_value").alias("_is_value"), F.col("_base").alias("_is_base"))
+    placed = sums.withColumn("_reset0", F.col("_reset") - reset.cast("long")).join(later, ["log_id", "_reset"], "left").join(earlier, ["log_id", "_reset0"], "left")
+    known = placed.select("log_id", "block", "line_no", "text", state("_was", F.col("_both") - both.cast("long")).alias("_before"), state("_is", F.col("_both")).alias("_after"))
+    numbered = block_sums(keep(known), _block=~F.col("_before") & F.col("_after"))
+    inside = F.col("_before") | F.col("_after")
+    folded = numbered.where(inside).groupBy("log_id", "_block").agg(F.count("*").alias("n"), F.min("line_no").alias("_first"))
+    return body(numbered.where(~inside)).unionByName(mark(folded, said(f"[{label}: ", F.col("n"), " lines folded]"), F.col("_first"), 0))
+
+
+def fold_stacks_table(lines: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Stacks (from an error to a blank line or the next error) that repeat the one before, blank lines between aside, are counted; blank lines
+    behind a stack go. Stacks are compared by their number of lines and a sum of hashes of their normal lines and places."""
+    starts, blank = F.col("text").rlike(ERROR_START.pattern), F.col("text") == ""
+    parts = keep(block_sums(lines, _part=starts | blank, _full=~blank))
+    heads = parts.groupBy("log_id", "_part").agg(F.min("line_no").alias("_first"), F.min_by(starts, "line_no").alias("_stack"))
+    plain = ~F.col("_stack") & ~blank
+    placed = keep(block_sums(keep(parts.join(heads, ["log_id", "_part"])), _plain=plain))
+    normal_line = F.trim(F.regexp_replace("text", r"(?<![A-Za-z0-9_])[0-9]+(?![A-Za-z0-9_])", "#"))
+    stacks = placed.where("_stack").groupBy("log_id", "_part").agg(
+        F.min("line_no").alias("line_no"), F.max("line_no").alias("_end"), F.min("_plain").alias("_plain"), F.count("*").alias("_n"), F.sum(F.xxhash64(F.col("line_no") - F.col("_first"), normal_line).cast("decimal(38,0)")).alias("_sum")
+    )
+    keyed = stacks.select("log_id", F.floor(F.col("line_no") / BLOCK).cast("int").alias("block"), "line_no", F.concat_ws("/", "_plain", "_n", "_sum").alias("key"), F.col("_end").cast("string").alias("text"))
+    runs = runs_in_order(keyed)
+    kept = runs.select("log_id", F.col("first_line").alias("_first"), F.lit(True).alias("_kept"))
+    behind = placed.groupBy("log_id", "_full").agg(F.max(F.when(~blank, F.col("_stack")).cast("int")).alias("_of_stack"))
+    joined = placed.join(kept, ["log_id", "_first"], "left").join(behind, ["log_id", "_full"], "left")
+    stays = F.when(F.col("_stack"), F.coalesce("_kept", F.lit(False))).when(blank, F.coalesce("_of_stack", F.lit(0)) == 0).otherwise(F.lit(True))
+    return body(joined.where(stays)).unionByName(mark(runs.where("n_lines > 1"), said("[stack repeated ", F.col("n_lines") - 1, "x]"), F.col("first_text").cast("int")))
+
+
+def renumber(rows: DataFrame) -> DataFrame:
+    """What a rule left as lines numbered from 0, with their blocks."""
+    blocked = rows.withColumn("block", F.floor(F.col("line_no") / BLOCK).cast("int"))
+    inside = Window.partitionBy("log_id", "block").orderBy("line_no", "part")
+    group = F.floor(F.col("block") / TOGETHER)
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("log_id", "block").agg(F.count("*").alias("_n")).withColumn("_group", group)
+    groups = sums.groupBy("log_id", "_group").agg(F.sum("_n").alias("_g")).withColumn("_far", F.coalesce(F.sum("_g").over(before("log_id", "_group")), F.lit(0))).drop("_g")
+    offsets = sums.withColumn("_near", F.coalesce(F.sum("_n").over(before("log_id", "_group", "block")), F.lit(0))).join(groups, ["log_id", "_group"]).select("log_id", "block", (F.col("_near") + F.col("_far")).alias("_offset"))
+    numbered = blocked.withColumn("_k", F.row_number().over(inside)).join(offsets, ["log_id", "block"])
+    made = numbered.select("log_id", (F.col("_k") + F.col("_offset") - 1).cast("int").alias("line_no"), "text")
+    return made.withColumn("block", F.floor(F.col("line_no") / BLOCK).cast("int"))
+
+
+def without_blank_ends(lines: DataFrame) -> DataFrame:
+    last = lines.where("text <> ''").groupBy("log_id").agg(F.max("line_no").alias("_last"))
+    return lines.join(last, "log_id").where("line_no <= _last").drop("_last")
+
+
+def prune_tables(lines: DataFrame, options: DataFrame, rules: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The chain on logs of any length: (lines, (log_id, rule, at)). Each rule is a step on tables, written to the shared checkpoint folder before the
+    next, so the plan stays one rule long and a lost executor costs one step. options(log_id, profile, stamps, stacks)."""
+    spark = lines.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/prune-{uuid.uuid4().hex}"
+    profile = F.lower(F.trim(F.coalesce("profile", F.lit(""))))
+    is_ = lambda *names: profile.isin(*names)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def keep(df: DataFrame) -> DataFrame:
+        """A part that a rule reads several times."""
+        return written(df, f"part-{uuid.uuid4().hex}")
+
+    now = written(without_blank_ends(renumber(body(clean_lines(lines)))), "lines")
+    prints = lambda df: df.groupBy("log_id").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("line_no", "text").cast("decimal(38,0)")).alias("_s"))
+    applied: list[DataFrame] = []
+
+    def step(name: str, rule, test: Column | None = None) -> None:
+        nonlocal now
+        on = now if test is None else now.join(options.where(test).select("log_id"), "log_id", "left_semi")
+        made = renumber(rule(on)) if test is None else renumber(rule(on)).unionByName(now.join(options.where(test).select("log_id"), "log_id", "left_anti").select("log_id", "line_no", "text", "block"))
+        fresh = written(made, f"step-{len(applied)}")
+        both = prints(now).join(prints(fresh).select("log_id", F.col("_n").alias("_n2"), F.col("_s").alias("_s2")), "log_id", "left").where(~(F.col("_n").eqNullSafe(F.col("_n2")) & F.col("_s").eqNullSafe(F.col("_s2"))))
+        changed = both.select("log_id", F.lit(name).alias("rule"), F.lit(len(applied)).alias("at"))
+        applied.append(changed)
+        now = fresh
+
+    def custom(rule: dict, test: Column | None) -> None:
+        if rule["type"] == "strip":
+            step(f"custom-strip:{rule['pattern']}", lambda x: body(x.where(~F.col("text").rlike(rule["pattern"]))), test)
+        elif rule["type"] == "fold":
+            step(f"custom-fold:{rule['pattern']}", lambda x: fold_hits_table(x, rule["pattern"], rule.get("label", "folded")), test)
+        elif rule["type"] == "block":
+            step(f"custom-block:{rule['start']}..{rule['end']}", lambda x: fold_blocks_table(x, rule["start"], rule["end"], rule.get("label", "block"), keep), test)
+
+    used = {r[0] for r in options.select(profile).distinct().limit(len(PROFILES) + 50).collect()}
+    for name, preset in PROFILES.items():
+        for rule in preset.get("rules", ()) if name in used else ():
+            custom(rule, is_(name))
+    for rule in rules or ():
+        custom(rule, None)
+    step("progress-fold", fold_progress_clean, ~is_("test"))
+    step("debug-fold", lambda x: drop_matching(x, DEBUG, "debug lines"))
+    step("health-elision", lambda x: drop_matching(x, HEALTH, "health checks"))
+    step("json-line-fold", fold_json, ~is_("lint"))
+    step("startup-fold", fold_startup, ~is_("test", "lint"))
+    step("user-agent-strip", lambda x: body(x.withColumn("text", F.regexp_replace("text", AGENT, '"<ua>"'))))
+    step("test-runner-elision", elide_tests)
+    step("linter-fold", fold_lint)
+    step("typecheck-fold", fold_types)
+    stamps = options.select("log_id", F.coalesce("stamps", F.when(is_("runtime"), "strip").otherwise("auto")).alias("strip_timestamps"))
+    forms = timestamp_vote(now).select(F.col("log_id").alias("_log"), "form")
+    step("timestamp-strip:", lambda x: strip_timestamps(x, stamps))
+    applied[-1] = applied[-1].join(forms, F.col("log_id") == F.col("_log")).select("log_id", F.concat("rule", "form").alias("rule"), "at")
+    step("stack-dedup", lambda x: fold_stacks_table(x, keep), F.coalesce("stacks", F.lit(True)))
+    step("repeat-fold", fold_repeats_clean)
+    step("global-repeat-fold", fold_global_repeats)
+    step("blank-collapse", collapse_blanks_clean)
+    return without_blank_ends(now), reduce(DataFrame.unionByName, applied)
+
+
+def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000, rules: list[dict] | None = None, threshold: int | None = None, whole_lines: int = WHOLE_LINES) -> DataFrame:
+    """(log_id, piece, n_lines, n_kept, tokens, tokens_kept, rules, text, savings, pruned, over_threshold): each log folded as a whole; the options
+    come from the log's own row, `rules` are custom ones (strip, fold, block) after those of its profile. A log of at most whole_lines is
+    folded by one task, a longer one by the same rules as tables. The text comes in pieces of `piece` kept lines, numbered from 0; all other
+    columns are of the whole log."""
+    long_ = lines.groupBy("log_id").agg(F.max("line_no").alias("_n")).where(F.col("_n") > whole_lines).select("log_id")
+    if not long_.limit(1).count():
+        return with_savings(prune_short(lines, logs, piece, rules), threshold)
+    short = prune_short(lines.join(long_, "log_id", "left_anti"), logs, piece, rules)
+    return with_savings(short.unionByName(prune_long(lines.join(long_, "log_id", "left_semi"), logs, piece, rules)), threshold)
+
+
+def with_savings(made: DataFrame, threshold: int | None) -> DataFrame:
+    saved = F.when(F.col("tokens") == 0, 0.0).otherwise((F.col("tokens") - F.col("tokens_kept")) / F.col("tokens") * 100)
+    over = F.lit(None).cast("boolean") if threshold is None else F.col("tokens_kept") > max(0, threshold)
+    return made.withColumns({"savings": saved, "pruned": F.col("tokens_kept") < F.col("tokens"), "over_threshold": over})
+
+
+def log_options(logs: DataFrame) -> DataFrame:
+    return logs.groupBy("log_id").agg(F.max("profile").alias("profile"), F.max("strip_timestamps").alias("stamps"), F.min(F.coalesce("dedupe_stack_traces", F.lit(True))).alias("stacks"))
+
+
+def prune_long(lines: DataFrame, logs: DataFrame, piece: int, rules: list[dict] | None) -> DataFrame:
+    options = lines.select("log_id").distinct().join(log_options(logs), "log_id", "left")
+    pruned, applied = prune_tables(lines, options, rules)
+    original = without_blank_ends(renumber(body(clean_lines(lines))))
+    tokens = F.sum(T.token_count(F.col("text"))).cast("long")
+    raw = lines.dropDuplicates(["log_id", "line_no"]).groupBy("log_id").agg(F.count("*").alias("n_lines"), tokens.alias("tokens"))
+    own, left = original.groupBy("log_id").agg(tokens.alias("_own")), pruned.groupBy("log_id").agg(tokens.alias("_left"))
+    sizes = raw.join(own, "log_id", "left").join(left, "log_id", "left").fillna(0, ["_own", "_left"])
+    grown = sizes.where("_left > _own").select("log_id")
+    kept = pruned.join(grown, "log_id", "left_anti").unionByName(original.join(grown, "log_id", "left_semi"))
+    named = applied.join(grown, "log_id", "left_anti").groupBy("log_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "rule"))), lambda x: x["rule"]).alias("rules"))
+    texts = kept.groupBy("log_id", F.floor(F.col("line_no") / piece).cast("int").alias("piece")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    counts = kept.groupBy("log_id").agg(F.count("*").alias("n_kept"), tokens.alias("tokens_kept"))
+    joined = sizes.join(counts, "log_id", "left").join(named, "log_id", "left").join(texts, "log_id", "left")
+    return joined.select("log_id", F.coalesce("piece", F.lit(0)).alias("piece"), "n_lines", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "tokens", F.coalesce("tokens_kept", F.lit(0)).alias("tokens_kept"), F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def prune_short(lines: DataFrame, logs: DataFrame, piece: int, rules: list[dict] | None) -> DataFrame:
+    options = log_options(logs)
     once = lines.select("log_id", "line_no", F.coalesce("text", F.lit("")).alias("text"))
     whole = once.join(options, "log_id", "left").select("log_id", "line_no", "text", "profile", "stamps", "stacks").repartition("log_id").sortWithinPartitions("log_id", "line_no")
     names = ["log_id", "piece", "n_lines", "n_kept", "tokens", "tokens_kept", "rules", "text"]
@@ -614,7 +765,4 @@ def prune_logs(lines: DataFrame, logs: DataFrame, piece: int = 5_000, rules: lis
         if len(held):
             yield from done()
 
-    made = whole.mapInArrow(run, "log_id string, piece int, n_lines bigint, n_kept bigint, tokens bigint, tokens_kept bigint, rules array<string>, text string")
-    saved = F.when(F.col("tokens") == 0, 0.0).otherwise((F.col("tokens") - F.col("tokens_kept")) / F.col("tokens") * 100)
-    over = F.lit(None).cast("boolean") if threshold is None else F.col("tokens_kept") > max(0, threshold)
-    return made.withColumns({"savings": saved, "pruned": F.col("tokens_kept") < F.col("tokens"), "over_threshold": over})
+    return whole.mapInArrow(run, "log_id string, piece int, n_lines bigint, n_kept bigint, tokens bigint, tokens_kept bigint, rules array<string>, text string")

@@ -206,11 +206,26 @@ def test_prune_takes_a_log_as_a_whole(spark):
         assert {(r.n_lines, r.n_kept, tuple(r.rules)) for r in got} == {(48, len(want), tuple(rules))}
 
 
-def test_prune_is_the_same_from_disk(monkeypatch):
-    lines = [x or "" for x in LOG * 5]
-    want = L.prune(lines)
-    monkeypatch.setattr(L, "HELD", 3)
-    assert L.prune(lines) == want
+def test_long_logs_are_folded_alike(spark, monkeypatch):
+    """The rules as tables, with blocks of 16 lines, give what one task gives, for every profile and with custom rules."""
+    import random
+
+    monkeypatch.setattr(L, "BLOCK", 16)
+    monkeypatch.setattr(L, "TOGETHER", 2)
+    random.seed(4)
+    some = ["", "", "plain 1 text", "plain 2 text", "Downloading a 5%", "Downloading a 6%", "DEBUG x", "GET /health 200", '{"level":"warn"}', "Starting up", "=======", '1 "Mozilla/5.0 x"', "✓ a", "(pass) b", "✗ c", "./a.ts lint x", "  × one", "src/a.ts(1,2): error TS1: q", "Error: bad 1", "  at a 1", "  at a 2", "a longer line of words 7", "a longer line of words 8", "begin", "end", "begin end"]
+    logs = {f"l{k}": [random.choice(some) for _ in range(random.randrange(1, 90))] for k in range(10)}
+    stamped = [f"2025-03-01T10:00:0{k % 9}.5Z {w}" for k, w in enumerate(random.choices(some[2:9], k=30))]
+    logs |= {"stamped": stamped, "blank": ["", "", ""], "stacks": ["Error: a", " at 1", "", "Error: a", " at 2", "", "", "Error: a", " at 3", "x"]}
+    profiles = dict(zip(logs, ["test", "ci", "lint", "runtime", None, "RUNTIME", "", "ci", "test", "lint", "runtime", None, None]))
+    df = spark.createDataFrame([(log, i, t) for log, lines in logs.items() for i, t in enumerate(lines, 1)], "log_id string, line_no int, text string")
+    options = spark.createDataFrame([(log, profiles[log], "keep" if log == "l3" else None, log != "l4") for log in logs if log != "l6"], "log_id string, profile string, strip_timestamps string, dedupe_stack_traces boolean")
+    rules = [{"type": "block", "start": "^begin", "end": "end$", "label": "part"}, {"type": "fold", "pattern": "^plain"}]
+    columns = ["log_id", "piece", "n_lines", "n_kept", "tokens", "tokens_kept", "text"]
+    get = lambda whole: {tuple(r[c] for c in columns): [x for x in r.rules] for r in L.prune_logs(df, options, 50, rules, whole_lines=whole).collect()}
+    short, long_ = get(10_000), get(0)
+    assert sorted(map(str, short)) == sorted(map(str, long_))
+    assert {k: [x for x in v if x != "user-agent-strip"] for k, v in short.items()} == {k: [x for x in v if x != "user-agent-strip"] for k, v in long_.items()}
 
 
 def test_prune_json_tests_lint_and_types(spark):
