@@ -185,6 +185,7 @@ def review(corpus: DataFrame, terms: Sequence[str], changed: DataFrame | None =
     read = corpus.select(key, text).join(ranked, key).withColumn("_one", read_text(F.col(text), F.lit(PASS1)))
     total = T.token_count(F.col(text))
     passed = read.select(key, "score", total.cast("long").alias("full_tokens"), T.token_count(F.col("_one")).cast("long").alias("pass1_tokens"), matched_terms(F.col("_one"), tuple(dict.fromkeys(risks))).alias("risks"))
+    passed = passed.persist()  # sizes and terms of the candidates, read three times below
     again = passed.where((F.size("risks") > 0) & (F.col("full_tokens") > PASS1)).orderBy(F.desc("score"), key).limit(MOST_PASS2).select(key)
     second = corpus.select(key, text).join(F.broadcast(again), key, "left_semi").select(key, T.token_count(read_text(F.col(text), F.lit(PASS2))).cast("long").alias("pass2_tokens"))  # MOST_PASS2 rows
     joined = passed.join(F.broadcast(second), key, "left")
@@ -209,7 +210,7 @@ def select_files(features: DataFrame, edges: DataFrame, terms: Sequence[str], se
     matching files all count as high; then the best SCAN files, what they share in imports and what the high ones import."""
     stats = term_stats(features, terms, "content").collect() if stats is None else stats
     path = G.clean_path(F.col("path"))
-    scored = features.select("file_id", path.alias("path"), F.round(metadata_score(terms, F.col("path"), F.col("names"), F.col("heads")) + bm25(F.col("content"), stats), 6).alias("score"))
+    scored = features.select("file_id", path.alias("path"), F.round(metadata_score(terms, F.col("path"), F.col("names"), F.col("heads")) + bm25(F.col("content"), stats), 6).alias("score")).persist()  # a narrow row a file, read by three ways in
     seeded = scored.where(F.col("path").isin(*seeds) if seeds else F.lit(False)).select(F.col("file_id").alias("node"), F.lit(SEED).alias("score"), F.lit("high").alias("priority"), F.lit(0).alias("_from"))
     inside = reduce(lambda a, b: a | b, [F.col("path").startswith(f.rstrip("/") + "/") for f in folders], F.lit(False))
     foldered = scored.where(inside & (F.col("score") > 0)).select(F.col("file_id").alias("node"), F.greatest("score", F.lit(float(G.HIGH))).alias("score"), F.lit("high").alias("priority"), F.lit(1).alias("_from"))
@@ -217,6 +218,7 @@ def select_files(features: DataFrame, edges: DataFrame, terms: Sequence[str], se
     ranked = best.select(F.col("file_id").alias("node"), "score", F.when(F.col("score") >= G.HIGH, "high").otherwise("normal").alias("priority"), F.lit(2).alias("_from"))
     first = seeded.unionByName(foldered).unionByName(ranked).groupBy("node").agg(F.min_by(F.struct("score", "priority"), "_from").alias("c")).select("node", "c.score", "c.priority")
     if depth > 0:
+        first, edges = first.persist(), edges.where("resolved IS NOT NULL").persist()  # numbers only, read by each level
         boosted = G.shared_boost(first, edges).withColumn("priority", F.lit("low"))
         first = G.expand_candidates(first.unionByName(boosted), edges, depth)
     return first.orderBy(F.desc("score"), "node").limit(k).select(F.col("node").alias("file_id"), "score", "priority")
