@@ -24,7 +24,7 @@ from tessera.sources.tables import ensure_checkpoint_dir
 
 BLOCK = 8192
 TOGETHER = 4096  # blocks whose sums one task adds up
-WHOLE_LINES = 200_000  # lines of a log that one task folds in memory; longer logs are folded as tables, with the same result
+WHOLE_LINES = 500_000  # lines of a log that one task folds in memory; longer logs are folded as tables, with the same result
 
 # Patterns of the rules. Word ends are those of ASCII words.
 COLOUR = r"\x1B\[[0-9;]*[a-zA-Z]|\x1B\][^\x07]*\x07|\r"  # a carriage return in a line of a table is a lone one or ends the line
