@@ -216,22 +216,18 @@ def csv_row(values: Sequence[str], delimiter: str = ",") -> str:
 
 
 def parse_csv_row(line: str, delimiter: str = ",") -> list[str]:
-    """Cells of a line, trimmed; quotes open and close anywhere, two within quotes are one."""
-    made, current, quoted, i = [], [], False, 0
-    while i < len(line):
-        c = line[i]
-        if c == '"' and quoted and line[i + 1 : i + 2] == '"':
-            current.append(c)
-            i += 1
-        elif c == '"':
-            quoted = not quoted
-        elif c == delimiter and not quoted:
-            made.append("".join(current).strip())
-            current = []
+    """Cells of a line, trimmed. Between its quotes a line lies outside and inside by turns; nothing outside between two insides is a quote."""
+    made, parts = [""], line.split('"')
+    for k, part in enumerate(parts):
+        if k % 2:
+            made[-1] += part
+        elif not part and 0 < k < len(parts) - 1:
+            made[-1] += '"'
         else:
-            current.append(c)
-        i += 1
-    return [*made, "".join(current).strip()]
+            first, *more = part.split(delimiter)
+            made[-1] += first
+            made += more
+    return [x.strip() for x in made]
 
 
 def is_comment(b: dict) -> bool:
@@ -291,105 +287,94 @@ def compact(blocks: Sequence[dict], delimiter: str = ",", comments: bool = False
     return (f"{VERSION}\n\n{out}" if out else VERSION) if version else out
 
 
-LIST_LINE = re.compile(r"((?:\.\.)*)(-|\+|\[\]|\[[xX]\])(?:\s+(.*))?$")
+LIST_LINE = re.compile(r"((?:\.\.)*)(-|\+|\[[xX]?\])(?:\s+(.*))?$")
 ENTRY = re.compile(r"(§\d+)=(.*)$")
+DICTIONARY = re.compile(r"(?:§\d+=.*\n)+§§(?:\n|\Z)")
+SHORT_HEAD = re.compile(r":([1-6])\s+(.*)$")
 
 
-def read_dictionary(lines: Sequence[str], at: int) -> tuple[list[tuple[str, str]], int] | None:
-    """Entries of a dictionary that begins at a line, longest mark first, and the line after it."""
-    entries = []
-    for k in range(at, len(lines)):
-        if lines[k] == "§§" and entries:
-            return sorted(entries, key=lambda e: -len(e[0])), k + 1
-        m = ENTRY.match(lines[k])
-        if not m:
-            return None
-        entries.append((m[1], m[2]))
-    return None
+def undone(text: str) -> str:
+    """The body of a compact text: without its version and dictionary, with phrases in place of their marks, longer marks first."""
+    text = text.replace("\r\n", "\n")
+    if text == VERSION or text.startswith(VERSION + "\n"):
+        text = text[len(VERSION) :].lstrip("\n")
+    m = DICTIONARY.match(text)
+    if not m:
+        return text
+    phrases = dict(ENTRY.match(x).groups() for x in m[0].split("\n") if x.startswith("§") and x != "§§")
+    return re.sub(r"§\d+", lambda k: phrases.get(k[0]) or next((phrases[k[0][:n]] + k[0][n:] for n in range(len(k[0]) - 1, 1, -1) if k[0][:n] in phrases), k[0]), text[m.end() :])
+
+
+def nested(rows: Sequence[tuple[int, str, str, bool]]) -> list[dict]:
+    """Lists from rows (depth, mark, text, whether a blank line stands before): a row belongs to the list of its depth and kind, deeper rows to
+    the item before them."""
+    out: list[dict] = []
+    k = 0
+    while k < len(rows):
+        depth, sign, said, gap = rows[k]
+        deeper = next((n for n in range(k + 1, len(rows)) if rows[n][0] <= depth), len(rows))
+        ordered = sign == "+"
+        if not out or out[-1]["ordered"] != ordered:
+            out.append({"kind": "list", "ordered": ordered, "start": 1, "spread": False, "items": []})
+        elif gap:
+            out[-1]["spread"] = True
+        own = blocks_of([said]) if said else []
+        out[-1]["items"].append({"checked": sign.lower() == "[x]" if sign[0] == "[" else None, "blocks": own + nested(rows[k + 1 : deeper])})
+        k = deeper
+    return out
 
 
 def expand(text: str, delimiter: str = ",") -> list[dict]:
-    lines = text.replace("\r\n", "\n").split("\n")
-    out: list[str] = []
-    entries: list[tuple[str, str]] = []
-    counts: list[int] = []
-    ordered: list[bool] = []
-    fence, in_list, i = None, False, 0
-
-    def decoded(k: int) -> str:
-        line = lines[k] if k < len(lines) else ""
-        for mark, value in entries:
-            line = line.replace(mark, value)
-        return line
-
-    def reset(depth: int) -> None:
-        counts[depth:] = [0] * len(counts[depth:])
-
-    while i < len(lines):
-        line = decoded(i)
-        if fence is None and lines[i] == VERSION:
-            i += 2 if i + 1 < len(lines) and not lines[i + 1] else 1
-            continue
-        if fence is None and not entries and (found := read_dictionary(lines, i)):
-            entries, i = found
-            continue
+    """The blocks of a compact text. Runs of list lines and of table rows become blocks of their own; all else is Markdown already."""
+    lines = undone(text).split("\n")
+    out: list[dict] = []
+    plain: list[str] = []
+    fence = None
+
+    def settle(*made: dict) -> None:
+        out.extend(blocks_of(plain))
+        plain.clear()
+        out.extend(made)
+
+    k = 0
+    while k < len(lines):
+        line = lines[k]
         m = FENCE.match(line)
-        if fence is not None or m:
-            if fence is None:
-                if out and out[-1].strip():
-                    out.append("")
-                fence = m[2]
-            elif m and m[2].startswith(fence) and not m[3].strip():
-                fence = None
-            out.append(line)
-            i += 1
-            continue
-        if line.startswith("\\:"):
-            out.append(line[1:])
-        elif m := re.match(r":([1-6])\s+(.*)$", line):
-            out.append(f"{'#' * int(m[1])} {m[2]}".rstrip())
-            reset(0)
-        elif line.strip() == "~":
-            out.append("---")
-            reset(0)
-        elif line.strip() == "---" and out and out[-1].strip():
-            out += ["", "---"]
-            reset(0)
+        if fence or m:  # code is taken as it stands, up to the fence that closes it
+            fence = (m[2] if m and not fence else fence) if not (fence and m and m[2].startswith(fence) and not m[3].strip()) else None
+            plain.append(line)
         elif line.startswith("|:"):
-            rows = [parse_csv_row(line[2:].strip(), delimiter)]
-            while decoded(i + 1).startswith("| "):
-                i += 1
-                rows.append(parse_csv_row(decoded(i)[1:].strip(), delimiter))
-            if out and out[-1].strip():
-                out.append("")
-            out += [*render_block({"kind": "table", "rows": rows}).split("\n"), ""]
-            reset(0)
-        elif m := LIST_LINE.match(line):
-            in_list = True
-            depth, sign, said = len(m[1]) // 2, m[2].lower(), (m[3] or "").strip()
-            counts += [0] * (depth + 1 - len(counts))
-            ordered += [False] * (depth + 1 - len(ordered))
-            pad = " " * sum(len(str(counts[k] or 1)) + 2 if ordered[k] else 2 for k in range(depth))
-            ordered[depth] = sign == "+"
-            if sign == "+":
-                counts[depth] += 1
-                reset(depth + 1)
-                out.append(f"{pad}{counts[depth]}. {said}".rstrip())
+            end = k + 1
+            while end < len(lines) and lines[end].startswith("| "):
+                end += 1
+            rows = [parse_csv_row(x[2:].strip(), delimiter) for x in lines[k:end]]
+            settle({"kind": "table", "rows": rows})
+            k = end - 1
+        elif LIST_LINE.match(line) and not (plain and plain[-1].strip()):  # a list stands apart from what is before it
+            rows, gap, end, own = [], False, k, False
+            for n in range(k, len(lines)):
+                if m := LIST_LINE.match(lines[n]):
+                    rows.append((len(m[1]) // 2, m[2], (m[3] or "").strip(), gap))
+                    end, gap = n, False
+                elif lines[n].strip():
+                    own = lines[n][0] == " "  # a list with blocks in its items stands as Markdown, indented
+                    break
+                else:
+                    gap = True
+            if own:
+                plain.extend(lines[k : end + 1])
             else:
-                reset(depth)
-                out.append(f"{pad}- {'[x] ' if sign == '[x]' else '[ ] ' if sign == '[]' else ''}{said}".rstrip())
+                settle(*nested(rows))
+            k = end
+        elif m := SHORT_HEAD.match(line):
+            settle({"kind": "heading", "depth": int(m[1]), "text": m[2].strip()})
+        elif line.strip() == "~":
+            settle({"kind": "break"})
         else:
-            if not line.strip():
-                k = i + 1
-                while k < len(lines) and not decoded(k).strip():
-                    k += 1
-                if not (in_list and LIST_LINE.match(decoded(k))):
-                    reset(0)
-            else:
-                in_list = False
-            out.append(line)
-        i += 1
-    return parse("\n".join(out))
+            plain.append(line[1:] if line.startswith("\\:") else line)
+        k += 1
+    settle()
+    return out
 
 
 # --- phrases ---

@@ -67,7 +67,7 @@ def test_compact_and_back():
 def test_values_of_rows():
     for row in (["a", "b c"], ['say "x"', "1, 2"], ["", "x"]):
         assert B.parse_csv_row(B.csv_row(row)) == row
-    assert B.parse_csv_row(' a ;"b;c" ; d', ";") == ["a", "b;c", "d"]
+    assert B.parse_csv_row(' a ;"b;c" ; d', ";") == ["a", "b;c", "d"] and B.parse_csv_row('a""b,"",x"y"z') == ["ab", "", "xyz"] and B.parse_csv_row('"a""') == ['a"']
 
 
 def test_phrases():
