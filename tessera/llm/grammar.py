@@ -173,7 +173,6 @@ def script(code: str, language: str) -> None:
 
 # --- Python --------------------------------------------------------------------------------------------------------------
 
-OPERAND = "anstPQB"
 PY_WRONG = re.compile(
     r"a[anstB]|n[anstPB]|[st][anPB](?<!sP)|P[anstB]|Q[anstB]|B[anstB]|z|"
     r"[=o+\-*/%&|^<>.,:!~WA@](?=[o=/%&|^<>.])(?<!\*(?=\*))(?<!!(?=o))(?<!,(?=[.=]))(?<!:(?=\.))(?<!=(?=\.))(?<!,(?=/))|k(?![^,]*:|[^:]*:)|(?<![,=(:\[])(?<!^)[o=+\-/%&|^<>.!~WA@]\Z|[kwyxlfiFjrh][o/%|^<>]|g(?![aPQ])"
