@@ -322,7 +322,7 @@ def wrong_python(part: str) -> bool:
 # --- languages with declarations at top level ------------------------------------------------------------------------------
 
 JAVA_TYPE = r"(?:@a(?:\.a)*P?|m)*(?:-m)?(?:@?I|[lE]|a(?=a[P<]))a[^;B]*B;*"
-JAVA_TOP = re.compile(rf"(?:@a(?:\.a)*P?)*(?:pa(?:\.[a-zA-Z])*;)?(?:;|im?[a-zA-Z](?:\.[a-zA-Z*])*;)*(?:{JAVA_TYPE})*\Z")
+JAVA_TOP = re.compile(rf"(?:@a(?:\.a)*P?)*(?:pa(?:\.[a-zA-Z])*;)?(?:;|im?[a-zA-Z](?:\.[a-zA-Z*])*;)*(?>{JAVA_TYPE})*+\Z")
 JAVA_WRONG = re.compile(r"aaa(?!a?[(<])|[an]n|n[as]|[as]s|sa|ss|z|D{2}|w(?!\()|(?<![.])l(?![a.\])}>])|[=o](?=[;)\]}=])")
 
 
@@ -345,7 +345,7 @@ def java(code: str) -> None:
 DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(\w*)(?:[^\n\\]|\\\n|\\.)*", re.M)
 DIRECTIVES = frozenset(" include include_next import define undef if ifdef ifndef elif elifdef elifndef else endif pragma error warning line ident".split(" "))
 C_WRONG = re.compile(r"aaaa|[an]n|na|ns|sn|z|w(?!\()|[aPQ]![a(s]|[=o](?=[;)\]}=])")
-C_TOP = re.compile(r"(?:;|[^;B]*(?:B;?|;)|aP(?=[amlxT]))*(?:aP)?\Z")
+C_TOP = re.compile(r"(?>;|[^;B]*+(?:B;?|;)|aP(?=[amlxT]))*+(?:aP)?\Z")
 
 
 def c(code: str) -> None:
@@ -394,7 +394,7 @@ def go(code: str) -> None:
 RUST_WRONG = re.compile(r"a[an]|n[an]|s[an]|ns|z|W|[=o](?=[;)\]}=])|[P](?=[ans])(?<!\]P)")
 LIFETIME = re.compile(r"'[A-Za-z_]\w*")
 RUST_TOP = re.compile(
-    r"(?:\#!?Q|;|(?:mP?s?)*(?:u[^;]*;|(?:mP?s?|V|k)*f[^;B]*B|(?:k|m)*l[^;B]*(?:B|;)|k?(?:k|m)*l[^;]*;|m[^;B]*s?B|(?:k|m|V)*V[^;]*;|k[^;B]*B|a(?:Da)*!a?(?:P;|B|Q;?|P)|M!a(?:B|P;?)|m(?:a)[^;]*;))*\Z"
+    r"(?>\#!?Q|;|(?:mP?s?)*+(?:u[^;]*+;|[kVms]*+f[^;B]*+B|[kV]*+l[^;B]*+(?:B|;)|[kV]*+V[^;]*+;|V[^;]*+;|k[^;B]*+B|(?<=[ms])(?:B|a[^;]*+;)|a(?:Da)*+!a?(?:P;|B|Q;?|P)|M!a(?:B|P;?)))*+\Z"
 )
 
 

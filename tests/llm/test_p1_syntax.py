@@ -80,6 +80,18 @@ def test_agrees_with_the_grammar_on_python_files_and_their_cuts():
             assert (S.judge("a.py", piece)[1] is None) == fine, lines[n - 1]
 
 
+def test_top_levels_are_read_in_one_way():
+    """Many calls and items with a broken end take no longer than many right ones."""
+    import time
+
+    began = time.time()
+    for path, unit in (("a.c", "A(1) B(2) int x(void);\n"), ("a.c", "A(1) B(2) int f(void) { }\n"), ("a.rs", "pub(crate) fn f() { }\n"), ("a.rs", "a::b::c!(1);\n"), ("A.java", "@A(1) @B public class C { }\n"), ("a.go", "func f() { }\n")):
+        head = "package a\n" if path == "a.go" else ""
+        assert S.judge(path, head + unit * 2_000)[1] is None, unit
+        assert S.judge(path, head + unit * 2_000 + "return = x")[1] is not None, unit
+    assert time.time() - began < 20
+
+
 def test_no_cases():
     for content in (None, "", "  \n\t", "# only a comment\n"):
         assert S.judge("a.py", content)[1] is None
