@@ -5,13 +5,8 @@ A session is a user's calls of one day, so its size is bounded by what one user
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Tools that read and tools that change, zones of the context, patterns of prompts with their task and confidence, weights
 # of a task for tokens, latency and calls, and what surfaces can do (rewrite, return cached, inject before).
@@ -32,6 +27,7 @@ INTENTS = (
     (r"(?<![A-Za-z0-9_])(test|check|verify|does it work)(?![A-Za-z0-9_])", "verification", 0.7),
 )
 BASE_WEIGHTS = {"pinpoint": (0.2, 0.6, 0.2), "targeted_fix": (0.6, 0.2, 0.2), "feature": (0.35, 0.3, 0.35), "refactor": (0.2, 0.2, 0.6), "exploration": (0.4, 0.3, 0.3), "verification": (0.3, 0.5, 0.2)}
+STREAM_DAYS = 1_000_000  # days before 1970 from which the stream counts
 SURFACES = (("hook", False, False, False), ("editor", False, False, False), ("server", True, True, True), ("shell", True, True, True), ("library", True, True, True))
 
 # How the events table stands for calls.
@@ -215,32 +211,23 @@ def task_weights(task: Column, sequential_reads: Column, share: Column) -> tuple
     return tuple(w / total for w in moved)
 
 
-def fold_stream(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The state transition of a session. Its calls are kept in order of time, whatever batch brought them, so an event that comes late takes
-    its place; a session is one user's day, and its state goes with the watermark."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held, last = state.get if state.exists else ("[]", 0)
-    made = {(a, b): (tool, size) for a, b, tool, size in json.loads(held)}
-    for batch in batches:
-        for ts, event, tool, size in zip(batch["ts"], batch["event_id"], batch["tool"], batch["tokens"]):
-            made[int(ts.value), int(event)] = (tool, int(size))
-            last = max(last, int(ts.timestamp() * 1000))
-    streak = longest = 0
-    for _, (tool, _) in sorted(made.items()):
-        streak = streak + 1 if tool in READ_TOOLS else 0
-        longest = max(longest, streak)
-    state.update((json.dumps([[a, b, tool, size] for (a, b), (tool, size) in made.items()]), last))
-    if state.getCurrentWatermarkMs() < last + 3_600_000:
-        state.setTimeoutTimestamp(last + 3_600_000)
-    yield pd.DataFrame({"session_id": [key[0]], "n_calls": [len(made)], "tokens": [sum(size for _, size in made.values())], "longest_streak": [longest]})
+def longest_streak(read_calls: Column) -> Column:
+    """The longest run of reads among calls (ts, event_id, read), put in order of time here, whatever order brought them."""
+    run = lambda s, x: F.when(x["read"], s["run"] + 1).otherwise(F.lit(0).cast("long"))
+    folded = F.aggregate(F.sort_array(read_calls), F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("longest")), lambda s, x: F.struct(run(s, x).alias("run"), F.greatest(s["longest"], run(s, x)).alias("longest")))
+    return folded["longest"]
 
 
 def session_stream(events: DataFrame) -> DataFrame:
-    """Streaming: per session its running state, in update mode; a session's state goes an hour after its last event."""
-    k = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    """Streaming: per session its running state, in update mode. The state is a row of built-in aggregates, so no session costs a call of
+    Python; it holds the session's calls, so an event that comes late takes its place. A session is a user's day: time counts in days, and
+    a state goes, and later events of it are left out, once a call of two days after has come. Events without user or time are in no session."""
+    day = F.unix_date(F.to_date("ts"))
     tool = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv]), F.col("event_type")), F.lit("bash"))
     size = F.greatest(F.lit(0), F.round(F.coalesce("value", F.lit(0)) * 20 - 200).cast("long"))
-    keyed = events.select(k.alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", tool.alias("tool"), size.alias("tokens")).withWatermark("ts", "2 hours")
-    return keyed.groupBy("session_id").applyInPandasWithState(fold_stream, "session_id string, n_calls long, tokens long, longest_streak long", "calls string, last long", "update", GroupStateTimeout.EventTimeTimeout)
+    call = F.struct("ts", F.coalesce("event_id", F.lit(2**63 - 1)).alias("event_id"), tool.isin(*READ_TOOLS).alias("read"))
+    # The first watermark is 1970, so days count from long before it: no day is late at the start.
+    keyed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", F.timestamp_seconds((day + STREAM_DAYS) * F.lit(86_400).cast("long")).alias("day"), call.alias("call"), size.alias("tokens")).withWatermark("day", "2 days")
+    made = keyed.groupBy("user_id", "day").agg(F.count("*").alias("n_calls"), F.sum("tokens").alias("tokens"), F.collect_list("call").alias("calls"))
+    date = F.date_from_unix_date((F.unix_seconds("day") / 86_400).cast("int") - STREAM_DAYS)
+    return made.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format(date, "yyyy-MM-dd")).alias("session_id"), "n_calls", "tokens", longest_streak(F.col("calls")).alias("longest_streak"))

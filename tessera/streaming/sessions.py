@@ -15,9 +15,11 @@ def run_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Reads what is there (available-now), writes each batch's states to the shared folder and gives the last of each session. State
     and offsets are checkpointed, so a lost executor costs a retry of its tasks only."""
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
+    stored = spark.read.parquet(path)
     folder, _, name = path.rpartition("/")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    one_file = [x.rpartition("/")[2] for x in stored.inputFiles()] == [name]
+    reader = spark.readStream.schema(stored.schema)
+    events = reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)  # a stream's source is a folder
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch_no={number}")
